@@ -1,5 +1,5 @@
 """All registries of this subpackage."""
 
-from attestry.llm import queries_records
+from attestry.llm import queries_records, queries_texts
 
-REGISTRIES = (queries_records.REG,)
+REGISTRIES = (queries_records.REG, queries_texts.REG)
