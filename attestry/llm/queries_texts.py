@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import leaks
+from attestry.llm import languages, leaks
 from attestry.queries import Registry
 from attestry.session import table
 
@@ -39,3 +39,21 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
 def p9_passages(spark: SparkSession, d: str) -> DataFrame:
     """The longest passage that each document and item share."""
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+# --- 10: missing or wrong language labels -------------------------------------------------------------------------
+
+
+@REG.add("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.unsound(languages.segments(table(spark, d, "documents")))
+
+
+@REG.add("p10_documents")
+def p10_documents(spark: SparkSession, d: str) -> DataFrame:
+    return languages.documents(languages.segments(table(spark, d, "documents")))
+
+
+@REG.add("p10_segments")
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    return languages.segments(table(spark, d, "documents")).select("doc_id", "seg", "start", "stop", "lang", F.round("confidence", 6).alias("confidence"))
