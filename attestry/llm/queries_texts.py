@@ -5,12 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import languages, leaks
+from attestry.llm import languages, leaks, packing
 from attestry.queries import Registry
 from attestry.session import table
 
 REG = Registry()
 
+# --- 8: filling fixed-capacity containers -------------------------------------------------------------------------
+
+
+@REG.add("p8_containers")
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The place of every text, or piece of one that exceeds the capacity, in the containers of each window."""
+    return packing.fill_containers(table(spark, d, "documents"), table(spark, d, "context_window"))
+
+
+@REG.add("p8_waste")
+def p8_waste(spark: SparkSession, d: str) -> DataFrame:
+    return packing.waste(p8_containers(spark, d))
+
+
 # --- 9: evaluation texts leaking into training text ---------------------------------------------------------------
 
 _P9_SQL = r"""
