@@ -41,6 +41,7 @@ SWITCH, LEAST_WORDS, LEAST_CONFIDENCE = 7.0, 4, 0.95
 LABEL_TRUST, SMOOTHING = 0.85, 20.0
 
 WORD = re.compile(r"[^\W\d_]+")
+QUOTE = re.compile(r"[„“”«»\"‘‚]")
 STOP = re.compile(r"[.!?]+[\"'”“»)]*(?=\s|$)|\n+")
 #: A short term in quotation marks, which says nothing of its surroundings.
 TERM = re.compile(r"[„“”«»\"‘‚][^„“”«»\"‘‚.!?\n]{1,40}[“”»«\"’‘]")
@@ -73,7 +74,7 @@ def units(text: str) -> list[tuple[int, int]]:
 
 def unit_words(text: str) -> list[str]:
     """Lower-case words of a sentence without those of quoted terms of at most four words."""
-    if TERM.search(text):
+    if QUOTE.search(text):
         text = TERM.sub(lambda m: " " if len(m.group().split()) <= 4 else m.group(), text)
     return WORD.findall(text.lower())
 
@@ -92,8 +93,8 @@ class Model:
         ends = np.cumsum([len(t) for t in texts])
         sums = np.vstack([np.zeros((1, len(LANGS))), np.cumsum(self.weights[ids], axis=0, dtype=np.float64)])
         known = np.concatenate([[0], np.cumsum(self.telling[ids])])
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
         ends = ends.astype(np.int64)
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(texts) else ends
         return sums[ends] - sums[starts], known[ends] - known[starts]
 
     @property
@@ -153,32 +154,44 @@ def path(scores: np.ndarray, cost: float = SWITCH) -> np.ndarray:
     return out
 
 
+#: Stands for a NULL source, which has shares of its own.
+NO_SOURCE = "\x00"
 SEGMENTS = "doc_id bigint, source string, declared string, missing boolean, seg int, start int, stop int, n_words int, telling int, score array<double>"
+#: Documents that are scored at once; bounds a worker's memory.
+CHUNK = 256
 
 
 def text_segments(docs: DataFrame, model: object) -> DataFrame:
-    """One row per run of units that the text alone gives to one language; an empty text is one empty run."""
+    """One row per run of units that the text alone gives to one language; an empty text is one empty run. score: the
+    run's log-odds with the log trust in the declared label added."""
+    doubt = float(np.log((1 - LABEL_TRUST) / (len(LANGS) - 1)))
+    label = {k: np.array([np.log(LABEL_TRUST) if k == x else doubt for x in LANGS]) for k in LANGS}
+    nothing = np.zeros(len(LANGS))
+
+    def chunk(b: pd.DataFrame, m: Model) -> list[tuple]:
+        spans, texts, first, out = [], [], [0], []
+        for t in b["text"]:
+            t = plain(t or "")
+            own = units(t) or [(0, len(t))]
+            spans += own
+            texts += [unit_words(t[x:y]) for x, y in own]
+            first.append(len(spans))
+        scores, known = m.score(texts)
+        sizes = np.array([len(w) for w in texts])
+        for i, (doc, source, declared, missing) in enumerate(zip(b["doc_id"], b["source"], b["declared"], b["missing"], strict=True)):
+            lo, hi = first[i], first[i + 1]
+            own = path(scores[lo:hi])
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), hi - lo]
+            for seg, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                part = slice(lo + x, lo + y)
+                out.append((doc, source, declared, missing, seg, spans[lo + x][0], spans[lo + y - 1][1], int(sizes[part].sum()), int(known[part].sum()), scores[part].sum(axis=0) + label.get(declared, nothing)))
+        return out
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m: Model = model.value
         for b in batches:
-            spans, texts, first = [], [], [0]
-            for t in b["text"]:
-                t = plain(t or "")
-                own = units(t) or [(0, len(t))]
-                spans += own
-                texts += [unit_words(t[x:y]) for x, y in own]
-                first.append(len(spans))
-            scores, known = m.score(texts)
-            out = []
-            for i, (doc, source, declared, missing) in enumerate(zip(b["doc_id"], b["source"], b["declared"], b["missing"], strict=True)):
-                lo, hi = first[i], first[i + 1]
-                own = path(scores[lo:hi])
-                cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), hi - lo]
-                for seg, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    part = slice(lo + x, lo + y)
-                    out.append((doc, source, declared, missing, seg, spans[lo + x][0], spans[lo + y - 1][1], sum(len(w) for w in texts[part]), int(known[part].sum()), scores[part].sum(axis=0).tolist()))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in SEGMENTS.split(", ")])
+            for at in range(0, len(b), CHUNK):
+                yield pd.DataFrame(chunk(b.iloc[at : at + CHUNK], m), columns=[c.split()[0] for c in SEGMENTS.split(", ")])
 
     return docs.select("doc_id", "source", "declared", "missing", "text").mapInPandas(run, SEGMENTS)
 
@@ -200,7 +213,7 @@ def suffix(source: str) -> Column:
 
 
 def host_shares(docs: DataFrame) -> DataFrame:
-    """(source, share array over LANGS): declared labels counted per source, smoothed towards the suffix's shares, and
+    """(source, log share over LANGS): declared labels counted per source, smoothed towards the suffix's shares, and
     these towards the corpus's. Counts are folded map-side, so a source with a third of all rows is no burden. A NULL
     source has a row of its own."""
     counts = docs.where(F.col("declared").isNotNull()).groupBy("source", "declared").agg(F.count(F.lit(1)).alias("n"))
@@ -213,16 +226,7 @@ def host_shares(docs: DataFrame) -> DataFrame:
     level = {k: (F.col(f"s_{k}") + SMOOTHING * corpus[k]) / (total("s_") + SMOOTHING) for k in LANGS}
     own = [(F.col(k) + SMOOTHING * level[k]) / (total("") + SMOOTHING) for k in LANGS]
     joined = wide.join(tops.withColumnRenamed("suffix", "__s"), F.col("suffix").eqNullSafe(F.col("__s")), "left").crossJoin(F.broadcast(every))  # every: one row
-    return joined.select(F.col("source").alias("__source"), F.array(*own).alias("share"))
-
-
-def _posterior(score: Column, share: Column, declared: Column) -> Column:
-    """exp-normalised sum of log-likelihood, log share and log trust in the label."""
-    flat = F.array(*[F.lit(1.0 / len(LANGS)) for _ in LANGS])
-    label = F.array(*[F.when(declared.isNull(), 0.0).when(declared == k, float(np.log(LABEL_TRUST))).otherwise(float(np.log((1 - LABEL_TRUST) / (len(LANGS) - 1)))) for k in LANGS])
-    logs = F.zip_with(F.zip_with(score, F.coalesce(share, flat), lambda s, p: s + F.log(p)), label, lambda a, b: a + b)
-    e = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    return joined.select(F.coalesce("source", F.lit(NO_SOURCE)).alias("__source"), F.array(*[F.log(x) for x in own]).alias("share"))
 
 
 def prepared(docs: DataFrame) -> DataFrame:
@@ -247,13 +251,14 @@ def segments(docs: DataFrame) -> DataFrame:
     ready = prepared(docs)
     model = spark.sparkContext.broadcast(fitted(docs))
     shares = broadcast_if_small(cut(host_shares(ready)))
-    raw = text_segments(ready, model)
-    joined = raw.where(F.col("source").isNotNull()).join(shares, F.col("source") == F.col("__source"), "left").drop("__source").unionByName(raw.where(F.col("source").isNull()).withColumn("share", F.lit(None).cast("array<double>")))
-    post = _posterior(F.col("score"), F.col("share"), F.col("declared"))
-    top = F.array_max(F.zip_with("post", F.array(*[F.lit(k) for k in LANGS]), lambda p, k: F.struct(p.alias("p"), k.alias("k"))))
+    raw = text_segments(ready, model).withColumn("__h", F.coalesce("source", F.lit(NO_SOURCE)))
+    flat = F.array(*[F.lit(float(-np.log(len(LANGS))))] * len(LANGS))
+    joined = raw.join(shares, F.col("__h") == F.col("__source"), "left")
+    fused = joined.withColumn("logs", F.zip_with("score", F.coalesce("share", flat), lambda s, p: s + p)).withColumn("top", F.array_max("logs"))
+    sure = F.lit(1.0) / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     mute = (F.col("telling") == 0) & F.col("declared").isNull() & F.col("share").isNull()
-    out = joined.withColumn("post", post).withColumn("top", top)
-    return out.select("doc_id", "declared", "missing", "seg", "start", "stop", "n_words", "telling", F.when(~mute, F.col("top.k")).alias("lang"), F.when(~mute, F.col("top.p")).alias("confidence"))
+    lang = F.element_at(F.array(*[F.lit(k) for k in LANGS]), F.array_position("logs", F.col("top")).cast("int"))
+    return fused.select("doc_id", "declared", "missing", "seg", "start", "stop", "n_words", "telling", F.when(~mute, lang).alias("lang"), F.when(~mute, sure).alias("confidence"))
 
 
 def held(segs: DataFrame) -> DataFrame:
