@@ -1,5 +1,5 @@
 """All registries of this subpackage."""
 
-from attestry.llm import queries_records, queries_texts
+from attestry.llm import queries_names, queries_records, queries_texts
 
-REGISTRIES = (queries_records.REG, queries_texts.REG)
+REGISTRIES = (queries_names.REG, queries_records.REG, queries_texts.REG)
