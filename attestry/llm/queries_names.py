@@ -5,12 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import titles
+from attestry.functions.keys import number
+from attestry.llm import names, titles
+from attestry.llm.components import components
 from attestry.queries import Registry
 from attestry.session import table
 
 REG = Registry()
 
+# --- 2: variant spellings of names --------------------------------------------------------------------------------
+
+
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "attested_tuple").select(number("person_cik").alias("person"), number("issuer_cik").alias("issuer"), F.col("person_name_raw").alias("name"))
+
+
+@REG.add("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_filers(_named(spark, d))
+
+
+@REG.add("p2_filers")
+def p2_filers(spark: SparkSession, d: str) -> DataFrame:
+    """Every person_cik with the smallest person_cik of the same filer."""
+    found = components(names.same_filers(_named(spark, d)).select(F.col("person_a").alias("a"), F.col("person_b").alias("b")))
+    people = _named(spark, d).where("person IS NOT NULL").select("person").distinct()
+    return people.join(found, F.col("person") == F.col("node"), "left").select(F.col("person").alias("person_cik"), F.coalesce("label", "person").alias("filer_cik"))
+
+
 # --- 7: mapping free-entered titles -------------------------------------------------------------------------------
 
 
