@@ -20,14 +20,14 @@ from attestry.session import cut
 FAMILIAR = {
     "abigail": "abby gail abbie", "alexander": "alex sandy xander alec", "anthony": "tony anth", "barbara": "barb babs barbie", "benjamin": "ben benny benj",
     "charles": "chuck charlie chas carlos", "christopher": "chris kit topher", "cynthia": "cindy cyndi", "daniel": "dan danny", "deborah": "deb debra debbie",
-    "dorothy": "dot dottie dolly", "douglas": "doug", "edward": "ed ted ned eddie edw", "eleanor": "ellie nell nora elinor", "elizabeth": "liz beth betty eliza lizzie libby",
-    "florence": "flo flossie", "francisco": "paco pancho", "frederick": "fred freddy fredk", "geoffrey": "geoff jeff jeffrey", "george": "geo", "gerald": "gerry jerry",
+    "dorothy": "dot dottie dolly", "douglas": "doug", "edward": "ed ted ned eddie edw", "eleanor": "ellie nell nora elinor", "elizabeth": "liz beth betty eliza lizzie libby betsy",
+    "florence": "flo flossie", "francisco": "paco pancho", "frederick": "fred freddy fredk fritz", "geoffrey": "geoff jeff jeffrey", "george": "geo", "gerald": "gerry jerry",
     "giuseppe": "beppe", "gregory": "greg gregg", "gwendolyn": "gwen wendy", "harold": "harry hal", "henrietta": "etta hetty hattie", "ignatius": "iggy",
     "isabella": "bella izzy isabel", "james": "jim jimmy jas jamie", "jennifer": "jen jenny", "jonathan": "jon jonny johnathan", "joseph": "joe jos joey", "john": "johnny jack jno",
     "katherine": "kate kathy katie catherine kathryn kat", "kenneth": "ken kenny", "lawrence": "larry laurence lars", "leonard": "len lenny leo", "margaret": "peggy meg maggie marge",
-    "matthew": "matt", "michael": "mike mick mickey", "mohammed": "muhammad mohamed mohammad", "nicholas": "nick nicolas nicky", "patricia": "pat patty tricia trish",
+    "matthew": "matt", "michael": "mike mick mickey mikey michl", "mohammed": "muhammad mohamed mohammad", "nicholas": "nick nicolas nicky", "patricia": "pat patty tricia trish",
     "philip": "phil phillip", "raymond": "ray", "rebecca": "becky becca", "richard": "rick dick rich ricky", "robert": "bob rob robt bobby robbie", "ronald": "ron ronnie",
-    "samuel": "sam sammy", "steven": "steve stephen", "susan": "sue susie suzie", "theodore": "theo ted teddy", "thomas": "tom tommy thos", "timothy": "tim timmy",
+    "samuel": "sam sammy saml", "steven": "steve stephen", "susan": "sue susie suzie suzy", "theodore": "theo ted teddy", "thomas": "tom tommy thos", "timothy": "tim timmy",
     "ursula": "uschi", "victoria": "vicky tori vicki", "vladimir": "wladimir vlad", "walter": "wally walt", "william": "bill will wm billy willy",
     "ximena": "jimena", "yusuf": "yousef youssef joseph", "zachary": "zach zack",
 }
@@ -141,10 +141,8 @@ def token_match(a: str, na: int, b: str, nb: int) -> int:
     if min(len(a), len(b)) >= 4 and one_typo(a, b):
         rare, often = sorted((na, nb))
         return 0 if rare >= LEAST_IDS and rare > often * RARE_SHARE else 2
-    if na + nb == 0 or min(len(a), len(b)) < 4:
-        return 0
-    for u, v, n in ((a, b, na), (b, a, nb)):  # a familiar form with a typo
-        if n < LEAST_IDS and any(one_typo(u, f) for f in (*FAMILIAR.get(v, "").split(), *FORMAL.get(v, ())) if len(f) > 3):
+    for u, v in ((a, b), (b, a)):  # a familiar form beside a formal one with a typo, or the other way round
+        if len(u) > 3 and u not in FAMILIAR and u not in FORMAL and any(one_typo(u, f) for f in (*FAMILIAR.get(v, "").split(), *FORMAL.get(v, ())) if len(f) > 3):
             return 2
     return 0
 
