@@ -221,7 +221,7 @@ def same_filers(rows: DataFrame) -> DataFrame:
     issuer or a surname alone, so a hot one makes no product; only ids that meet are compared. Rows without an issuer
     take no part in meeting but vote on the spelling.
     """
-    prof = cut(indexed(profiles(rows)))
+    prof = cut(indexed(cut(profiles(rows))))
     held = rows.where(F.col("person").isNotNull() & F.col("issuer").isNotNull()).select("person", "issuer").distinct()
     meets = held.join(prof.select("person", F.explode("keys").alias("key")), "person").select("person", F.xxhash64("issuer", "key").alias("h"))
     shared = meets.groupBy("h").agg(F.min("person").alias("lo"), F.max("person").alias("hi")).where("lo < hi").select("h")
