@@ -20,7 +20,8 @@ def parse_date(c: Column | str) -> Column:
     c = F.trim(F.col(c) if isinstance(c, str) else c)
     chain = F.lit(None).cast("date")
     for fmt, shape in reversed(FORMATS):
-        text = F.initcap(F.lower(F.regexp_replace(c, "^([0-9]+)([A-Za-z])", "$1 $2"))) if fmt == "dMMMyyyy" else F.initcap(F.regexp_replace(F.lower(c), "-", " ")) if "MMM" in fmt else c
+        spaced = F.regexp_replace(c, "^([0-9]+)-?([A-Za-z]+)-?([0-9]+)$", "$1 $2 $3")
+        text = F.initcap(F.lower(spaced)) if "MMM" in fmt else c
         pattern = "d MMM yyyy" if "MMM" in fmt else fmt
         chain = F.when(c.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)).cast("date")).otherwise(chain)
     return chain

@@ -1,5 +1,5 @@
 """All registries of the core."""
 
-from attestry.queries import problems
+from attestry.queries import corpus, problems
 
-REGISTRIES = (problems.REG,)
+REGISTRIES = (problems.REG, corpus.REG)
