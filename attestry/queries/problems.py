@@ -137,7 +137,7 @@ def p3_change_rates(spark: SparkSession, d: str) -> DataFrame:
     "p3_task_truth",
     _P3_SQL
     + r"""
-SELECT t.task_id, h.issuer_cik AS history_issuer_cik, coalesce(h.issuer_cik = try_cast(trim(t.truth_issuer_cik) AS BIGINT), false) AS agrees
+SELECT t.task_id, CAST(h.issuer_cik AS VARCHAR) AS history_issuer_cik, coalesce(h.issuer_cik = try_cast(trim(t.truth_issuer_cik) AS BIGINT), false) AS agrees
 FROM task t LEFT JOIN hist h ON try_cast(trim(t.person_cik) AS BIGINT) = h.person_cik AND h.valid_from <= t.target_date AND (h.valid_to IS NULL OR t.target_date < h.valid_to)
 """,
 )
@@ -146,7 +146,7 @@ def p3_task_truth(spark: SparkSession, d: str) -> DataFrame:
     view = history.history_view(history.satellite(employer_snapshots(spark, d), "person_cik", "period", EMPLOYER), "person_cik")
     tasks = table(spark, d, "task").select("task_id", number("person_cik").alias("__p"), "target_date", number("truth_issuer_cik").alias("__truth"))
     got = history.as_of(tasks, "__p", "target_date", view, "person_cik", {"issuer_cik": "history_issuer_cik"})
-    return got.select("task_id", "history_issuer_cik", F.coalesce(F.col("history_issuer_cik") == F.col("__truth"), F.lit(False)).alias("agrees"))
+    return got.select("task_id", F.col("history_issuer_cik").cast("string").alias("history_issuer_cik"), F.coalesce(F.col("history_issuer_cik") == F.col("__truth"), F.lit(False)).alias("agrees"))
 
 
 # --- 4: rows that fail to parse -----------------------------------------------------------------------------------

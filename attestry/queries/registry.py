@@ -1,5 +1,5 @@
 """All registries of the core."""
 
-from attestry.queries import corpus, problems
+from attestry.queries import corpus, feeds, measure, problems, scholar, simulation
 
-REGISTRIES = (problems.REG, corpus.REG)
+REGISTRIES = (problems.REG, corpus.REG, measure.REG, scholar.REG, simulation.REG, feeds.REG)
