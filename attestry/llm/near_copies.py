@@ -106,7 +106,7 @@ def _maybe(packed: np.ndarray, bits: int, spark: object) -> object:
 
 
 def possible_repeats(df: DataFrame, parts: list[Column], row_id: str) -> DataFrame:
-    """df with __maybe: false only for rows whose canonical record occurs once. The canonical hash decides; one that is
+    """df with __maybe: false only for rows whose canonical parts occur once. The parts' hash decides; one that is
     wrongly thought repeated costs a little work and changes no result."""
     spark = df.sparkSession
     h = F.xxhash64(*[marked(p) for p in parts])
@@ -125,15 +125,17 @@ def possible_repeats(df: DataFrame, parts: list[Column], row_id: str) -> DataFra
     return df.join(hit.withColumn("__hit", F.lit(True)), F.col(row_id) == F.col("__r"), "left").withColumn("__maybe", F.coalesce("__hit", F.lit(False))).drop("__hit", "__r")
 
 
-def collapse(df: DataFrame, parts: list[Column], row_id: str) -> tuple[DataFrame, DataFrame]:
+def collapse(df: DataFrame, parts: list[Column], row_id: str, hashed: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """(records, copies). records: __keep, the smallest row id of each record, and n_rows, how many rows it had; copies:
     __row, a row that is a copy, and __keep.
 
     Possible repeats are grouped by the whole canonical record; the count and the smallest id are folded map-side, and
     the join back has one row per record on its right, so a record that a third of all rows repeat is split by AQE.
-    NULL equals NULL. Empty tables give empty results.
+    NULL equals NULL. Empty tables give empty results. hashed: those canonical parts that the filters hash, all if it is
+    not given; as equal records agree in any choice of parts, parts that are cheap and tell most records apart spare two
+    passes over the texts, and records that agree in these alone are told apart by the exact grouping.
     """
-    flagged = possible_repeats(df, parts, row_id)
+    flagged = possible_repeats(df, hashed or parts, row_id)
     cand = flagged.where("__maybe").select(F.col(row_id).alias("__row"), record_of(parts).alias("__rec"))
     groups = cand.groupBy("__rec").agg(F.min("__row").alias("__keep"), F.count(F.lit(1)).alias("n_rows"))
     singles = flagged.where(~F.col("__maybe")).select(F.col(row_id).alias("__keep"), F.lit(1).cast("bigint").alias("n_rows"))

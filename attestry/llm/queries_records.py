@@ -59,6 +59,11 @@ def record_parts() -> list[Column]:
     return [digits("accession"), number("person_cik"), number("issuer_cik"), F.col("period"), F.col("filed"), words, near_copies.canonical_text("issuer_name_raw"), near_copies.canonical_text("issuer_ticker"), near_copies.canonical_text("title_raw"), near_copies.canonical_text("title_class"), roles]
 
 
+def record_keys() -> list[Column]:
+    """The parts of a record that tell most records apart without a look at its texts."""
+    return [digits("accession"), number("person_cik"), number("issuer_cik"), F.col("period"), F.col("filed")]
+
+
 _TEXT = r"trim(regexp_replace(regexp_replace(lower({0}), '[.''’‘ʼ‐‑-]', '', 'g'), '[^\p{{L}}\p{{N}}\p{{M}}]+', ' ', 'g'))"
 _P6_SQL = (
     "WITH canon AS (SELECT row_id, nullif(regexp_replace(accession, '[^0-9]', '', 'g'), '') AS a, try_cast(trim(person_cik) AS BIGINT) AS p, try_cast(trim(issuer_cik) AS BIGINT) AS i, period, filed, "
@@ -69,11 +74,11 @@ _P6_SQL = (
 
 @REG.add("p6_found", _P6_SQL + "SELECT keep AS row_a, row_id AS row_b FROM g WHERE row_id <> keep")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    _, copies = near_copies.collapse(table(spark, d, "attested_tuple"), record_parts(), "row_id")
+    _, copies = near_copies.collapse(table(spark, d, "attested_tuple"), record_parts(), "row_id", record_keys())
     return copies.select(F.col("__keep").alias("row_a"), F.col("__row").alias("row_b"))
 
 
 @REG.add("p6_records", _P6_SQL + "SELECT keep AS row_id, n_rows FROM g WHERE row_id = keep")
 def p6_records(spark: SparkSession, d: str) -> DataFrame:
-    records, _ = near_copies.collapse(table(spark, d, "attested_tuple"), record_parts(), "row_id")
+    records, _ = near_copies.collapse(table(spark, d, "attested_tuple"), record_parts(), "row_id", record_keys())
     return records.select(F.col("__keep").alias("row_id"), "n_rows")
