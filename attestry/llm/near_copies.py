@@ -66,15 +66,16 @@ def repeat_filter(hashes: DataFrame, rows: int) -> tuple[np.ndarray, int]:
         got = [b["h"].to_numpy() for b in batches if len(b)]
         if not got:
             return
-        h = np.concatenate(got)
-        own, n = np.unique(h, return_counts=True)
-        once, again = np.zeros(bits, bool), np.zeros(bits, bool)
-        once[_positions(own, bits).ravel()] = True
-        again[_positions(own[n > 1], bits).ravel()] = True
-        for k in range(bits // width):
-            part = slice(k * width, (k + 1) * width)
-            if once[part].any():
-                yield pd.DataFrame({"shard": [k], "once": [_pack(once[part])], "again": [_pack(again[part])]})
+        own, n = np.unique(np.concatenate(got), return_counts=True)
+        first, second = (np.unique(_positions(x, bits).ravel()) for x in (own, own[n > 1]))
+        for k in np.unique(first // np.uint64(width)).tolist():  # one shard at a time: memory follows the rows, not the filter
+            parts = []
+            for at in (first, second):
+                lo, hi = np.searchsorted(at, [k * width, (k + 1) * width])
+                seen = np.zeros(width, bool)
+                seen[(at[lo:hi] - np.uint64(k * width)).astype(np.int64)] = True
+                parts.append(_pack(seen))
+            yield pd.DataFrame({"shard": [k], "once": parts[:1], "again": parts[1:]})
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         once, again = np.zeros(width, bool), np.zeros(width, bool)
@@ -85,10 +86,10 @@ def repeat_filter(hashes: DataFrame, rows: int) -> tuple[np.ndarray, int]:
         return pd.DataFrame({"shard": pdf["shard"][:1], "again": [_pack(again)]})
 
     built = hashes.mapInPandas(build, "shard int, once binary, again binary")
-    out = np.zeros(bits, bool)
+    out = np.zeros(bits // 8, np.uint8)
     for r in built.groupBy("shard").applyInPandas(merge, "shard int, again binary").toLocalIterator():
-        out[r["shard"] * width : (r["shard"] + 1) * width] = _unpack(bytes(r["again"]), width)
-    return np.packbits(out), bits
+        out[r["shard"] * width // 8 : (r["shard"] + 1) * width // 8] = np.frombuffer(zlib.decompress(bytes(r["again"])), np.uint8)
+    return out, bits
 
 
 def _maybe(packed: np.ndarray, bits: int, spark: object) -> object:

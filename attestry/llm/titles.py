@@ -231,7 +231,8 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def map_rows(rows: DataFrame, reference: DataFrame) -> DataFrame:
-    """rows with title_id, edits and lost of the entry that title_raw denotes, else NULL. The mapping of distinct values is
+    """rows with title_id, edits and lost of the entry that title_raw denotes, else NULL; columns of these names that rows
+    already has are replaced. The mapping of distinct values is
     written once and broadcast if it is small; else the join shuffles, and AQE splits a hot value."""
     mapped = broadcast_if_small(cut(map_values(rows, reference)))
-    return rows.join(mapped, "title_raw", "left")
+    return rows.drop("edits", "lost", "title_id").join(mapped, "title_raw", "left")
