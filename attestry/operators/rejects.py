@@ -23,6 +23,9 @@ _SHIELD, _UNSHIELD = str.maketrans("\r\n\x00", ""), str.maketrans("
 _SHAPES = tuple(re.compile(p, re.ASCII) for p in (r"(?P<d>\d{1,2})-(?P<b>[A-Za-z]{3})-(?P<y>\d{4})", r"(?P<y>\d{4})-(?P<m>\d{1,2})-(?P<d>\d{1,2})", r"(?P<m>\d{1,2})/(?P<d>\d{1,2})/(?P<y>\d{4})", r"(?P<d>\d{1,2})(?P<b>[A-Za-z]{3})(?P<y>\d{4})", r"(?P<y>\d{4})(?P<m>\d{2})(?P<d>\d{2})"))
 
 
+csv.field_size_limit(sys.maxsize)  # fields are parsed whole, however long
+
+
 class BadField(ValueError):
     """A typed constructor's refusal; its text is the reason."""
 
@@ -125,7 +128,6 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        csv.field_size_limit(sys.maxsize)
         for b in batches:
             got = [parse_record(t, LAYOUTS.get((m or "").strip().upper())) for t, m in zip(b["raw_text"], b["member_file"], strict=True)]
             yield pd.DataFrame({"line_id": b["line_id"], "archive": b["archive"], "member_file": b["member_file"], "fields": [g[0] for g in got], "reasons": [g[1] for g in got]})
