@@ -35,6 +35,9 @@ NO_LABEL = ("", "und", "unknown")
 FIT_DOCS, FIT_CHARS, FIT_ROUNDS = 4000, 20_000, 3
 #: A word counts if the sample has it in so many sentences; a word moves the odds by at most CLIP nats.
 LEAST_SENTENCES, CLIP = 6, 5.0
+#: Words of the average language that each language is taken to hold besides its own, which keeps one with few, perhaps
+#: wrong, labels from claiming a word.
+PRIOR = 100.0
 #: Nats that a change of language between units costs; telling words and confidence that a held language needs in one segment.
 SWITCH, LEAST_WORDS, LEAST_CONFIDENCE = 7.0, 4, 0.95
 #: How far a declared label is trusted, and the weight in documents of the level above in a source's shares.
@@ -64,9 +67,9 @@ def units(text: str) -> list[tuple[int, int]]:
             before = text[max(0, at - 3) : at]
             if before[-1:].isalpha() and not before[-2:-1].isalpha() or before[-1:].isdigit() and not before[:1].isdigit() and not before[-2:-1] in (".", ","):
                 continue
-        if m.end() > start:
+        if not text[start : m.end()].isspace():
             out.append((start, m.end()))
-        start = m.end()
+            start = m.end()
     if start < len(text):
         out.append((start, len(text)))
     return out
@@ -112,7 +115,7 @@ def _weights(counts: dict[str, np.ndarray]) -> Model:
     if not kept:
         return Model({}, np.zeros((1, len(LANGS)), np.float32))
     table = np.array([*kept.values()])
-    rate = (table + 0.3) / (table.sum(axis=0) + 0.3 * len(kept) + 1)
+    rate = (table + PRIOR * table.sum(axis=1, keepdims=True) / table.sum()) / (table.sum(axis=0) + PRIOR)
     log = np.log(rate)
     log = np.maximum(log - log.max(axis=1, keepdims=True), -CLIP)
     return Model({w: i + 1 for i, w in enumerate(kept)}, np.vstack([np.zeros(len(LANGS)), log]).astype(np.float32))
@@ -122,17 +125,17 @@ def fit(sample: list[tuple[str, str]]) -> Model:
     """From (text, declared language): counts of words per sentence by label, then by the language that the model so far
     gives the sentence, so that wrong labels and mixed documents wash out."""
     sentences = [(sorted(set(unit_words(plain(t)[a:b]))), LANGS.index(lang)) for t, lang in sample for a, b in units(plain(t))]
-    given = np.array([k for _, k in sentences], np.int64)
-    model = Model({}, np.zeros((1, len(LANGS)), np.float32))
+    label = np.array([k for _, k in sentences], np.int64)
+    trust = np.log(LABEL_TRUST * (len(LANGS) - 1) / (1 - LABEL_TRUST)) * np.eye(len(LANGS))[label]
+    given, model = label, Model({}, np.zeros((1, len(LANGS)), np.float32))
     for _ in range(FIT_ROUNDS):
         counts: dict[str, np.ndarray] = {}
         for (ws, _), k in zip(sentences, given, strict=True):
-            if k >= 0:
-                for w in ws:
-                    counts.setdefault(w, np.zeros(len(LANGS)))[k] += 1
+            for w in ws:
+                counts.setdefault(w, np.zeros(len(LANGS)))[k] += 1
         model = _weights(counts)
-        scores, known = model.score([ws for ws, _ in sentences])
-        given = np.where(known >= 2, scores.argmax(axis=1), -1) if len(sentences) else given
+        if len(sentences):
+            given = (model.score([ws for ws, _ in sentences])[0] + trust).argmax(axis=1)
     return model
 
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import combinations, permutations, product
 
 import pandas as pd
@@ -109,9 +110,24 @@ def token_index(prof: DataFrame) -> DataFrame:
     return vocabulary.join(ups, "token", "left").select("token", "n", F.coalesce("up", F.array().cast("array<string>")).alias("up"))
 
 
+#: The given names by their deletions, for tokens that spell one of them with a typo.
+_NAMES_BY_DELETION: dict[str, set[str]] = {}
+for _n in {*FAMILIAR, *FORMAL}:
+    for _d in deletes(_n) if len(_n) > 3 else ():
+        _NAMES_BY_DELETION.setdefault(_d, set()).add(_n)
+
+
+@lru_cache(maxsize=100_000)
+def meant(t: str) -> frozenset[str]:
+    """Given names one edit away from a token that is none."""
+    if t in FAMILIAR or t in FORMAL or not 3 < len(t) < 20:
+        return frozenset()
+    return frozenset(x for d in deletes(t) for x in _NAMES_BY_DELETION.get(d, ()) if one_typo(t, x))
+
+
 def keys_of(t: str, up: Iterable[str]) -> set[str]:
     """What a token may be looked up under."""
-    own = {EXPANDED.get(x, x) for x in (t, *up)}
+    own = {EXPANDED.get(x, x) for x in (t, *up)} | meant(t)
     return own | {f for x in own for f in FORMAL.get(x, ())}
 
 
