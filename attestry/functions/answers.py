@@ -19,7 +19,7 @@ CONFIDENCE = " Give your confidence as a number between 0 and 1."
 
 
 def employment_prompt(name: Column, employer: Column, at: Column) -> Column:
-    """The task as asked; the anchor's title is withheld, as titles outlast a move."""
+    """The task as asked, in its fixed wording; the anchor's title is withheld, as titles outlast a move."""
     return F.concat(name, F.lit(" was an officer or director at "), employer, F.lit(" as of "), F.date_format(at, "yyyy-MM-dd"), F.lit(f". {QUESTION}"))
 
 

@@ -79,4 +79,4 @@ def exclusion_counts(rows: DataFrame, by: list[str]) -> DataFrame:
 def reconciles(counts: DataFrame) -> DataFrame:
     """counts, failing on any row whose kept and dropped rows are not its input."""
     total = F.col("kept") + sum((F.col(d) for d in DROPS), F.lit(0))
-    return counts.where(F.assert_true(total == F.col("input_rows"), F.lit("exclusion counters do not reconcile")).isNull())
+    return counts.where(F.assert_true(total == F.col("input_rows"), F.lit("kept and dropped rows do not add up")).isNull())

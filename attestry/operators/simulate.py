@@ -26,7 +26,7 @@ def fit(observations: DataFrame, split: str = "train", least: int = LEAST_CELL)
 
     Two grouping sets in one pass. Only the train split may be fitted."""
     if split != "train":
-        raise ValueError(f"refusing to fit on the {split} split")
+        raise ValueError("only the train split may be fitted")
     is_ = lambda *o: F.round(F.avg(F.when(F.col("outcome").isin(*o), 1.0).otherwise(0.0)), 6)
     keys = ["provider", "action", "band"]
     aggs = [F.count(F.lit(1)).alias("n"), is_("CORRECT").alias("p_correct"), is_("STALE").alias("p_stale"), is_("FALSE_MERGE", "UNSURE_WRONG").alias("p_wrong"), is_("MISS", "ABSTAIN").alias("p_miss"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.round(F.avg("spend_usd"), 6).alias("mean_spend_usd"), F.grouping_id().alias("g")]

@@ -331,11 +331,11 @@ def cache_spend(spark: SparkSession, d: str) -> DataFrame:
     return replay.total_spend(entries(spark, d))
 
 
-@REG.add("live_spend", f"WITH {_ENTRIES} SELECT provider, round(sum(usd), 4) AS usd FROM (SELECT CASE arm WHEN 'alpha' THEN 'exa' WHEN 'beta' THEN 'ploid' ELSE 'gamma' END AS provider, spend_usd AS usd FROM entries UNION ALL SELECT 'exa', 1.25) GROUP BY provider")
+@REG.add("live_spend", f"WITH {_ENTRIES} SELECT provider, round(sum(usd), 4) AS usd FROM (SELECT CASE arm WHEN 'alpha' THEN 'engine' WHEN 'beta' THEN 'index' ELSE 'gamma' END AS provider, spend_usd AS usd FROM entries UNION ALL SELECT 'engine', 1.25) GROUP BY provider")
 def live_spend(spark: SparkSession, d: str) -> DataFrame:
-    named = F.when(F.col("arm") == "alpha", "exa_name_only").when(F.col("arm") == "beta", "ploid_filter").otherwise(F.col("arm"))
-    manual = spark.createDataFrame([("exa", 1.25)], "provider string, usd double")
-    return replay.live_spend(entries(spark, d), manual, ans.billing_provider(named, ("exa", "ploid", "webfloor")))
+    named = F.when(F.col("arm") == "alpha", "engine_name_only").when(F.col("arm") == "beta", "index_filter").otherwise(F.col("arm"))
+    manual = spark.createDataFrame([("engine", 1.25)], "provider string, usd double")
+    return replay.live_spend(entries(spark, d), manual, ans.billing_provider(named, ("engine", "index", "floor")))
 
 
 @REG.add("ledger_skip")

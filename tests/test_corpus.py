@@ -33,7 +33,7 @@ def test_last_arrival_wins_and_contacts_are_gone(spark):
 
 def test_counts_that_do_not_add_up_fail(spark):
     c = ingest.exclusion_counts(filings(spark), ["archive"]).withColumn("kept", F.lit(5))
-    with pytest.raises(Exception, match="reconcile"):
+    with pytest.raises(Exception, match="add up"):
         ingest.reconciles(c).collect()
 
 

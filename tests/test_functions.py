@@ -119,8 +119,8 @@ def test_contact_fields_go(spark):
 
 def test_pii_and_billing(spark):
     assert one(spark, answers.pii(F.lit("write to a.b@c.org"))) and one(spark, answers.pii(F.lit("call (555) 123-4567"))) and not one(spark, answers.pii(F.lit("123,456 shares")))
-    assert one(spark, answers.billing_provider(F.lit("exa_full"), ("exa", "exa_full"))) == "exa_full"
-    assert one(spark, answers.billing_provider(F.lit("example"), ("exa",))) == "example"
+    assert one(spark, answers.billing_provider(F.lit("fast_full"), ("fast", "fast_full"))) == "fast_full"
+    assert one(spark, answers.billing_provider(F.lit("fastest"), ("fast",))) == "fastest"
 
 
 def test_policy_learns_what_it_is_shown():
