@@ -5,23 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Blanks of any kind that typed keys carry.
-BLANKS = " \t\r\n\f\x0b      　﻿"
-
 
 def digits(c: Column | str) -> Column:
     """The decimal digits of a key as text; NULL where it has none."""
     c = F.col(c) if isinstance(c, str) else c
-    plain = F.translate(c, "-" + BLANKS, "")
-    kept = F.when(plain.rlike("^[0-9]*$"), plain).otherwise(F.regexp_replace(plain, "[^0-9]", ""))
-    return F.nullif(kept, F.lit(""))
+    return F.nullif(F.regexp_replace(c, "[^0-9]+", ""), F.lit(""))
 
 
 def number(c: Column | str) -> Column:
-    """A key compared as a number; NULL where it is blank or no number."""
+    """A key compared as a number, blanks of any kind around it ignored; NULL where it is blank or no number."""
     c = F.col(c) if isinstance(c, str) else c
-    plain = F.translate(c, BLANKS, "")
-    return F.when(plain.rlike("^[0-9]{1,18}$"), plain.try_cast("bigint"))
+    return F.regexp_extract(c, r"^[\s\p{Z}]*([0-9]{1,18})[\s\p{Z}]*$", 1).try_cast("bigint")
 
 
 def sha_key(*cols: Column | str) -> Column:

@@ -68,12 +68,13 @@ def attested(rows: DataFrame) -> DataFrame:
 def exclusion_counts(rows: DataFrame, by: list[str]) -> DataFrame:
     """Counters per group. input_rows = kept + the drops, which reconciles() asserts; unknown tokens are counted among
     joined rows and unknown titles among kept ones, and exclude nothing."""
-    n = lambda cond: F.count_if(cond)
-    drop = [n(F.col("disposition") == d).alias(d) for d in DROPS]
     blank = F.trim(F.coalesce("rptowner_relationship", F.lit(""))) == ""
-    token = n((F.col("disposition") != "unjoined_accession") & (F.size("role_class") == 0) & ~blank).alias("unknown_relationship_token")
-    title = n((F.col("disposition") == "kept") & (F.col("title_class") == "UNKNOWN")).alias("title_unknown")
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("input_rows"), n(F.col("disposition") == "kept").alias("kept"), *drop, token, title)
+    token = (F.col("disposition") != "unjoined_accession") & (F.size("role_class") == 0) & ~blank
+    title = (F.col("disposition") == "kept") & (F.col("title_class") == "UNKNOWN")
+    folded = rows.groupBy(*by, "disposition", token.alias("__token"), title.alias("__title")).agg(F.count(F.lit(1)).alias("__n"))
+    n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("__n"))), F.lit(0))
+    each = [n(F.col("disposition") == d).alias(d) for d in ("kept", *DROPS)]
+    return folded.groupBy(*by).agg(F.sum("__n").alias("input_rows"), *each, n(F.col("__token")).alias("unknown_relationship_token"), n(F.col("__title")).alias("title_unknown"))
 
 
 def reconciles(counts: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def false_topics(attested: DataFrame, topics: DataFrame, works: DataFrame, diffi
 
 def institution_candidates(name: Column) -> Column:
     """What is looked up, in this order: the whole name, its first and its last clause; shorter than three letters not."""
-    parts = F.filter(F.transform(F.split(name, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(name, ","), lambda p: F.trim(p)), lambda p: p != "")
     more = F.when(F.contains(name, F.lit(",")), F.array(F.get(parts, F.lit(0)), F.element_at(parts, -1))).otherwise(F.array().cast("array<string>"))
     plain = F.transform(F.concat(F.array(F.trim(name)), more), lambda c: F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}_\s&-]", " ")))
     return F.filter(plain, lambda c: F.length(c) >= 3)
