@@ -103,3 +103,20 @@ def reward(total: Column, outcome: Column, confidence: Column, spend: Column, bu
     for o, c in profile.items():
         cost = F.when(outcome == o, c / max(profile.values())).otherwise(cost)
     return total - brier * F.pow(confidence - hit, 2) - cost - F.when(outcome == "CORRECT", weight * spend / budget).otherwise(0.0)
+
+
+def first_answer(answers: Column) -> Column:
+    """The answer of rank 1 of a call; NULL if it gave none."""
+    return F.get(answers, F.lit(0))
+
+
+def candidate_behind(candidates: Column, name: Column, employer: Column) -> Column:
+    """The first returned row with the committed name and, where one is named, employer; dates come from it alone."""
+    return F.get(F.filter(candidates, lambda c: (c["person_name"] == name) & (employer.isNull() | (c["employer_name"] == employer))), F.lit(0))
+
+
+def describe(records: DataFrame, by: str) -> DataFrame:
+    """Per group: abstention rate, precision when answering, mean stated confidence."""
+    answered = ~F.col("outcome").isin("ABSTAIN", "MISS")
+    hit = F.when(answered, F.when(F.col("outcome") == "CORRECT", 1.0).otherwise(0.0))
+    return records.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("outcome") == "ABSTAIN", 1.0).otherwise(0.0)), 6).alias("abstain_rate"), F.round(F.avg(hit), 6).alias("precision_answered"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))

@@ -67,3 +67,21 @@ def contrasts(records: DataFrame, task: str, arm: str, value: str) -> DataFrame:
     one = records.groupBy(task, arm).agg(F.max(value).alias("v"))
     a, b = one.select(task, F.col(arm).alias("arm_a"), F.col("v").alias("va")), one.select(task, F.col(arm).alias("arm_b"), F.col("v").alias("vb"))
     return a.join(b, task).where("arm_a < arm_b").select("arm_a", "arm_b", task, (F.col("va") - F.col("vb")).alias("diff"))
+
+
+def unpaired_interval(values: DataFrame, resamples: int = 1000, least: int = 100, seed: int | str = 11) -> DataFrame:
+    """One row: difference of two populations' means and its limits, each population resampled on its own; NULL limits and
+    verdict 'none' if either has fewer than least scored rows. values: side ('a' or 'b'), idx from 0 per side, value."""
+    n = {r["side"]: r["n"] for r in values.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    spark = values.sparkSession
+    if min(n.get("a", 0), n.get("b", 0)) < least:
+        return spark.createDataFrame([(None, None, None, "none")], "point double, lo double, hi double, verdict string")
+    mean = lambda s: resampled_indices(spark, n[s], resamples, f"{seed}{s}").join(values.where(F.col("side") == s), "idx").groupBy("resample").agg(F.avg("value").alias(s))
+    diffs = mean("a").join(mean("b"), "resample").select((F.col("a") - F.col("b")).alias("m"))
+    ordered = diffs.withColumn("r", F.row_number().over(Window.orderBy("m")) - 1)  # one row per resample
+    lo, hi = int(0.025 * resamples), min(int(0.975 * resamples), resamples - 1)
+    limits = ordered.agg(F.max(F.when(F.col("r") == lo, F.col("m"))).alias("lo"), F.max(F.when(F.col("r") == hi, F.col("m"))).alias("hi"))
+    point = values.agg((F.avg(F.when(F.col("side") == "a", F.col("value"))) - F.avg(F.when(F.col("side") == "b", F.col("value")))).alias("point"))
+    both = point.crossJoin(F.broadcast(limits))  # one row each
+    verdict = F.when((F.col("lo") > 0) | (F.col("hi") < 0), "separates").otherwise("cannot separate")
+    return both.select(F.round("point", 6).alias("point"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), verdict.alias("verdict"))

@@ -121,14 +121,34 @@ def p3_history(spark: SparkSession, d: str) -> DataFrame:
     return view.select("person_cik", "issuer_cik", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("valid_from", "valid_to")])
 
 
-@REG.add("p3_titles")
+_SNAP_SQL = r"""
+WITH snap AS (SELECT try_cast(trim(person_cik) AS BIGINT) AS person_cik, period, try_cast(trim(issuer_cik) AS BIGINT) AS issuer_cik, title_class, array_to_string(list_sort(role_class), ',') AS roles FROM attested_tuple
+  WHERE try_cast(trim(person_cik) AS BIGINT) IS NOT NULL AND try_cast(trim(issuer_cik) AS BIGINT) IS NOT NULL AND period IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY try_cast(trim(person_cik) AS BIGINT), period ORDER BY filed DESC NULLS LAST, nullif(regexp_replace(accession, '[^0-9]', '', 'g'), '') DESC NULLS LAST, try_cast(trim(issuer_cik) AS BIGINT) DESC, title_class DESC NULLS LAST, array_to_string(list_sort(role_class), ',') DESC NULLS LAST) = 1)
+"""
+
+
+@REG.add(
+    "p3_titles",
+    _SNAP_SQL
+    + r""", lagged AS (SELECT *, row_number() OVER w AS rn, lag(title_class) OVER w AS t0, lag(roles) OVER w AS r0 FROM snap WINDOW w AS (PARTITION BY person_cik ORDER BY period)),
+ver AS (SELECT * FROM lagged WHERE rn = 1 OR t0 IS DISTINCT FROM title_class OR r0 IS DISTINCT FROM roles)
+SELECT person_cik, title_class, roles, strftime(period, '%Y-%m-%d') AS valid_from, strftime(lead(period) OVER (PARTITION BY person_cik ORDER BY period), '%Y-%m-%d') AS valid_to FROM ver""",
+)
 def p3_titles(spark: SparkSession, d: str) -> DataFrame:
     """The fast satellite: title class and roles, with ends."""
     view = history.history_view(history.satellite(person_snapshots(spark, d), "person_cik", "period", TITLE), "person_cik")
     return view.select("person_cik", *TITLE, *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("valid_from", "valid_to")])
 
 
-@REG.add("p3_change_rates")
+@REG.add(
+    "p3_change_rates",
+    _SNAP_SQL
+    + r""", steps AS (SELECT row_number() OVER w AS rn, lag(issuer_cik) OVER w IS DISTINCT FROM issuer_cik AS i, lag(title_class) OVER w IS DISTINCT FROM title_class AS t, lag(roles) OVER w IS DISTINCT FROM roles AS r FROM snap WINDOW w AS (PARTITION BY person_cik ORDER BY period)),
+n AS (SELECT count(*) AS n, count(*) FILTER (WHERE i) AS i, count(*) FILTER (WHERE t) AS t, count(*) FILTER (WHERE r) AS r FROM steps WHERE rn > 1),
+each AS (SELECT 'issuer_cik' AS attribute, n, i AS c FROM n UNION ALL SELECT 'title_class', n, t FROM n UNION ALL SELECT 'roles', n, r FROM n)
+SELECT attribute, n AS n_steps, c AS n_changes, coalesce(round(c::DOUBLE / nullif(n, 0), 6), 0.0) AS change_rate FROM each""",
+)
 def p3_change_rates(spark: SparkSession, d: str) -> DataFrame:
     return history.change_rates(person_snapshots(spark, d), "person_cik", "period", EMPLOYER + TITLE)
 

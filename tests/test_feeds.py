@@ -66,3 +66,18 @@ def test_registry():
 def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "kept" in df.columns
+
+
+def echo(action, request):
+    return f"{action}:{request}"
+
+
+def test_providers_refuse_without_a_transport(spark):
+    from attestry.sources.providers import NotConfigured, Provider, ask
+
+    rows = spark.createDataFrame([(1, "q"), (2, None)], "id bigint, request string")
+    with pytest.raises(NotConfigured):
+        ask(rows, Provider("p", (("answer", 0.005),)), "answer")
+    with pytest.raises(ValueError):
+        ask(rows, Provider("p", (("answer", 0.005),), echo), "other")
+    assert {r["id"]: r["body"] for r in ask(rows, Provider("p", (("answer", 0.005),), echo), "answer").collect()} == {1: "answer:q", 2: None}

@@ -172,3 +172,16 @@ def test_institutions_and_citations(spark):
     works = spark.createDataFrame([(1, "A long enough title"), (2, "Another fine title")], "author bigint, title string")
     said = spark.createDataFrame([("x", 1, ["nope, not it at all", "a LONG enough, title!"]), ("y", 1, ["another fine title"]), ("z", 1, ["short"]), ("e", 1, [])], "key string, author bigint, citations array<string>")
     assert {r["key"]: r["verdict"] for r in scholar.citation_audit(said, works).collect()} == {"x": "backed", "y": "exists", "z": "none", "e": "none"}
+
+
+def test_few_scored_rows_give_no_verdict(spark):
+    v = spark.createDataFrame([("a", i, 1.0) for i in range(120)] + [("b", i, 0.0) for i in range(120)], "side string, idx bigint, value double")
+    assert tuple(sampling.unpaired_interval(v, 200).first()) == (1.0, 1.0, 1.0, "separates")
+    assert sampling.unpaired_interval(v.where("side = 'a' OR idx < 50"), 200).first()["verdict"] == "none"
+
+
+def test_dates_come_from_the_candidate_alone(spark):
+    c = spark.sql("SELECT array(named_struct('person_name', 'A', 'employer_name', 'X', 'd', 1), named_struct('person_name', 'A', 'employer_name', 'Y', 'd', 2)) AS c")
+    pick = lambda n, e: c.select(m.candidate_behind(F.col("c"), F.lit(n), F.lit(e).cast("string")).alias("r")).first()["r"]
+    assert pick("A", "Y")["d"] == 2 and pick("A", None)["d"] == 1 and pick("B", None) is None
+    assert c.select(m.first_answer(F.slice("c", 1, 0)).alias("r")).first()["r"] is None
