@@ -235,7 +235,9 @@ def same_filers(rows: DataFrame) -> DataFrame:
 
     rows: person bigint, issuer bigint, name string. Ids meet under a hash of the issuer and two tokens, never under an
     issuer or a surname alone, so a hot one makes no product; only ids that meet are compared. Rows without an issuer
-    take no part in meeting but vote on the spelling.
+    take no part in meeting but vote on the spelling; rows without an id are left out, and ids of which no row has a word
+    for a name match none. Repeated rows add votes and change no pair. Names of more than six words are assigned greedily.
+    Only the three columns are read, whatever others there are; an empty table gives no pairs.
     """
     prof = cut(indexed(cut(profiles(rows))))
     held = rows.where(F.col("person").isNotNull() & F.col("issuer").isNotNull()).select("person", "issuer").distinct()
