@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attestry.functions.keys import digits, number
 from attestry.functions.dates import quarter_label
 from attestry.operators import history, orphans, rejects
-from attestry.queries import Registry
+from attestry.queries import Registry, sqlparts
 from attestry.session import table
 
 REG = Registry()
@@ -220,11 +220,19 @@ def p4_reject_counts(spark: SparkSession, d: str) -> DataFrame:
     return rejects.reject_counts(rejects.parse_lines(table(spark, d, "raw_line")))
 
 
-@REG.add("p4_loaded_submissions")
+def _loaded_sql(member: str) -> str:
+    """The valid rows of a member file under its column names, typed fields in their canonical form."""
+    columns = rejects.LAYOUTS[member.upper()].columns
+    form = {"filing_date": "strftime({0}, '%Y-%m-%d')", "period_of_report": "strftime({0}, '%Y-%m-%d')", "rptownercik": "trim({0})"}
+    each = [form.get(c, "{0}").format(sqlparts.date(f"f[{i}]") if "date" in c and c in form or c == "period_of_report" else f"f[{i}]") + f" AS {c}" for i, c in enumerate(columns, 1)]
+    return _P4_SQL + f"SELECT line_id, archive, {', '.join(each)} FROM ok WHERE member_file = '{member}' AND line_id NOT IN (SELECT line_id FROM reasons)"
+
+
+@REG.add("p4_loaded_submissions", _loaded_sql("SUBMISSION.tsv"))
 def p4_loaded_submissions(spark: SparkSession, d: str) -> DataFrame:
     return rejects.loadable(rejects.parse_lines(table(spark, d, "raw_line")), "SUBMISSION.tsv")
 
 
-@REG.add("p4_loaded_owners")
+@REG.add("p4_loaded_owners", _loaded_sql("REPORTINGOWNER.tsv"))
 def p4_loaded_owners(spark: SparkSession, d: str) -> DataFrame:
     return rejects.loadable(rejects.parse_lines(table(spark, d, "raw_line")), "REPORTINGOWNER.tsv")
