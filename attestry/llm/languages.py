@@ -248,7 +248,8 @@ def segments(docs: DataFrame) -> DataFrame:
 
     Texts are read whole, once, where they lie; what is joined with the sources' shares are thin rows. A document whose
     text has no telling word keeps one segment, whose language the label and the source alone decide; lang is NULL where
-    telling words, label and source are all absent.
+    telling words, label and source are all absent. A NULL source has shares of its own. Other columns are not read; an
+    empty table gives no rows, and one without any label leaves every share and likelihood flat.
     """
     spark = docs.sparkSession
     ready = prepared(docs)

@@ -132,7 +132,8 @@ def collapse(df: DataFrame, parts: list[Column], row_id: str, hashed: list[Colum
 
     Possible repeats are grouped by the whole canonical record; the count and the smallest id are folded map-side, and
     the join back has one row per record on its right, so a record that a third of all rows repeat is split by AQE.
-    NULL equals NULL. Empty tables give empty results. hashed: those canonical parts that the filters hash, all if it is
+    NULL equals NULL and differs from an empty text. Empty tables give empty results; texts are compared whole, however
+    long; columns that are in no part are not read. hashed: those canonical parts that the filters hash, all if it is
     not given; as equal records agree in any choice of parts, parts that are cheap and tell most records apart spare two
     passes over the texts, and records that agree in these alone are told apart by the exact grouping.
     """

@@ -184,8 +184,9 @@ def fill_containers(docs: DataFrame, windows: DataFrame, path: str = VOCABULARY,
     container).
 
     Only a text longer than the capacity is cut: into pieces of the capacity, which fill containers of their own, and a
-    last piece that is packed like a whole text. Texts without tokens are in no container. windows has a few rows; a
-    capacity below 1 or NULL is left out. Containers left emptier than REOPEN after a round are opened and their
+    last piece that is packed like a whole text. Texts without tokens, NULL ones among them, are in no container. windows
+    has a few rows; a capacity below 1 or NULL is left out. Equal sizes are packed in the order of doc_id, so a result
+    repeats; other columns are not read, and empty tables give no rows. Containers left emptier than REOPEN after a round are opened and their
     items packed with those of other groups, so what stays empty does not grow with the number of groups.
     """
     spark = docs.sparkSession

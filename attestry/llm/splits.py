@@ -139,8 +139,11 @@ def assign(df: DataFrame, row_id: str, node: str, key: str, label: str, splits:
     """(row id, split): shares as splits asks, by rows, with every component whole.
 
     What reaches the driver are bundles, one per size and label: with L labels and N rows at most L * sqrt(2 N), as that
-    many different sizes use up all rows. A component's label is the one most of its rows have, ties to the smaller
-    text. Its rank in the bundle is its place by hash, counted by hash buckets, so no bundle is sorted in one task.
+    many different sizes use up all rows. A component's label is the one most of its rows have, ties to the larger text,
+    NULL counting as empty. Its rank in the bundle is its place by hash, counted by hash buckets, so no bundle is sorted
+    in one task. A row without a node goes with its key's component, one without either stands alone. Other columns are
+    not read; an empty table gives no rows. A component larger than a split's share goes whole to the split that lacks
+    most.
     """
     names = [s for s, _ in sorted(splits)]
     rows = with_component(df, row_id, node, key).select(row_id, "__comp", F.coalesce(F.col(label), F.lit("")).alias("__lb"))

@@ -202,7 +202,9 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
 
     reference: title_id, canonical_title. Values are looked up in one tree per shard of SHARD_ENTRIES entries and the
     shards' winners merged by fewest edits, fewest letters cut off, smallest entry; entries with a NULL title are left
-    out. NULL and blank values denote none. A value that a third of all rows hold is looked up once.
+    out. NULL and blank values denote none, nor do values much longer than any entry. Of entries that fit equally well the
+    smallest id is taken. A value that a third of all rows hold is looked up once. Other columns are not read; an empty
+    table or list gives no rows.
     """
     spark = values.sparkSession
     entries = [(r["title_id"], r["canonical_title"]) for r in reference.where("canonical_title IS NOT NULL").select("title_id", "canonical_title").toLocalIterator()]
