@@ -17,7 +17,8 @@ def hash_diff(attrs: list[str]) -> Column:
 
 def latest_per_period(df: DataFrame, key: str, period: str, order: list[str], keep: list[str]) -> DataFrame:
     """One row per key and period: the largest by order, NULLs lowest. A max of structs, so it is folded map-side and
-    a key with a third of all rows leaves each task as at most one row per period."""
+    a key with a third of all rows leaves each task as at most one row per period. Rows without key or period are left out;
+    repeated rows change nothing; columns that are not named are not read; an empty table gives no rows."""
     best = F.max(F.struct(*order, *[c for c in keep if c not in order])).alias("__b")
     return df.where(F.col(key).isNotNull() & F.col(period).isNotNull()).groupBy(key, period).agg(best).select(key, period, *[F.col(f"__b.{c}").alias(c) for c in keep])
 
@@ -26,7 +27,8 @@ def satellite(snapshots: DataFrame, key: str, period: str, attrs: list[str]) ->
     """Versions to append: rows whose hash differs from the same key's row at the period before.
 
     snapshots has one row per key and period (see latest_per_period). Columns: key, valid_from, attrs, hash_diff. The
-    window runs per key over periods, which are dates: a key has no more rows than the calendar has days.
+    window runs per key over periods, which are dates: a key has no more rows than the calendar has days. A change to or
+    from NULL is a change; columns other than those named are left behind.
     """
     w = Window.partitionBy(key).orderBy(period)
     rows = snapshots.withColumn("hash_diff", hash_diff(attrs))

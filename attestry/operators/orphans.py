@@ -112,7 +112,8 @@ def orphan_cascade(graph: Graph) -> DataFrame:
 
     One row per row and reference that fails, columns as SCHEMA. An acyclic graph needs as many rounds as its longest
     path has edges and stays one lazy plan; a graph with a cycle is iterated, each round written to the shared folder,
-    until a round adds nothing. Empty tables give no rows; a parent table that is empty orphans every keyed child.
+    until a round adds nothing. Empty tables give no rows; a parent table that is empty orphans every keyed child. Keys are
+    read through the edges' expressions, ids as text; other columns, whatever their names, are not read.
     """
     found = reduce(DataFrame.unionByName, (direct_orphans(graph, e) for e in graph.edges))
     depth = graph.depth()
