@@ -3,18 +3,33 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if Catalyst's own size estimate is at most this many bytes.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 16 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, once per application, so that they need not have it installed. The archive is
+    read by the driver alone, which serves it to the executors."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        here = Path(__file__).resolve().parent
+        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='attestry-')}/attestry", "zip", here.parent, here.name))
+        _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
