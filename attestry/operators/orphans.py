@@ -67,10 +67,10 @@ def _children(node: Node, key: Column) -> DataFrame:
 def direct_orphans(graph: Graph, edge: Edge) -> DataFrame:
     """Rows of edge.child whose key has no record in edge.parent that is live when the row came.
 
-    Reasons: no_key, never_came, came_later, withdrawn. Records without an end are folded to one row per key before the
+    Reasons: no_key, never_came, no_time, came_later, withdrawn. Records without an end are folded to one row per key before the
     join, so a key that holds a third of either table moves once; only records with an end are compared as intervals,
-    in an anti-join whose hot left keys AQE splits. A row whose own time is NULL is compared with no validity: any
-    record of its key keeps it. Repeated rows of either side change nothing.
+    in an anti-join whose hot left keys AQE splits. For a row
+    whose own time is NULL no record is live. Repeated rows of either side change nothing.
     """
     child, parent = graph.nodes[edge.child], graph.nodes[edge.parent]
     rows = _children(child, edge.child_key)
@@ -84,9 +84,9 @@ def direct_orphans(graph: Graph, edge: Edge) -> DataFrame:
     folded = records.groupBy("__key").agg(F.min("__from").alias("__first"), F.min(F.when(F.col("__until").isNull(), F.col("__from"))).alias("__for_good"))
     ended = records.where(F.col("__until") > F.col("__from")).groupBy("__key", "__from").agg(F.max("__until").alias("__until")).withColumnRenamed("__key", "__k")
     seen = rows.join(folded, "__key", "left")
-    open_ = seen.where(~F.coalesce((F.col("__for_good") <= F.col("__at")) | (F.col("__at").isNull() & F.col("__first").isNotNull()), F.lit(False)))
+    open_ = seen.where(~F.coalesce(F.col("__for_good") <= F.col("__at"), F.lit(False)))
     gone = open_.join(ended, (F.col("__key") == F.col("__k")) & (F.col("__from") <= F.col("__at")) & (F.col("__until") > F.col("__at")), "left_anti")
-    reason = F.when(F.col("__first").isNull(), "never_came").when(F.col("__first") > F.col("__at"), "came_later").otherwise("withdrawn")
+    reason = F.when(F.col("__first").isNull(), "never_came").when(F.col("__at").isNull(), "no_time").when(F.col("__first") > F.col("__at"), "came_later").otherwise("withdrawn")
     return bare.unionByName(_rows(child, gone, edge.parent, "direct", reason))
 
 

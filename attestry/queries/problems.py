@@ -46,7 +46,7 @@ hit AS (
     count(*) FILTER (WHERE s.arrived_at <= r.loaded_at AND (s.withdrawn_at IS NULL OR s.withdrawn_at > r.loaded_at)) AS n_live
   FROM refs r LEFT JOIN sub s ON r.k = s.k GROUP BY ALL),
 orphan AS (
-  SELECT r.table_name, r.row_id, r.k, r.loaded_at, CASE WHEN r.k IS NULL THEN 'no_key' WHEN h.n = 0 THEN 'never_came' WHEN h.first_at > r.loaded_at THEN 'came_later' ELSE 'withdrawn' END AS reason
+  SELECT r.table_name, r.row_id, r.k, r.loaded_at, CASE WHEN r.k IS NULL THEN 'no_key' WHEN h.n = 0 THEN 'never_came' WHEN r.loaded_at IS NULL THEN 'no_time' WHEN h.first_at > r.loaded_at THEN 'came_later' ELSE 'withdrawn' END AS reason
   FROM refs r JOIN hit h USING (table_name, row_id) WHERE h.n_live = 0)
 """
 

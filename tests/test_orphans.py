@@ -47,7 +47,7 @@ def test_repeats_and_empty_tables(spark):
     assert found(spark, [], [("1", 1, None)]) == set()
     assert found(spark, [(1, "1", 1), (2, None, 1)], []) == {(1, "never_came"), (2, "no_key")}
     assert found(spark, [(1, "1", 1)], [("1", 1, None)] * 3) == set()
-    assert found(spark, [(1, "1", None)], [("1", 9, 10)]) == set()  # no time of its own: any record keeps it
+    assert found(spark, [(1, "1", None), (2, "2", None)], [("1", 9, None)]) == {(1, "no_time"), (2, "never_came")}
 
 
 def test_hot_key(spark):
