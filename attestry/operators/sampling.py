@@ -32,6 +32,18 @@ def stratified(rows: DataFrame, key: str, stratum: str, n: int, seed: int | str
     return near.withColumn("__r", rank).where(F.col("__r") <= F.col("__each")).drop("__h", "__u", "__r", "__size", "__each", "__bound")
 
 
+def dense_index(rows: DataFrame, key: str, by: list[str] | None = None, buckets: int = 256) -> DataFrame:
+    """rows with idx from 0 without gaps, per group of by: ordered by a hash bucket of the key, then the key. Buckets are
+    counted first and ranked apart, so no task sorts all rows."""
+    by = by or []
+    bucketed = rows.withColumn("__b", (hash_draw(F.sha2(F.col(key).cast("string"), 256)) % buckets).cast("int"))
+    counts = bucketed.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy(*by, "__b").orderBy(key))
+    joined = bucketed.withColumn("__r", place).join(F.broadcast(counts.select(*by, "__b", before.alias("__before"))), [*by, "__b"])  # a row per bucket
+    return joined.withColumn("idx", F.col("__before") + F.col("__r") - 1).drop("__b", "__r", "__before")
+
+
 def resampled_indices(spark: object, n: int, resamples: int, seed: int | str) -> DataFrame:
     """(resample, idx): for each resample n places in [0, n), drawn by hash."""
     r = spark.range(resamples).select(F.col("id").alias("resample"))
@@ -41,8 +53,8 @@ def resampled_indices(spark: object, n: int, resamples: int, seed: int | str) ->
 def bootstrap_interval(values: DataFrame, resamples: int = 1000, seed: int | str = 11) -> DataFrame:
     """One row: point, lo, hi, n of the mean of paired differences, resampling tasks. values: idx from 0, diff.
 
-    Limits are order statistics, not interpolated. The differences are what both arms' tasks give, a bounded study: the
-    draws are n per resample and meet them in one equi-join."""
+    Limits are order statistics, not interpolated. The draws are n per resample and meet the differences in one equi-join,
+    with one difference per place; means are folded before they are shuffled."""
     n = values.count()
     spark = values.sparkSession
     if n == 0:

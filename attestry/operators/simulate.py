@@ -249,12 +249,13 @@ def play(tasks: DataFrame, name: str, weights: list[list[float]] | None, seed: i
     return tasks.mapInPandas(run, RECORD)
 
 
-def train(tasks: DataFrame, seeds: int, epochs: int = 3, group: int = 4, rate: float = 0.05) -> DataFrame:
+def train(tasks: DataFrame, seeds: int, epochs: int = 3, group: int = 4, rate: float = 0.05, study_tasks: int = 2000) -> DataFrame:
     """(seed, best_epoch, score, weights): a policy per seed, trained by cloning a demonstration and then by group-relative
     advantage over tasks that are solved now and then, the epoch kept that does best on the hill-climb tasks, the first
-    on ties. tasks: task_id, split and a cell; training tasks are a bounded study, which every seed's task holds."""
+    on ties. tasks: task_id, split and a cell. A policy is fitted on a study of at most study_tasks tasks, the first by id,
+    which every seed's worker holds."""
     spark = tasks.sparkSession
-    study = [r.asDict() for r in tasks.orderBy("task_id").limit(2000).collect()]  # a study's size is a parameter of training
+    study = [r.asDict() for r in tasks.orderBy("task_id").limit(study_tasks).collect()]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         seed = int(pdf["seed"].iloc[0])

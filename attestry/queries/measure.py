@@ -286,20 +286,16 @@ def arm_contrasts(spark: SparkSession, d: str) -> DataFrame:
 
 @REG.add(
     "bootstrap_contrast",
-    f"""WITH {_RESOLVED}, h AS (SELECT task_id, arm, (outcome = 'CORRECT')::INT::DOUBLE AS hit FROM judged), s AS (SELECT task_id FROM task ORDER BY sha256('11|' || task_id), task_id LIMIT 100),
-v AS (SELECT a.hit - b.hit AS diff, row_number() OVER (ORDER BY task_id) - 1 AS idx FROM h a JOIN h b USING (task_id) WHERE a.arm = 'alpha' AND b.arm = 'beta' AND task_id IN (SELECT task_id FROM s)),
+    f"""WITH {_RESOLVED}, h AS (SELECT task_id, arm, (outcome = 'CORRECT')::INT::DOUBLE AS hit FROM judged),
+v AS (SELECT a.hit - b.hit AS diff, row_number() OVER (ORDER BY {q.hex_int('sha256(task_id)')} % 256, task_id) - 1 AS idx FROM h a JOIN h b USING (task_id) WHERE a.arm = 'alpha' AND b.arm = 'beta'),
 n AS (SELECT count(*) AS n FROM v), draws AS (SELECT r.i AS resample, {q.hex_int("sha256('11|' || r.i || '|' || j.j)")} % n AS idx FROM range(1000) r(i), n, range(n) j(j)),
 m AS (SELECT resample, avg(diff) AS m FROM draws JOIN v USING (idx) GROUP BY resample), o AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS r FROM m)
 SELECT (SELECT round(avg(diff), 6) FROM v) AS point, round(max(m) FILTER (WHERE r = 25), 6) AS lo, round(max(m) FILTER (WHERE r = 975), 6) AS hi, (SELECT n FROM n) AS n FROM o""",
 )
 def bootstrap_contrast(spark: SparkSession, d: str) -> DataFrame:
-    """Interval of the accuracy difference of two arms over a sample of 100 tasks, the study's size, resampled 1000 times."""
-    from pyspark.sql import Window
-
-    study = sampling.sample(table(spark, d, "task").select("task_id"), "task_id", 100)
-    v = differences(spark, d).where("arm_a = 'alpha' AND arm_b = 'beta'").join(F.broadcast(study), "task_id", "left_semi")
-    v = v.select("diff", (F.row_number().over(Window.orderBy("task_id")) - 1).alias("idx"))  # the study's 100 rows
-    return sampling.bootstrap_interval(v)
+    """Interval of the accuracy difference of two arms over all tasks, resampled 1000 times."""
+    v = differences(spark, d).where("arm_a = 'alpha' AND arm_b = 'beta'")
+    return sampling.bootstrap_interval(sampling.dense_index(v, "task_id").select("idx", "diff"))
 
 
 # --- cache and ledger ---------------------------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.operators import measure, sampling
@@ -64,21 +64,21 @@ def tasks_of_band(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, d: str) -> DataFrame:
-    """Two samples of 150 accounts, the study's size: customers by balance, and suppliers."""
-    one = lambda t, k, v, s: sampling.sample(table(spark, d, t).select(F.col(k).alias("key"), F.when(F.col(v) > 5000, 1.0).otherwise(0.0).alias("value")), "key", 150).withColumn("side", F.lit(s))
-    both = one("customer", "c_custkey", "c_acctbal", "a").unionByName(one("customer", "c_custkey", "c_nationkey", "b"))
-    return both.withColumn("idx", F.row_number().over(Window.partitionBy("side").orderBy("key")) - 1)
+    """Two populations: accounts by balance, and by nation."""
+    c = table(spark, d, "customer")
+    one = lambda v, s: c.select(F.col("c_custkey").alias("key"), F.when(F.col(v[0]) > v[1], 1.0).otherwise(0.0).alias("value"), F.lit(s).alias("side"))
+    return sampling.dense_index(one(("c_acctbal", 5000), "a").unionByName(one(("c_nationkey", 12), "b")), "key", ["side"])
 
 
-_SIDE = "SELECT '{0}' AS side, c_custkey AS key, CASE WHEN {1} > 5000 THEN 1.0::DOUBLE ELSE 0.0 END AS value FROM (SELECT * FROM customer ORDER BY sha256('11|' || c_custkey), c_custkey LIMIT 150)"
-_MEAN = "SELECT r.i AS resample, avg(value) AS m FROM range(1000) r(i), range(150) j(j) JOIN v ON v.side = '{0}' AND v.idx = " + q.hex_int("sha256('11{0}|' || r.i || '|' || j.j)") + " % 150 GROUP BY 1"
+_SIDE = "SELECT '{0}' AS side, c_custkey AS key, CASE WHEN {1} > {2} THEN 1.0::DOUBLE ELSE 0.0 END AS value FROM customer"
+_MEAN = "SELECT r.i AS resample, avg(value) AS m FROM range(200) r(i), range((SELECT count(*) FROM customer)) j(j) JOIN v ON v.side = '{0}' AND v.idx = " + q.hex_int("sha256('11{0}|' || r.i || '|' || j.j)") + " % (SELECT count(*) FROM customer) GROUP BY 1"
 
 
 @REG.add(
     "unpaired_contrast",
-    f"WITH s AS ({_SIDE.format('a', 'c_acctbal')} UNION ALL {_SIDE.format('b', 'c_nationkey')}), v AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY key) - 1 AS idx FROM s), a AS ({_MEAN.format('a')}), b AS ({_MEAN.format('b')}), "
-    "o AS (SELECT a.m - b.m AS m, row_number() OVER (ORDER BY a.m - b.m) - 1 AS r FROM a JOIN b USING (resample)), l AS (SELECT max(m) FILTER (WHERE r = 25) AS lo, max(m) FILTER (WHERE r = 975) AS hi FROM o) "
+    f"WITH s AS ({_SIDE.format('a', 'c_acctbal', 5000)} UNION ALL {_SIDE.format('b', 'c_nationkey', 12)}), v AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY {q.hex_int('sha256(key::VARCHAR)')} % 256, key) - 1 AS idx FROM s), a AS ({_MEAN.format('a')}), b AS ({_MEAN.format('b')}), "
+    "o AS (SELECT a.m - b.m AS m, row_number() OVER (ORDER BY a.m - b.m) - 1 AS r FROM a JOIN b USING (resample)), l AS (SELECT max(m) FILTER (WHERE r = 5) AS lo, max(m) FILTER (WHERE r = 195) AS hi FROM o) "
     "SELECT (SELECT round(avg(value) FILTER (WHERE side = 'a') - avg(value) FILTER (WHERE side = 'b'), 6) FROM v) AS point, round(lo, 6) AS lo, round(hi, 6) AS hi, CASE WHEN lo > 0 OR hi < 0 THEN 'separates' ELSE 'cannot separate' END AS verdict FROM l",
 )
 def unpaired_contrast(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.unpaired_interval(_sides(spark, d))
+    return sampling.unpaired_interval(_sides(spark, d), 200)

@@ -185,3 +185,11 @@ def test_dates_come_from_the_candidate_alone(spark):
     pick = lambda n, e: c.select(m.candidate_behind(F.col("c"), F.lit(n), F.lit(e).cast("string")).alias("r")).first()["r"]
     assert pick("A", "Y")["d"] == 2 and pick("A", None)["d"] == 1 and pick("B", None) is None
     assert c.select(m.first_answer(F.slice("c", 1, 0)).alias("r")).first()["r"] is None
+
+
+def test_dense_index_has_no_gaps(spark):
+    df = spark.range(1000).select("id", (F.col("id") % 3).alias("g"))
+    got = sampling.dense_index(df, "id", ["g"]).collect()
+    for g in range(3):
+        assert sorted(r["idx"] for r in got if r["g"] == g) == list(range(sum(r["g"] == g for r in got)))
+    assert sampling.dense_index(df.where("false"), "id").count() == 0
