@@ -56,6 +56,14 @@ class Graph:
 SCHEMA = "table_name string, row_id string, parent string, kind string, reason string, quarter string"
 
 
+#: Days of the spans of time in which records with an end meet the rows of their key.
+SPAN_DAYS = 30
+
+
+def _span(at: str) -> Column:
+    return F.floor(F.date_diff(F.to_date(at), F.lit("1970-01-01").cast("date")) / SPAN_DAYS)
+
+
 def _rows(node: Node, df: DataFrame, parent: str, kind: str, reason: Column) -> DataFrame:
     return df.select(F.lit(node.name).alias("table_name"), F.col("__id").cast("string").alias("row_id"), F.lit(parent).alias("parent"), F.lit(kind).alias("kind"), reason.alias("reason"), F.col("__period").alias("quarter"))
 
@@ -68,8 +76,8 @@ def direct_orphans(graph: Graph, edge: Edge) -> DataFrame:
     """Rows of edge.child whose key has no record in edge.parent that is live when the row came.
 
     Reasons: no_key, never_came, no_time, came_later, withdrawn. Records without an end are folded to one row per key before the
-    join, so a key that holds a third of either table moves once; only records with an end are compared as intervals,
-    in an anti-join whose hot left keys AQE splits. For a row
+    join, so a key that holds a third of either table moves once; only records with an end are compared as intervals with
+    rows that no other record keeps, by key and span of time, which parts a key that is hot on both sides. For a row
     whose own time is NULL no record is live. Repeated rows of either side change nothing.
     """
     child, parent = graph.nodes[edge.child], graph.nodes[edge.parent]
@@ -85,7 +93,8 @@ def direct_orphans(graph: Graph, edge: Edge) -> DataFrame:
     ended = records.where(F.col("__until") > F.col("__from")).groupBy("__key", "__from").agg(F.max("__until").alias("__until")).withColumnRenamed("__key", "__k")
     seen = rows.join(folded, "__key", "left")
     open_ = seen.where(~F.coalesce(F.col("__for_good") <= F.col("__at"), F.lit(False)))
-    gone = open_.join(ended, (F.col("__key") == F.col("__k")) & (F.col("__from") <= F.col("__at")) & (F.col("__until") > F.col("__at")), "left_anti")
+    spans = ended.withColumn("__s", F.explode(F.sequence(_span("__from"), _span("__until"))))
+    gone = open_.withColumn("__span", _span("__at")).join(spans, (F.col("__key") == F.col("__k")) & (F.col("__span") == F.col("__s")) & (F.col("__from") <= F.col("__at")) & (F.col("__until") > F.col("__at")), "left_anti")
     reason = F.when(F.col("__first").isNull(), "never_came").when(F.col("__at").isNull(), "no_time").when(F.col("__first") > F.col("__at"), "came_later").otherwise("withdrawn")
     return bare.unionByName(_rows(child, gone, edge.parent, "direct", reason))
 
