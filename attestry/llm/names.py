@@ -1,6 +1,6 @@
 """Variant spellings of people's and organisations' names. A symmetric-delete index over tokens finds spellings one edit
-apart; ids that share an issuer and two such tokens are compared by an optimal assignment of their tokens, in which
-initials, abbreviations and familiar forms match."""
+apart; ids that share an issuer and two such tokens are compared, spelling by spelling, by an optimal assignment of their tokens,
+in which initials, abbreviations and familiar forms match."""
 
 from __future__ import annotations
 
@@ -62,24 +62,48 @@ def name_tokens(c: str) -> Column:
     return F.filter(F.split(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
 
 
-def profiles(rows: DataFrame) -> DataFrame:
-    """(person, tokens, initial, generation) from (person, name): the spelling of the long tokens that most of an id's
-    rows have, the initial that enough have, the suffix that most have.
+def votes(rows: DataFrame) -> DataFrame:
+    """(person, k, v, n, o) from (person, name): how many of an id's rows have a spelling of the long tokens (k l), a first
+    initial (i) or a suffix (g). Spellings of the same tokens are one, whatever their order; o is the first in text order.
 
-    Votes are folded map-side by id, kind and value, so an id with a third of all rows is no burden. Ties go to the
-    longer spelling, then to the smaller text. Rows without a name or an id have no vote.
+    Folded map-side by id, kind and value, so an id with a third of all rows is no burden. Rows without a name or an id
+    have no vote.
     """
     words = F.filter(name_tokens("name"), lambda w: ~w.isin(*HONOURS))
     base = rows.where(F.col("person").isNotNull()).select("person", words.alias("w")).where(F.size("w") > 0)
     long_ = F.array_join(F.filter("w", lambda x: (F.length(x) > 1) & ~x.isin(*GENERATION)), " ")
     initial = F.get(F.filter("w", lambda x: (F.length(x) == 1) & x.rlike("[a-z]")), F.lit(0))
     generation = F.get(F.filter("w", lambda x: x.isin(*GENERATION)), F.lit(0))
-    votes = base.select("person", F.explode(F.array(F.struct(F.lit("l").alias("k"), F.array_join(F.array_sort(F.split(long_, " ")), " ").alias("v"), long_.alias("o")), F.struct(F.lit("i").alias("k"), initial.alias("v"), F.lit("").alias("o")), F.struct(F.lit("g").alias("k"), generation.alias("v"), F.lit("").alias("o")))).alias("x")).select("person", "x.*").where(F.col("v").isNotNull())
-    counts = votes.groupBy("person", "k", "v").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("o"))
+    each = base.select("person", F.explode(F.array(F.struct(F.lit("l").alias("k"), F.array_join(F.array_sort(F.split(long_, " ")), " ").alias("v"), long_.alias("o")), F.struct(F.lit("i").alias("k"), initial.alias("v"), F.lit("").alias("o")), F.struct(F.lit("g").alias("k"), generation.alias("v"), F.lit("").alias("o")))).alias("x")).select("person", "x.*").where(F.col("v").isNotNull())
+    return each.groupBy("person", "k", "v").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("o"))
+
+
+def _best(counts: DataFrame) -> DataFrame:
+    """Per id the spelling, initial and suffix that most of its votes have. Ties go to the longer one, then to the smaller
+    text."""
     top = lambda k, value, by: F.max_by(F.when(F.col("k") == k, F.col(value)), F.when(F.col("k") == k, by))
     rank = F.struct(F.col("n"), F.length("v"), F.col("v"))
-    best = counts.groupBy("person").agg(top("l", "o", rank).alias("spelt"), top("i", "v", rank).alias("i"), F.max(F.when(F.col("k") == "i", F.col("n"))).alias("ni"), F.sum(F.when(F.col("k") == "l", F.col("n"))).alias("n"), top("g", "v", rank).alias("generation"))
-    return best.select("person", F.filter(F.split("spelt", " "), lambda w: w != "").alias("tokens"), F.when(F.col("ni") >= F.col("n") * INITIAL_SHARE, F.col("i")).alias("initial"), "generation")
+    best = counts.groupBy("person").agg(top("l", "o", rank).alias("spelt"), top("l", "v", rank).alias("folded"), top("i", "v", rank).alias("i"), F.max(F.when(F.col("k") == "i", F.col("n"))).alias("ni"), F.sum(F.when(F.col("k") == "l", F.col("n"))).alias("n"), top("g", "v", rank).alias("generation"))
+    return best.select("person", "spelt", "folded", F.when(F.col("ni") >= F.col("n") * INITIAL_SHARE, F.col("i")).alias("initial"), "generation")
+
+
+def _tokens(c: str) -> Column:
+    return F.filter(F.split(c, " "), lambda w: w != "").alias("tokens")
+
+
+def profiles(rows: DataFrame) -> DataFrame:
+    """(person, tokens, initial, generation) from (person, name): the spelling of the long tokens that most of an id's
+    rows have, the initial that enough have, the suffix that most have."""
+    return _best(votes(rows)).select("person", _tokens("spelt"), "initial", "generation")
+
+
+def spellings(rows: DataFrame) -> DataFrame:
+    """(person, spelling, top, tokens, initial, generation) from (person, name): a row for every spelling of the long
+    tokens that an id has, top on the one that most of its rows have; initial and suffix are the id's, by vote. One word
+    alone speaks for an id only if it is the top spelling: a row that leaves out the rest says nothing of it."""
+    counts = cut(votes(rows))
+    own = counts.where("k = 'l'").select("person", F.col("v").alias("spelling"), _tokens("o")).join(_best(counts).select("person", "folded", "initial", "generation"), "person")
+    return own.withColumn("top", F.col("spelling") == F.col("folded")).where(F.col("top") | (F.size("tokens") > 1)).select("person", "spelling", "top", "tokens", "initial", "generation")
 
 
 def deletes(t: str) -> set[str]:
@@ -97,12 +121,13 @@ def _near(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def token_index(prof: DataFrame) -> DataFrame:
-    """(token, n, up): for every token how many ids have it, and the tokens one edit away that more ids have.
+    """(token, n, up): for every token how many ids have it in their top spelling, and the tokens one edit away that more
+    ids have.
 
     Two tokens one edit apart share a string with one letter deleted. Each token names only its more frequent
     neighbours, so two spellings meet at the more frequent one and rare ones at the name they stem from.
     """
-    vocabulary = cut(prof.select("person", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    vocabulary = cut(prof.select("top", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count_if("top").alias("n")))
     index = vocabulary.select("token", "n", F.explode(_deletes("token")).alias("d"))
     other = index.select(F.col("token").alias("t2"), F.col("n").alias("n2"), "d")
     pairs = index.join(other, "d").where((F.col("n2") > F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("t2") > F.col("token")))).select("token", "t2").distinct()
@@ -208,20 +233,20 @@ def same_name(a: tuple, b: tuple) -> bool:
     return False
 
 
-PROFILE = "person bigint, tokens array<string>, n array<bigint>, keys array<string>, initial string, generation string"
+PROFILE = "person bigint, spelling string, tokens array<string>, n array<bigint>, keys array<string>, initial string, generation string"
 
 
 def indexed(prof: DataFrame) -> DataFrame:
-    """Profiles with the number of ids that have each token, and the keys to meet under."""
-    each = prof.select("person", F.posexplode("tokens").alias("at", "token")).join(token_index(prof), "token")
-    back = each.groupBy("person").agg(F.sort_array(F.collect_list(F.struct("at", "token", "n", "up"))).alias("t"))  # a name's tokens
+    """Spellings with the number of ids that have each token, and the keys to meet under."""
+    each = prof.select("person", "spelling", F.posexplode("tokens").alias("at", "token")).join(token_index(prof), "token")
+    back = each.groupBy("person", "spelling").agg(F.sort_array(F.collect_list(F.struct("at", "token", "n", "up"))).alias("t"))  # a name's tokens
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             t = [[(x["token"], x["n"], list(x["up"])) for x in own] for own in b["t"]]
-            yield pd.DataFrame({"person": b["person"], "tokens": [[x[0] for x in own] for own in t], "n": [[x[1] for x in own] for own in t], "keys": [sorted(name_keys(own)) for own in t], "initial": b["initial"], "generation": b["generation"]})
+            yield pd.DataFrame({"person": b["person"], "spelling": b["spelling"], "tokens": [[x[0] for x in own] for own in t], "n": [[x[1] for x in own] for own in t], "keys": [sorted(name_keys(own)) for own in t], "initial": b["initial"], "generation": b["generation"]})
 
-    return back.join(prof.select("person", "initial", "generation"), "person").mapInPandas(run, PROFILE)
+    return back.join(prof.select("person", "spelling", "initial", "generation"), ["person", "spelling"]).mapInPandas(run, PROFILE)
 
 
 @F.pandas_udf(T.BooleanType())
@@ -231,20 +256,20 @@ def _same(ta: pd.Series, na: pd.Series, ia: pd.Series, ga: pd.Series, tb: pd.Ser
 
 
 def same_filers(rows: DataFrame) -> DataFrame:
-    """(person_a, person_b), person_a < person_b: ids with a common issuer whose names are spellings of one name.
+    """(person_a, person_b), person_a < person_b: ids with a common issuer of which any two spellings are of one name.
 
-    rows: person bigint, issuer bigint, name string. Ids meet under a hash of the issuer and two tokens, never under an
+    rows: person bigint, issuer bigint, name string. Every spelling of an id is indexed; ids meet under a hash of the issuer and two tokens, never under an
     issuer or a surname alone, so a hot one makes no product; only ids that meet are compared. Rows without an issuer
     take no part in meeting but vote on the spelling; rows without an id are left out, and ids of which no row has a word
     for a name match none. Repeated rows add votes and change no pair. Names of more than six words are assigned greedily.
     Only the three columns are read, whatever others there are; an empty table gives no pairs.
     """
-    prof = cut(indexed(cut(profiles(rows))))
+    prof = cut(indexed(cut(spellings(rows))))
     held = rows.where(F.col("person").isNotNull() & F.col("issuer").isNotNull()).select("person", "issuer").distinct()
-    meets = held.join(prof.select("person", F.explode("keys").alias("key")), "person").select("person", F.xxhash64("issuer", "key").alias("h"))
+    meets = held.join(prof.select("person", F.explode("keys").alias("key")).distinct(), "person").select("person", F.xxhash64("issuer", "key").alias("h"))
     shared = meets.groupBy("h").agg(F.min("person").alias("lo"), F.max("person").alias("hi")).where("lo < hi").select("h")
     met = cut(meets.join(shared, "h"))
     pairs = met.select("h", F.col("person").alias("person_a")).join(met.select("h", F.col("person").alias("person_b")), "h").where("person_a < person_b").select("person_a", "person_b").distinct()
     side = lambda s: prof.select(F.col("person").alias(f"person_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("tokens", "n", "initial", "generation")])
     both = pairs.join(side("a"), "person_a").join(side("b"), "person_b")
-    return both.where(_same(*[f"{c}_{s}" for s in "ab" for c in ("tokens", "n", "initial", "generation")])).select("person_a", "person_b")
+    return both.where(_same(*[f"{c}_{s}" for s in "ab" for c in ("tokens", "n", "initial", "generation")])).select("person_a", "person_b").distinct()

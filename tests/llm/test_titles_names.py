@@ -108,3 +108,10 @@ def test_assignment_is_the_best_one():
         small, large = sorted((a, b), key=len)
         best = max(sum(n.token_match(*x, *y) > 0 for x, y in zip(small, p, strict=True)) for p in itertools.permutations(large, len(small)))
         assert n.assign(a, b)[0] == best
+
+
+def test_any_two_spellings_of_two_ids_may_match(spark):
+    rows = [(1, 5, "NURBUNCBROOK RICHARD")] * 4 + [(2, 5, "NUBUNCBOOK RICHARD")] * 2 + [(2, 5, "Nurbuncbrook Richard CPA")]
+    rows += [(3, 6, "VILLDROP ANN")] * 2 + [(3, 6, "ANN")] + [(4, 6, "QUENDAL ANN")] * 2 + [(4, 6, "ANN")]
+    rows += [(5, 7, "ORMWELL ANN B")] * 3 + [(6, 7, "OMRWEL ANN C")] * 3 + [(6, 7, "ORMWELL ANN")]
+    assert filers(spark, rows) == {(1, 2)}
