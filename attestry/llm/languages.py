@@ -40,12 +40,14 @@ LEAST_SENTENCES, CLIP = 6, 5.0
 PRIOR = 100.0
 #: Nats that a change of language between units costs; telling words and confidence that a held language needs in one segment.
 SWITCH, LEAST_WORDS, LEAST_CONFIDENCE = 7.0, 4, 0.95
+#: Words of the windows in which a change inside a unit is looked for, and the nats that one costs.
+WINDOW, INNER_SWITCH = 8, 14.0
 #: How far a declared label is trusted, and the weight in documents of the level above in a source's shares.
 LABEL_TRUST, SMOOTHING = 0.85, 20.0
 
 WORD = re.compile(r"[^\W\d_]+")
 QUOTE = re.compile(r"[„“”«»\"‘‚]")
-STOP = re.compile(r"[.!?]+[\"'”“»)]*(?=\s|$)|\n+")
+STOP = re.compile(r"[.!?…]*…[.!?…]*[\"'”“»)]*|[.!?]+[\"'”“»)]*(?=\s|$)|\n+")
 #: A short term in quotation marks, which says nothing of its surroundings.
 TERM = re.compile(r"[„“”«»\"‘‚][^„“”«»\"‘‚.!?\n]{1,40}[“”»«\"’‘]")
 
@@ -78,10 +80,27 @@ def units(text: str) -> list[tuple[int, int]]:
 def unit_words(text: str) -> list[str]:
     """Lower-case words of a sentence without those of quoted terms of at most four words."""
     if QUOTE.search(text):
-        text = TERM.sub(lambda m: " " if len(m.group().split()) <= 4 else m.group(), text)
+        text = TERM.sub(_blank, text)
     return WORD.findall(text.lower())
 
 
+def _blank(m: re.Match) -> str:
+    return " " * len(m.group()) if len(m.group().split()) <= 4 else m.group()
+
+
+def word_starts(text: str) -> list[int]:
+    """Where the words of unit_words begin in the text; a letter whose lower case is longer keeps its place."""
+    low = [c.lower() for c in TERM.sub(_blank, text)]
+    place = [i for i, c in enumerate(low) for _ in c]
+    return [place[m.start()] for m in WORD.finditer("".join(low))]
+
+
+def windows(n: int) -> list[tuple[int, int]]:
+    """n words in runs of WINDOW or somewhat more."""
+    k = max(1, n // WINDOW)
+    return [(n * i // k, n * (i + 1) // k) for i in range(k)]
+
+
 class Model:
     """Word -> row of log-odds over LANGS. Row 0 is an unknown word, which says nothing."""
 
@@ -139,17 +158,19 @@ def fit(sample: list[tuple[str, str]]) -> Model:
     return model
 
 
-def path(scores: np.ndarray, cost: float = SWITCH) -> np.ndarray:
-    """The most likely language of each unit when every change costs so many nats."""
+def path(scores: np.ndarray, cost: float | np.ndarray = SWITCH) -> np.ndarray:
+    """The most likely language of each unit when every change costs so many nats, or as many as stand at the unit that
+    it leads to."""
     best = scores.argmax(axis=1)
     if (best == best[0]).all():
         return best
     n, total, back = len(scores), scores[0].copy(), np.zeros(scores.shape, np.int64)
+    costs = np.broadcast_to(cost, n)
     for i in range(1, n):
         top = int(total.argmax())
-        moved = total[top] - cost > total
+        moved = total[top] - costs[i] > total
         back[i] = np.where(moved, top, np.arange(scores.shape[1]))
-        total = np.where(moved, total[top] - cost, total) + scores[i]
+        total = np.where(moved, total[top] - costs[i], total) + scores[i]
     out = np.zeros(n, np.int64)
     out[-1] = total.argmax()
     for i in range(n - 1, 0, -1):
@@ -166,24 +187,50 @@ CHUNK = 256
 
 def text_segments(docs: DataFrame, model: object) -> DataFrame:
     """One row per run of units that the text alone gives to one language; an empty text is one empty run. score: the
-    run's log-odds with the log trust in the declared label added."""
+    run's log-odds with the log trust in the declared label added. A unit whose windows of words speak for several
+    languages is taken window by window, so that a run may also begin inside it."""
     doubt = float(np.log((1 - LABEL_TRUST) / (len(LANGS) - 1)))
     label = {k: np.array([np.log(LABEL_TRUST) if k == x else doubt for x in LANGS]) for k in LANGS}
     nothing = np.zeros(len(LANGS))
 
     def chunk(b: pd.DataFrame, m: Model) -> list[tuple]:
-        spans, texts, first, out = [], [], [0], []
+        units_, parts, first, out = [], [], [0], []
         for t in b["text"]:
             t = plain(t or "")
-            own = units(t) or [(0, len(t))]
-            spans += own
-            texts += [unit_words(t[x:y]) for x, y in own]
-            first.append(len(spans))
-        scores, known = m.score(texts)
-        sizes = np.array([len(w) for w in texts])
+            for x, y in units(t) or [(0, len(t))]:
+                words = unit_words(t[x:y])
+                at = windows(len(words))
+                units_.append((t, x, y, len(words), at))
+                parts += [words[u:v] for u, v in at]
+            first.append(len(units_))
+        fine, fine_known = m.score(parts)
+        begins = np.cumsum([0] + [len(u[4]) for u in units_])
+        whole, whole_known = np.add.reduceat(fine, begins[:-1]), np.add.reduceat(fine_known, begins[:-1])
+        mixed = np.add.reduceat(fine.max(axis=1), begins[:-1]) - whole.max(axis=1) > SWITCH
+        spans, scores_, known_, sizes_, costs_, pieces = [], [], [], [], [], [0]
+        for lo, hi in zip(first[:-1], first[1:], strict=True):
+            for j in range(lo, hi):
+                t, x, y, n, at = units_[j]
+                if mixed[j]:
+                    starts = word_starts(t[x:y])
+                    edges = [x, *[x + starts[u] for u, _ in at[1:]], y]
+                    spans += zip(edges[:-1], edges[1:], strict=True)
+                    part = slice(begins[j], begins[j + 1])
+                    scores_ += list(fine[part])
+                    known_ += fine_known[part].tolist()
+                    sizes_ += [v - u for u, v in at]
+                    costs_ += [SWITCH] + [INNER_SWITCH] * (len(at) - 1)
+                else:
+                    spans.append((x, y))
+                    scores_.append(whole[j])
+                    known_.append(whole_known[j])
+                    sizes_.append(n)
+                    costs_.append(SWITCH)
+            pieces.append(len(spans))
+        scores, known, sizes, costs = np.array(scores_), np.array(known_), np.array(sizes_), np.array(costs_)
         for i, (doc, source, declared, missing) in enumerate(zip(b["doc_id"], b["source"], b["declared"], b["missing"], strict=True)):
-            lo, hi = first[i], first[i + 1]
-            own = path(scores[lo:hi])
+            lo, hi = pieces[i], pieces[i + 1]
+            own = path(scores[lo:hi], costs[lo:hi])
             cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), hi - lo]
             for seg, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 part = slice(lo + x, lo + y)

@@ -195,3 +195,15 @@ def test_sentences():
     text = "Am 23. März kam Q. Smith. Dann ging er! Ja?\nNeu"
     assert [text[a:b].strip() for a, b in lg.units(text)] == ["Am 23. März kam Q. Smith.", "Dann ging er!", "Ja?", "Neu"]
     assert lg.unit_words("Er („Technik“) ging") == ["er", "ging"]
+
+
+def test_a_change_of_language_inside_a_unit(spark, corpus):
+    cut_off = lambda k, i: STOCK[k][i].rstrip(".")
+    run_on = lambda k: ", ".join(x.rstrip(".") for x in STOCK[k] * 2)
+    d = docs(spark, corpus + [(1000, cut_off("en", 0) + "… " + STOCK["de"][1], "de", "feed-1.de"), (1001, run_on("de") + " vom 26. " + run_on("en").upper(), "de", "feed-1.de"), (1002, run_on("fr") + " " + run_on("es"), "fr", "feed-1.fr"), (1003, STOCK["de"][0] + " „The Company“ " + STOCK["de"][1], "de", "feed-1.de")])
+    segs = lg.segments(d).where("doc_id >= 1000")
+    found = {(r["doc_id"], r["lang"]) for r in lg.unsound(segs).collect()}
+    assert found == {(1000, "de"), (1000, "en"), (1001, "de"), (1001, "en"), (1002, "fr"), (1002, "es")}
+    for doc, text, *_ in d.where("doc_id >= 1000").collect():
+        own = sorted((r["start"], r["stop"]) for r in segs.where(f"doc_id = {doc}").collect())
+        assert own[0][0] == 0 and own[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(own[:-1], own[1:], strict=True))
