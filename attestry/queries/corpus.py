@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestry.functions import names
@@ -347,10 +347,10 @@ def public_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @REG.add("resolution_lists", f"WITH {_INDEX} SELECT name, array_to_string(list_sort(list(DISTINCT cik)), ',') AS ciks FROM presented_ix WHERE name <> '' GROUP BY name HAVING count(*) BETWEEN 2 AND 50")
 def resolution_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Colliding names with their sorted ids, in list form; a name of more than fifty ids stays in the long index."""
-    ix = collision.presented_index(people(spark, d))
-    few = collision.degrees(ix).where(F.col("degree").between(2, 50)).select("name")
-    return ix.join(few, "name", "left_semi").groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("cik")).cast("array<string>"), ",").alias("ciks"))
+    """Every name with its sorted ids, in list form; a name of more than fifty ids has a row for every fifty of them."""
+    ix = collision.presented_index(people(spark, d)).where("name <> ''")
+    chunk = F.floor((F.row_number().over(Window.partitionBy("name").orderBy("cik")) - 1) / 50)  # a hot name's sort may spill
+    return ix.select("name", "cik", chunk.alias("chunk")).groupBy("name", "chunk").agg(F.array_join(F.array_sort(F.collect_set("cik")).cast("array<string>"), ",").alias("ciks")).select("name", "ciks")
 
 
 @REG.add("task_ids", f"WITH {TASKS_SQL} SELECT task_id, sha256(person_cik || '|' || anchor_issuer_cik || '|' || truth_issuer_cik || '|' || strftime(target_date, '%Y-%m-%d'))[1:16] AS rebuilt FROM tasks")

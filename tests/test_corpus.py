@@ -79,3 +79,13 @@ def test_splits_and_leaks(spark):
     assert abs(share["train"] - 0.7) < 0.08
     with pytest.raises(ValueError):
         splitting.name_hash("", F.lit("x"))
+
+
+def test_resolution_lists_hold_every_name(spark, monkeypatch):
+    from attestry.queries import corpus
+
+    ids = [("hot", i) for i in range(120)] + [("one", 500), ("two", 501), ("two", 502)]
+    monkeypatch.setattr(corpus, "people", lambda spark, d: None)
+    monkeypatch.setattr(collision, "presented_index", lambda rows: spark.createDataFrame(ids, "name string, cik bigint"))
+    got = [(r["name"], [int(x) for x in r["ciks"].split(",")]) for r in corpus.resolution_lists(spark, "").collect()]
+    assert sorted((n, c) for n, cs in got for c in cs) == sorted(ids) and max(len(cs) for _, cs in got) == 50 and ("two", [501, 502]) in got
