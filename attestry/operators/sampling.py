@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,16 +55,43 @@ def resampled_indices(spark: object, n: int, resamples: int, seed: int | str) ->
     return r.select("resample", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j")).select("resample", (hash_draw(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("resample").cast("string"), F.col("j").cast("string")), 256)) % n).alias("idx"))
 
 
-def bootstrap_interval(values: DataFrame, resamples: int = 1000, seed: int | str = 11) -> DataFrame:
+#: Distinct values up to which a resample is drawn as counts per value.
+MOST_DISTINCT = 10_000
+
+
+def resampled_means(values: DataFrame, value: str, n: int, resamples: int, seed: int | str) -> DataFrame:
+    """(resample, m): means of n draws with replacement from n rows. Equal values are folded and a resample draws how often
+    each is taken, from a multinomial distribution, which is the distribution of n single draws; a generator is seeded by
+    a hash of seed and resample. If more than MOST_DISTINCT values differ, each draw is made by itself."""
+    spark = values.sparkSession
+    folded = values.groupBy(value).agg(F.count(F.lit(1)).alias("n")).limit(MOST_DISTINCT + 1).collect()
+    if len(folded) > MOST_DISTINCT:
+        return resampled_indices(spark, n, resamples, seed).join(values, "idx").groupBy("resample").agg(F.avg(value).alias("m"))
+    pairs = sorted((r["n"], r[value]) for r in folded if r[value] is not None)
+    counts = np.array([k for k, _ in pairs] + [n - sum(k for k, _ in pairs)], float)
+    levels = np.array([v for _, v in pairs], float)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            means = []
+            for i in b["id"]:
+                rng = np.random.RandomState(np.frombuffer(hashlib.sha256(f"{seed}|{i}".encode()).digest(), "<u4"))
+                taken = rng.multinomial(n, counts / n)[:-1]
+                means.append(float(taken @ levels / taken.sum()) if taken.sum() else None)
+            yield pd.DataFrame({"resample": b["id"], "m": means})
+
+    return spark.range(resamples).mapInPandas(run, "resample bigint, m double").where("m IS NOT NULL")
+
+
+def bootstrap_interval(values: DataFrame, resamples: int = 10_000, seed: int | str = 11) -> DataFrame:
     """One row: point, lo, hi, n of the mean of paired differences, resampling tasks. values: idx from 0, diff.
 
-    Limits are order statistics, not interpolated. The draws are n per resample and meet the differences in one equi-join,
-    with one difference per place; means are folded before they are shuffled."""
+    Limits are order statistics, not interpolated."""
     n = values.count()
     spark = values.sparkSession
     if n == 0:
         return spark.createDataFrame([(0.0, 0.0, 0.0, 0)], "point double, lo double, hi double, n bigint")
-    means = resampled_indices(spark, n, resamples, seed).join(values, "idx").groupBy("resample").agg(F.avg("diff").alias("m"))
+    means = resampled_means(values, "diff", n, resamples, seed)
     ordered = means.withColumn("r", F.row_number().over(Window.orderBy("m")) - 1)  # one row per resample
     lo, hi = int(0.025 * resamples), min(int(0.975 * resamples), resamples - 1)
     limits = ordered.agg(F.max(F.when(F.col("r") == lo, F.col("m"))).alias("lo"), F.max(F.when(F.col("r") == hi, F.col("m"))).alias("hi"))
@@ -81,14 +113,14 @@ def contrasts(records: DataFrame, task: str, arm: str, value: str) -> DataFrame:
     return a.join(b, task).where("arm_a < arm_b").select("arm_a", "arm_b", task, (F.col("va") - F.col("vb")).alias("diff"))
 
 
-def unpaired_interval(values: DataFrame, resamples: int = 1000, least: int = 100, seed: int | str = 11) -> DataFrame:
+def unpaired_interval(values: DataFrame, resamples: int = 10_000, least: int = 100, seed: int | str = 11) -> DataFrame:
     """One row: difference of two populations' means and its limits, each population resampled on its own; NULL limits and
     verdict 'none' if either has fewer than least scored rows. values: side ('a' or 'b'), idx from 0 per side, value."""
     n = {r["side"]: r["n"] for r in values.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     spark = values.sparkSession
     if min(n.get("a", 0), n.get("b", 0)) < least:
         return spark.createDataFrame([(None, None, None, "none")], "point double, lo double, hi double, verdict string")
-    mean = lambda s: resampled_indices(spark, n[s], resamples, f"{seed}{s}").join(values.where(F.col("side") == s), "idx").groupBy("resample").agg(F.avg("value").alias(s))
+    mean = lambda s: resampled_means(values.where(F.col("side") == s), "value", n[s], resamples, f"{seed}{s}").withColumnRenamed("m", s)
     diffs = mean("a").join(mean("b"), "resample").select((F.col("a") - F.col("b")).alias("m"))
     ordered = diffs.withColumn("r", F.row_number().over(Window.orderBy("m")) - 1)  # one row per resample
     lo, hi = int(0.025 * resamples), min(int(0.975 * resamples), resamples - 1)

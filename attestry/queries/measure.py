@@ -293,7 +293,7 @@ m AS (SELECT resample, avg(diff) AS m FROM draws JOIN v USING (idx) GROUP BY res
 SELECT (SELECT round(avg(diff), 6) FROM v) AS point, round(max(m) FILTER (WHERE r = 25), 6) AS lo, round(max(m) FILTER (WHERE r = 975), 6) AS hi, (SELECT n FROM n) AS n FROM o""",
 )
 def bootstrap_contrast(spark: SparkSession, d: str) -> DataFrame:
-    """Interval of the accuracy difference of two arms over all tasks, resampled 1000 times."""
+    """Interval of the accuracy difference of two arms over all tasks, resampled 10,000 times."""
     v = differences(spark, d).where("arm_a = 'alpha' AND arm_b = 'beta'")
     return sampling.bootstrap_interval(sampling.dense_index(v, "task_id").select("idx", "diff"))
 

@@ -193,3 +193,14 @@ def test_dense_index_has_no_gaps(spark):
     for g in range(3):
         assert sorted(r["idx"] for r in got if r["g"] == g) == list(range(sum(r["g"] == g for r in got)))
     assert sampling.dense_index(df.where("false"), "id").count() == 0
+
+
+def test_contrasts_resample_ten_thousand_times(spark, monkeypatch):
+    v = spark.createDataFrame([(i, float(i % 3 - 1), "ab"[i % 2]) for i in range(400)], "idx bigint, diff double, side string")
+    made, means = [], sampling.resampled_means
+    monkeypatch.setattr(sampling, "resampled_means", lambda rows, value, n, resamples, seed: made.append(resamples) or means(rows, value, n, resamples, seed))
+    r = sampling.bootstrap_interval(v).first()
+    half = 1.96 * math.sqrt(2 / 3 / 400)
+    assert abs(r["hi"] - r["point"] - half) < 0.01 and abs(r["point"] - r["lo"] - half) < 0.01
+    assert sampling.unpaired_interval(v.withColumnRenamed("diff", "value")).first()["verdict"] == "cannot separate"
+    assert made == [10_000] * 3
