@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions.keys import hash_draw
 from attestry.operators.measure import PROFILES, TAU, reward
-from attestry.operators.sampling import draw
+from attestry.operators.sampling import draw, sample
 
 LEAST_CELL = 5
 # Reward weights, the floor policies' confidence, the confidences a policy may state, seeds to claim.
@@ -252,33 +252,23 @@ def play(tasks: DataFrame, name: str, weights: list[list[float]] | None, seed: i
 def train(tasks: DataFrame, seeds: int, epochs: int = 3, group: int = 4, rate: float = 0.05, study_tasks: int = 2000) -> DataFrame:
     """(seed, best_epoch, score, weights): a policy per seed, trained by cloning a demonstration and then by group-relative
     advantage over tasks that are solved now and then, the epoch kept that does best on the hill-climb tasks, the first
-    on ties. tasks: task_id, split and a cell. A policy is fitted on a study of at most study_tasks tasks, the first by id,
-    which every seed's worker holds."""
+    on ties. tasks: task_id, split and a cell. A policy is fitted on a study of at most study_tasks training tasks, taken by
+    hash, which every seed's worker holds; every checkpoint is scored on all hill-climb tasks."""
     spark = tasks.sparkSession
-    study = [r.asDict() for r in tasks.orderBy("task_id").limit(study_tasks).collect()]
+    study = [r.asDict() for r in sample(tasks.where("split = 'train'"), "task_id", study_tasks).collect()]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         seed = int(pdf["seed"].iloc[0])
         policy, answer = LinearPolicy(), cell_answer(seed)
-        fitted, climb = [t for t in study if t["split"] == "train"], [t for t in study if t["split"] == "hillclimb"]
-        for t in fitted:
+        for t in study:
             ep = Episode(t)
             for a in (0, ACTIONS.index(("answer", 0.9))):
                 policy.learn(ep.observe()["x"], a, 1.0, rate)
                 ep.step(ACTIONS[a], answer)
 
-        def score() -> float:
-            total = 0.0
-            for t in climb:
-                ep = Episode(t)
-                while not ep.step(ACTIONS[policy.pick(ep.observe()["x"])], answer):
-                    pass
-                total += ep.record["reward"]
-            return total / len(climb) if climb else 0.0
-
-        best = (score(), 0, [r[:] for r in policy.w])
+        kept = [[r[:] for r in policy.w]]
         for epoch in range(1, epochs + 1):
-            for t in fitted:
+            for t in study:
                 runs = []
                 for k in range(group):
                     ep, steps = Episode(t), []
@@ -293,9 +283,27 @@ def train(tasks: DataFrame, seeds: int, epochs: int = 3, group: int = 4, rate: f
                 for r, steps in runs:
                     for x, a in steps:
                         policy.learn(x, a, (r - mean) / dev, rate)
-            if (now := score()) > best[0]:
-                best = (now, epoch, [r[:] for r in policy.w])
-        return pd.DataFrame({"seed": [seed], "best_epoch": [best[1]], "score": [best[0]], "weights": [best[2]]})
+            kept.append([r[:] for r in policy.w])
+        return pd.DataFrame({"seed": seed, "epoch": range(len(kept)), "weights": kept})
 
     frame = spark.range(seeds).select(F.col("id").alias("seed"))
-    return frame.groupBy("seed").applyInPandas(one, "seed bigint, best_epoch int, score double, weights array<array<double>>")
+    made = frame.groupBy("seed").applyInPandas(one, "seed bigint, epoch int, weights array<array<double>>").collect()  # a row per seed and epoch
+
+    def score(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows, climb = [], b.to_dict("records")
+            for r in made:
+                policy, answer, total = LinearPolicy(r["weights"]), cell_answer(r["seed"]), 0.0
+                for t in climb:
+                    ep = Episode(t)
+                    while not ep.step(ACTIONS[policy.pick(ep.observe()["x"])], answer):
+                        pass
+                    total += ep.record["reward"]
+                rows.append((r["seed"], r["epoch"], total, len(climb)))
+            yield pd.DataFrame(rows, columns=["seed", "epoch", "total", "n"])
+
+    got = tasks.where("split = 'hillclimb'").mapInPandas(score, "seed bigint, epoch int, total double, n bigint")
+    means = got.groupBy("seed", "epoch").agg((F.sum("total") / F.sum("n")).alias("score"))
+    points = spark.createDataFrame(made, "seed bigint, epoch int, weights array<array<double>>").join(means, ["seed", "epoch"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    best = points.groupBy("seed").agg(F.max_by(F.struct("epoch", "score", "weights"), F.struct("score", -F.col("epoch"))).alias("b"))
+    return best.select("seed", F.col("b.epoch").alias("best_epoch"), "b.score", "b.weights")

@@ -141,5 +141,5 @@ def episodes(spark: SparkSession, d: str) -> DataFrame:
 @REG.add("trained_policies")
 def trained_policies(spark: SparkSession, d: str) -> DataFrame:
     """A policy per seed, with the epoch and score of its best checkpoint."""
-    got = simulate.train(episode_tasks(spark, d), seeds=3, epochs=1, group=2)
+    got = simulate.train(episode_tasks(spark, d), seeds=6, epochs=6, group=8)
     return got.select("seed", "best_epoch", F.round("score", 6).alias("score"))

@@ -204,3 +204,11 @@ def test_contrasts_resample_ten_thousand_times(spark, monkeypatch):
     assert abs(r["hi"] - r["point"] - half) < 0.01 and abs(r["point"] - r["lo"] - half) < 0.01
     assert sampling.unpaired_interval(v.withColumnRenamed("diff", "value")).first()["verdict"] == "cannot separate"
     assert made == [10_000] * 3
+
+
+def test_checkpoints_are_scored_on_every_hill_climb_task(spark):
+    rows = [(f"a{i}", "train", 0.6, 0.1, 0.2, 0.8) for i in range(6)] + [(f"b{i}", "hillclimb", 0.1 * (i % 9), 0.1, 0.1, 0.7) for i in range(40)]
+    t = spark.createDataFrame(rows, "task_id string, split string, p_correct double, p_stale double, p_wrong double, mean_confidence double")
+    got = simulate.train(t, seeds=1, epochs=1, group=2, study_tasks=4).first()
+    played = simulate.play(t.where("split = 'hillclimb'"), "p", got["weights"], seed=0).agg(F.avg("reward"), F.count(F.lit(1))).first()
+    assert played[1] == 40 and abs(played[0] - got["score"]) < 1e-9
