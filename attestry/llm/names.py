@@ -7,14 +7,14 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import combinations, permutations, product
+from itertools import combinations, product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestry.llm.titles import one_typo
+from attestry.llm.titles import levenshtein, one_typo
 from attestry.session import cut
 
 #: Given names with their familiar, shortened and foreign forms.
@@ -54,6 +54,8 @@ DROPPED = ".'’‘ʼ-‐‑\u0300\u0301\u0302\u0303\u0308\u030a\u030c\u0327"
 #: A middle initial counts if so many of an id's rows have it; two tokens one edit apart are two names if both are
 #: those of several ids and neither is rare beside the other.
 INITIAL_SHARE, LEAST_IDS, RARE_SHARE = 0.25, 3, 0.2
+#: Two spellings that each have a typo of their own are two edits apart: rare tokens of so many letters are compared so.
+LONG_TOKEN = 7
 
 
 def name_tokens(c: str) -> Column:
@@ -110,28 +112,40 @@ def deletes(t: str) -> set[str]:
     return {t, *(t[:i] + t[i + 1 :] for i in range(len(t)))}
 
 
+def rare_and_long(t: str, n: int) -> bool:
+    return n < LEAST_IDS and len(t) >= LONG_TOKEN
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _deletes(t: pd.Series) -> pd.Series:
-    return t.map(lambda x: sorted(deletes(x)) if len(x) > 3 else [x])
+def _deletes(t: pd.Series, n: pd.Series) -> pd.Series:
+    """What a token is indexed under: two letters deleted from rare long ones, one from others, none from those of up to
+    three letters, in which a typo leaves another word."""
+    two = lambda x: {e for d in deletes(x) for e in deletes(d)}
+    return pd.Series([sorted(two(x) if rare_and_long(x, m) else deletes(x) if len(x) > 3 else [x]) for x, m in zip(t, n, strict=True)], dtype=object)
+
+
+def close(a: str, na: int, b: str, nb: int) -> bool:
+    """One edit or swap apart, or two if both are rare and long."""
+    return one_typo(a, b) or rare_and_long(a, na) and rare_and_long(b, nb) and levenshtein(a, b) <= 2
 
 
 @F.pandas_udf(T.BooleanType())
-def _near(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([one_typo(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+def _near(a: pd.Series, na: pd.Series, b: pd.Series, nb: pd.Series) -> pd.Series:
+    return pd.Series([close(*x) for x in zip(a, na, b, nb, strict=True)], dtype=bool)
 
 
 def token_index(prof: DataFrame) -> DataFrame:
-    """(token, n, up): for every token how many ids have it in their top spelling, and the tokens one edit away that more
-    ids have.
+    """(token, n, up): for every token how many ids have it in their top spelling, and the close tokens that more ids
+    have.
 
-    Two tokens one edit apart share a string with one letter deleted. Each token names only its more frequent
+    Two tokens one edit apart share a string with one letter deleted, two edits apart one with two deleted. Each token names only its more frequent
     neighbours, so two spellings meet at the more frequent one and rare ones at the name they stem from.
     """
     vocabulary = cut(prof.select("top", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count_if("top").alias("n")))
-    index = vocabulary.select("token", "n", F.explode(_deletes("token")).alias("d"))
+    index = vocabulary.select("token", "n", F.explode(_deletes("token", "n")).alias("d"))
     other = index.select(F.col("token").alias("t2"), F.col("n").alias("n2"), "d")
-    pairs = index.join(other, "d").where((F.col("n2") > F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("t2") > F.col("token")))).select("token", "t2").distinct()
-    ups = pairs.where(_near("token", "t2")).groupBy("token").agg(F.sort_array(F.collect_list("t2")).alias("up"))  # one edit's reach
+    pairs = index.join(other, "d").where((F.col("n2") > F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("t2") > F.col("token")))).select("token", "n", "t2", "n2").distinct()
+    ups = pairs.where(_near("token", "n", "t2", "n2")).groupBy("token").agg(F.sort_array(F.collect_list("t2")).alias("up"))  # one edit's reach
     return vocabulary.join(ups, "token", "left").select("token", "n", F.coalesce("up", F.array().cast("array<string>")).alias("up"))
 
 
@@ -159,13 +173,17 @@ def keys_of(t: str, up: Iterable[str]) -> set[str]:
 def name_keys(tokens: list[tuple[str, int, list[str]]]) -> set[str]:
     """Unordered pairs of keys of two tokens; neighbours are also tried as one token that a blank parted. A pair of two
     words that any organisation may have says nothing."""
-    lists = [tokens] + [[*tokens[:i], (tokens[i][0] + tokens[i + 1][0], 0, []), *tokens[i + 2 :]] for i in range(len(tokens) - 1)]
+    spans = [((i, i), t, up) for i, (t, _, up) in enumerate(tokens)]
+    spans += [((i, i + 1), tokens[i][0] + tokens[i + 1][0], []) for i in range(len(tokens) - 1)]
+    looked = [(span, keys_of(t, up)) for span, t, up in dict.fromkeys((s, t, tuple(u)) for s, t, u in spans)]
     out: set[str] = set()
-    for own in lists:
-        if len(own) == 1:
-            out |= {f"{k}|" for k in keys_of(own[0][0], own[0][2])}
-        for (a, _, ua), (b, _, ub) in combinations(own, 2):
-            out |= {"|".join(sorted((x, y))) for x, y in product(keys_of(a, ua), keys_of(b, ub)) if x not in COMPANY or y not in COMPANY}
+    for (own, ks), (other, ls) in combinations(looked, 2):
+        if own[1] < other[0] or other[1] < own[0]:
+            if own[0] == own[1] or other[0] == other[1]:  # one blank too many at most
+                out |= {"|".join(sorted((x, y))) for x, y in product(ks, ls) if x not in COMPANY or y not in COMPANY}
+    for (lo, hi), ks in looked:
+        if hi - lo + 1 == len(tokens):
+            out |= {f"{k}|" for k in ks}
     return out
 
 
@@ -179,7 +197,7 @@ def token_match(a: str, na: int, b: str, nb: int) -> int:
     if x in COMPANY or y in COMPANY:
         short, full = sorted((x, y), key=len)
         return 2 if full in COMPANY and (len(short) >= 3 and full.startswith(short) or one_typo(x, y)) else 0
-    if min(len(a), len(b)) >= 4 and one_typo(a, b):
+    if min(len(a), len(b)) >= 4 and close(a, na, b, nb):
         rare, often = sorted((na, nb))
         return 0 if rare >= LEAST_IDS and rare > often * RARE_SHARE else 2
     for u, v in ((a, b), (b, a)):  # a familiar form beside a formal one with a typo, or the other way round
@@ -188,28 +206,67 @@ def token_match(a: str, na: int, b: str, nb: int) -> int:
     return 0
 
 
+def best_assignment(gain: list[list[int]]) -> list[int]:
+    """For each row the column that it gets, so that the sum of gains is the largest; no column twice. At most as many
+    rows as columns. Shortest augmenting paths with potentials, one row after another."""
+    n, k = len(gain), len(gain[0]) if gain else 0
+    row_pot, col_pot, held = [0] * n, [0] * k, [-1] * k
+    for start in range(n):
+        far, via, done = [float("inf")] * k, [-1] * k, [False] * k
+        row, at = start, -1
+        while True:
+            near, step = -1, float("inf")
+            for j in range(k):
+                if not done[j]:
+                    slack = row_pot[row] + col_pot[j] - gain[row][j]
+                    base = 0 if at < 0 else far[at]
+                    if base + slack < far[j]:
+                        far[j], via[j] = base + slack, at
+                    if far[j] < step:
+                        near, step = j, far[j]
+            at = near
+            done[at] = True
+            if held[at] < 0:
+                break
+            row = held[at]
+        end = far[at]
+        for j in range(k):
+            if done[j]:
+                col_pot[j] += end - far[j]
+                if held[j] >= 0:
+                    row_pot[held[j]] -= end - far[j]
+        row_pot[start] -= end
+        while via[at] >= 0:
+            held[at] = held[via[at]]
+            at = via[at]
+        held[at] = start
+    out = [-1] * n
+    for j, i in enumerate(held):
+        if i >= 0:
+            out[i] = j
+    return out
+
+
 def assign(a: list[tuple[str, int]], b: list[tuple[str, int]]) -> tuple[int, int, int]:
-    """The best assignment of the shorter list's tokens to the other's: (matched, matched long ones, score). Names have
-    few tokens; lists beyond six are assigned greedily by score."""
+    """The best assignment of the shorter list's tokens to the other's, however many: (matched, matched long ones, score).
+
+    Tokens that can only match each other are settled at once; the rest are assigned optimally, by number matched, then
+    long ones, then score."""
     if len(a) > len(b):
         a, b = b, a
     m = [[token_match(x, nx, y, ny) for y, ny in b] for x, nx in a]
     full = lambda i, j: m[i][j] >= 2 and min(len(a[i][0]), len(b[j][0])) > 1
-    if len(b) > 6:
-        used: set[int] = set()
-        taken: set[int] = set()
-        score = longs = 0
-        for s, i, j in sorted(((m[i][j], i, j) for i in range(len(a)) for j in range(len(b))), reverse=True):
-            if s and i not in taken and j not in used:
-                taken.add(i)
-                used.add(j)
-                score, longs = score + s, longs + full(i, j)
-        return len(taken), longs, score
-    best = (0, 0, 0)
-    for order in permutations(range(len(b)), len(a)):
-        got = [(i, j) for i, j in enumerate(order) if m[i][j]]
-        best = max(best, (len(got), sum(full(i, j) for i, j in got), sum(m[i][j] for i, j in got)))
-    return best
+    rows = [[j for j, s in enumerate(r) if s] for r in m]
+    seen = [sum(bool(r[j]) for r in m) for j in range(len(b))]
+    pairs = [(i, js[0]) for i, js in enumerate(rows) if len(js) == 1 and seen[js[0]] == 1]
+    settled = {i for i, _ in pairs}
+    open_ = [i for i, js in enumerate(rows) if js and i not in settled]
+    if open_:
+        cols = sorted({j for i in open_ for j in rows[i]})
+        unit = 4 * (len(a) + 1)  # more than all scores together
+        gain = [[unit * unit + full(i, j) * unit + m[i][j] if m[i][j] else 0 for j in cols] + [0] * len(open_) for i in open_]
+        pairs += [(i, cols[j]) for i, j in zip(open_, best_assignment(gain), strict=True) if j < len(cols) and m[i][cols[j]]]
+    return len(pairs), sum(full(i, j) for i, j in pairs), sum(m[i][j] for i, j in pairs)
 
 
 def _with_initial(tokens: list[tuple[str, int]], initial: str | None) -> list[tuple[str, int]]:
@@ -218,14 +275,22 @@ def _with_initial(tokens: list[tuple[str, int]], initial: str | None) -> list[tu
     return [*tokens, (initial, 0)]
 
 
+def _rejoined(t: list[tuple[str, int]], other: list[tuple[str, int]]) -> Iterator[list[tuple[str, int]]]:
+    """The tokens with two neighbours as one that a blank parted, where the other name has such a token."""
+    for i in range(len(t) - 1):
+        one = t[i][0] + t[i + 1][0]
+        if any(token_match(one, 0, y, n) >= 2 for y, n in other):
+            yield [*t[:i], (one, 0), *t[i + 2 :]]
+
+
 def same_name(a: tuple, b: tuple) -> bool:
     """Whether two profiles (tokens with counts, initial, generation) are spellings of one name: no part of one
     contradicts the other's, and two long tokens, or the only one, match. A part that one omits contradicts nothing."""
     (ta, ia, ga), (tb, ib, gb) = a, b
     if ga and gb and ga != gb:
         return False
-    merged = lambda t: [t] + [[*t[:i], (t[i][0] + t[i + 1][0], 0), *t[i + 2 :]] for i in range(len(t) - 1)]
-    for x, y in [(ta, tb)] + [(x, tb) for x in merged(ta)[1:]] + [(ta, y) for y in merged(tb)[1:]]:
+    tries = [(ta, tb), *((x, tb) for x in _rejoined(ta, tb)), *((ta, y) for y in _rejoined(tb, ta))]
+    for x, y in tries:
         u, v = _with_initial(x, ia), _with_initial(y, ib)
         matched, longs, _ = assign(u, v)
         if matched == min(len(u), len(v)) and longs >= min(2, len(x), len(y)):
@@ -261,7 +326,7 @@ def same_filers(rows: DataFrame) -> DataFrame:
     rows: person bigint, issuer bigint, name string. Every spelling of an id is indexed; ids meet under a hash of the issuer and two tokens, never under an
     issuer or a surname alone, so a hot one makes no product; only ids that meet are compared. Rows without an issuer
     take no part in meeting but vote on the spelling; rows without an id are left out, and ids of which no row has a word
-    for a name match none. Repeated rows add votes and change no pair. Names of more than six words are assigned greedily.
+    for a name match none. Repeated rows add votes and change no pair. Names of any number of words are assigned optimally.
     Only the three columns are read, whatever others there are; an empty table gives no pairs.
     """
     prof = cut(indexed(cut(spellings(rows))))

@@ -110,6 +110,52 @@ def test_assignment_is_the_best_one():
         assert n.assign(a, b)[0] == best
 
 
+def dp_matching(match):
+    """The most rows matched, by a table over subsets of the columns."""
+    best = {0: 0}
+    for row in match:
+        nxt = dict(best)
+        for used, n in best.items():
+            for j, ok in enumerate(row):
+                if ok and not used >> j & 1:
+                    nxt[used | 1 << j] = max(nxt.get(used | 1 << j, 0), n + 1)
+        best = nxt
+    return max(best.values())
+
+
+def test_long_names_are_assigned_optimally():
+    rng = random.Random(3)
+    pool = ["ann", "anna", "a", "b", "bob", "bill", "robert", "rob", "william", "w", "will", "ltd", "limited", "quill", "quilt", "quil", "marsh", "marshe"]
+    for _ in range(40):
+        a, b = ([(x, 1) for x in rng.sample(pool, rng.randrange(7, 13))] for _ in range(2))
+        small, large = sorted((a, b), key=len)
+        match = [[n.token_match(*x, *y) > 0 for y in large] for x in small]
+        assert n.assign(a, b)[0] == dp_matching(match)
+    five = [(w, 1) for w in "aaaaa bbbbb ccccc ddddd eeeee".split()]
+    a, b = [("b", 1), ("robert", 1), *five], [("rob", 1), ("bob", 1), *five]
+    assert n.assign(a, b)[0] == 7 and n.same_name((a, None, None), (b, None, None))
+
+
+def test_assignment_by_gain_against_permutations():
+    rng = random.Random(5)
+    for _ in range(200):
+        k = rng.randrange(1, 7)
+        gain = [[rng.randrange(9) for _ in range(k)] for _ in range(rng.randrange(1, k + 1))]
+        got = n.best_assignment(gain)
+        assert len(set(got)) == len(gain)
+        assert sum(r[j] for r, j in zip(gain, got, strict=True)) == max(sum(r[j] for r, j in zip(gain, p, strict=True)) for p in itertools.permutations(range(k), len(gain)))
+
+
+def test_two_rare_spellings_with_a_typo_each(spark):
+    rows = [(1, 5, "Vimterhall Venture PARTNERS LP"), (2, 5, "Vinterhaall Venture PARTNERS LP"), (3, 5, "Vonterholl Venture PARTNERS LP"), (4, 6, "ROE ANN"), (5, 6, "RAY ANN")]
+    assert filers(spark, rows) == {(1, 2)}
+
+
+def test_keys_of_a_name_with_many_words():
+    many = [(f"w{i}", 1, []) for i in range(200)]
+    assert len(n.name_keys(many)) < 200 * 200 * 2 and "w0|w199" in n.name_keys(many)
+
+
 def test_any_two_spellings_of_two_ids_may_match(spark):
     rows = [(1, 5, "NURBUNCBROOK RICHARD")] * 4 + [(2, 5, "NUBUNCBOOK RICHARD")] * 2 + [(2, 5, "Nurbuncbrook Richard CPA")]
     rows += [(3, 6, "VILLDROP ANN")] * 2 + [(3, 6, "ANN")] + [(4, 6, "QUENDAL ANN")] * 2 + [(4, 6, "ANN")]
