@@ -47,11 +47,12 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: its lineage ends there, and losing executors loses nothing."""
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df written to the shared folder and read back: its lineage ends there, and losing executors loses nothing. by: a
+    column of few values; a filter on one of them then reads its files only."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/attestry-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._attestry_path = path
