@@ -3,7 +3,6 @@ partitions, exact grouping of possible repeats only; all other records are emitt
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,8 +12,8 @@ from pyspark.sql import functions as F
 
 from attestry.session import cut
 
-#: Bits of filter per row, hash functions, the most bytes of filter held at once (driver and each worker), and the
-#: bytes of one shard. Beyond FILTER_BYTES the hash space is worked off in blocks over a thin table of hashes.
+#: Bits of filter per row, hash functions, the most bytes of one filter (driver and each worker), and the bytes of one
+#: shard. The hash space is parted into as many blocks as keep a block's filter below FILTER_BYTES.
 BITS_PER_ROW, PROBES, FILTER_BYTES, SHARD_BYTES = 16, 2, 64 << 20, 1 << 18
 
 #: Characters that are dropped from text; all others that are no letter or digit separate words.
@@ -43,20 +42,13 @@ def _positions(h: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([((lo + np.uint64(i) * hi) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(bits) for i in range(PROBES)])
 
 
-def _pack(seen: np.ndarray) -> bytes:
-    return zlib.compress(np.packbits(seen).tobytes(), 1)
-
-
-def _unpack(b: bytes, bits: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(zlib.decompress(b), np.uint8), count=bits).astype(bool)
-
-
 def repeat_filter(hashes: DataFrame, rows: int) -> tuple[np.ndarray, int]:
     """The packed filter of repeatedly-seen hashes of a one-column DataFrame h, and its bits.
 
-    Each partition builds two filters, of hashes seen once and seen again, and sends them shard by shard; one task per
-    shard merges them: a bit set in two partitions' first filters is a bit of the second. What reaches the driver is one
-    bit per BITS_PER_ROW share, at most FILTER_BYTES by the caller's choice of rows.
+    Each partition finds the bits of hashes that it sees once and again and sends them shard by shard; one task per shard
+    merges them: a bit that two partitions have set is one of the second filter. A shard's bits follow the rows that fall
+    into it, some SHARD_BYTES * 8 / BITS_PER_ROW, whatever the number of partitions. What reaches the driver is one bit
+    per BITS_PER_ROW share, at most FILTER_BYTES by the caller's choice of rows.
     """
     shard_bits = SHARD_BYTES * 8
     bits = max(1, -(-rows * BITS_PER_ROW // shard_bits)) * shard_bits if rows * BITS_PER_ROW > shard_bits else max(1024, 1 << (max(1, rows) * BITS_PER_ROW - 1).bit_length())
@@ -68,27 +60,24 @@ def repeat_filter(hashes: DataFrame, rows: int) -> tuple[np.ndarray, int]:
             return
         own, n = np.unique(np.concatenate(got), return_counts=True)
         first, second = (np.unique(_positions(x, bits).ravel()) for x in (own, own[n > 1]))
-        for k in np.unique(first // np.uint64(width)).tolist():  # one shard at a time: memory follows the rows, not the filter
-            parts = []
-            for at in (first, second):
-                lo, hi = np.searchsorted(at, [k * width, (k + 1) * width])
-                seen = np.zeros(width, bool)
-                seen[(at[lo:hi] - np.uint64(k * width)).astype(np.int64)] = True
-                parts.append(_pack(seen))
-            yield pd.DataFrame({"shard": [k], "once": parts[:1], "again": parts[1:]})
+        shards = np.unique(first // np.uint64(width))
+        part = lambda at, k: (at[slice(*np.searchsorted(at, [k * width, (k + 1) * width]))] - np.uint64(k * width)).astype(np.uint32).tobytes()
+        for some in np.array_split(shards, -(-len(shards) // 64)):
+            ks = some.tolist()
+            yield pd.DataFrame({"shard": np.array(ks, np.int32), "once": [part(first, k) for k in ks], "again": [part(second, k) for k in ks]})
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        once, again = np.zeros(width, bool), np.zeros(width, bool)
-        for a, b in zip(pdf["once"], pdf["again"], strict=True):
-            new = _unpack(a, width)
-            again |= _unpack(b, width) | (once & new)
-            once |= new
-        return pd.DataFrame({"shard": pdf["shard"][:1], "again": [_pack(again)]})
+        once, n = np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in pdf["once"]]), return_counts=True)
+        again = np.zeros(width, bool)
+        again[once[n > 1]] = True
+        for b in pdf["again"]:
+            again[np.frombuffer(b, np.uint32)] = True
+        return pd.DataFrame({"shard": pdf["shard"][:1], "again": [np.packbits(again).tobytes()]})
 
     built = hashes.mapInPandas(build, "shard int, once binary, again binary")
     out = np.zeros(bits // 8, np.uint8)
     for r in built.groupBy("shard").applyInPandas(merge, "shard int, again binary").toLocalIterator():
-        out[r["shard"] * width // 8 : (r["shard"] + 1) * width // 8] = np.frombuffer(zlib.decompress(bytes(r["again"])), np.uint8)
+        out[r["shard"] * width // 8 : (r["shard"] + 1) * width // 8] = np.frombuffer(bytes(r["again"]), np.uint8)
     return out, bits
 
 
@@ -107,39 +96,37 @@ def _maybe(packed: np.ndarray, bits: int, spark: object) -> object:
 
 
 def possible_repeats(df: DataFrame, parts: list[Column], row_id: str) -> DataFrame:
-    """df with __maybe: false only for rows whose canonical parts occur once. The parts' hash decides; one that is
-    wrongly thought repeated costs a little work and changes no result."""
-    spark = df.sparkSession
-    h = F.xxhash64(*[marked(p) for p in parts])
+    """(__row, __rec, __maybe): each row's id and canonical record; __maybe is false only for records that occur once.
+
+    The canonical records are written once, by blocks of their hashes; every block has a filter of its own, so the work
+    grows with the rows whatever their number, and a row is read three times: as it came, its hash, and its record. A
+    record that is wrongly thought repeated costs a little work and changes no result.
+    """
     rows = df.count()
     blocks = max(1, -(-rows * BITS_PER_ROW // (FILTER_BYTES * 8)))
-    if blocks == 1:
-        packed, bits = repeat_filter(df.select(h.alias("h")), rows)
-        return df.withColumn("__maybe", _maybe(packed, bits, spark)(h))
-    thin = cut(df.select(F.col(row_id).alias("__r"), h.alias("h"), F.pmod(F.shiftright(h, 40), F.lit(blocks)).cast("int").alias("block")))
-    hit = None
+    canon = df.select(F.col(row_id).alias("__row"), record_of(parts).alias("__rec")).withColumn("h", F.xxhash64("__rec"))
+    canon = cut(canon.withColumn("block", F.pmod(F.shiftright("h", 40), F.lit(blocks)).cast("int")), by="block")
+    out = None
     for k in range(blocks):
-        own = thin.where(F.col("block") == k)
+        own = canon.where(F.col("block") == k)
         packed, bits = repeat_filter(own.select("h"), -(-rows // blocks))
-        ids = cut(own.where(_maybe(packed, bits, spark)(F.col("h"))).select("__r"))
-        hit = ids if hit is None else hit.unionByName(ids)
-    return df.join(hit.withColumn("__hit", F.lit(True)), F.col(row_id) == F.col("__r"), "left").withColumn("__maybe", F.coalesce("__hit", F.lit(False))).drop("__hit", "__r")
+        got = own.withColumn("__maybe", _maybe(packed, bits, df.sparkSession)(F.col("h"))).select("__row", "__rec", "__maybe")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
-def collapse(df: DataFrame, parts: list[Column], row_id: str, hashed: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
+def collapse(df: DataFrame, parts: list[Column], row_id: str) -> tuple[DataFrame, DataFrame]:
     """(records, copies). records: __keep, the smallest row id of each record, and n_rows, how many rows it had; copies:
     __row, a row that is a copy, and __keep.
 
-    Possible repeats are grouped by the whole canonical record; the count and the smallest id are folded map-side, and
-    the join back has one row per record on its right, so a record that a third of all rows repeat is split by AQE.
-    NULL equals NULL and differs from an empty text. Empty tables give empty results; texts are compared whole, however
-    long; columns that are in no part are not read. hashed: those canonical parts that the filters hash, all if it is
-    not given; as equal records agree in any choice of parts, parts that are cheap and tell most records apart spare two
-    passes over the texts, and records that agree in these alone are told apart by the exact grouping.
+    Only possible repeats are shuffled: they are grouped by the whole canonical record, the count and the smallest id are
+    folded map-side, and the join back has one row per record on its right, so a record that a third of all rows repeat
+    is split by AQE. NULL equals NULL and differs from an empty text. Empty tables give empty results; texts are compared
+    whole, however long; columns that are in no part are not read.
     """
-    flagged = possible_repeats(df, hashed or parts, row_id)
-    cand = flagged.where("__maybe").select(F.col(row_id).alias("__row"), record_of(parts).alias("__rec"))
+    flagged = possible_repeats(df, parts, row_id)
+    cand = cut(flagged.where("__maybe").select("__row", "__rec"))
     groups = cand.groupBy("__rec").agg(F.min("__row").alias("__keep"), F.count(F.lit(1)).alias("n_rows"))
-    singles = flagged.where(~F.col("__maybe")).select(F.col(row_id).alias("__keep"), F.lit(1).cast("bigint").alias("n_rows"))
+    singles = flagged.where(~F.col("__maybe")).select(F.col("__row").alias("__keep"), F.lit(1).cast("bigint").alias("n_rows"))
     copies = cand.join(groups.where("n_rows > 1").select("__rec", "__keep"), "__rec").where(F.col("__row") != F.col("__keep")).select("__row", "__keep")
     return groups.select("__keep", "n_rows").unionByName(singles), copies

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from attestry.functions.keys import digits, number
 from attestry.llm import near_copies, splits
-from attestry.llm.components import components
 from attestry.queries import Registry
 from attestry.session import table
 
@@ -32,16 +31,21 @@ SELECT min(y) AS group_cik, x AS person_cik FROM reach GROUP BY x HAVING min(y)
 """,
 )
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    groups = components(splits.links_by_key(_linked(spark, d), "person", "acc"))
-    return groups.where("label < node").select(F.col("label").alias("group_cik"), F.col("node").alias("person_cik"))
+    """The groups that the assignment keeps whole, from its rows."""
+    held = _assigned(spark, d).where(F.col("person").isNotNull()).select(F.substring("component", 3, 30).cast("bigint").alias("group_cik"), F.col("person").alias("person_cik"))
+    return held.where("group_cik < person_cik").distinct()
 
 
-@REG.add("p5_assignment")
-def p5_assignment(spark: SparkSession, d: str) -> DataFrame:
+def _assigned(spark: SparkSession, d: str) -> DataFrame:
     shares = [(r["split"], r["pct"]) for r in table(spark, d, "splits").collect()]  # one row per split
     return splits.assign(_linked(spark, d), "row_id", "person", "acc", "title_class", shares)
 
 
+@REG.add("p5_assignment")
+def p5_assignment(spark: SparkSession, d: str) -> DataFrame:
+    return _assigned(spark, d).select("row_id", "split")
+
+
 @REG.add("p5_shares")
 def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     """Rows per split and title class."""
@@ -59,11 +63,6 @@ def record_parts() -> list[Column]:
     return [digits("accession"), number("person_cik"), number("issuer_cik"), F.col("period"), F.col("filed"), words, near_copies.canonical_text("issuer_name_raw"), near_copies.canonical_text("issuer_ticker"), near_copies.canonical_text("title_raw"), near_copies.canonical_text("title_class"), roles]
 
 
-def record_keys() -> list[Column]:
-    """The parts of a record that tell most records apart without a look at its texts."""
-    return [digits("accession"), number("person_cik"), number("issuer_cik"), F.col("period"), F.col("filed")]
-
-
 _TEXT = r"trim(regexp_replace(regexp_replace(lower({0}), '[.''’‘ʼ‐‑-]', '', 'g'), '[^\p{{L}}\p{{N}}\p{{M}}]+', ' ', 'g'))"
 _P6_SQL = (
     "WITH canon AS (SELECT row_id, nullif(regexp_replace(accession, '[^0-9]', '', 'g'), '') AS a, try_cast(trim(person_cik) AS BIGINT) AS p, try_cast(trim(issuer_cik) AS BIGINT) AS i, period, filed, "
@@ -74,11 +73,11 @@ _P6_SQL = (
 
 @REG.add("p6_found", _P6_SQL + "SELECT keep AS row_a, row_id AS row_b FROM g WHERE row_id <> keep")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    _, copies = near_copies.collapse(table(spark, d, "attested_tuple"), record_parts(), "row_id", record_keys())
+    _, copies = near_copies.collapse(table(spark, d, "attested_tuple"), record_parts(), "row_id")
     return copies.select(F.col("__keep").alias("row_a"), F.col("__row").alias("row_b"))
 
 
 @REG.add("p6_records", _P6_SQL + "SELECT keep AS row_id, n_rows FROM g WHERE row_id = keep")
 def p6_records(spark: SparkSession, d: str) -> DataFrame:
-    records, _ = near_copies.collapse(table(spark, d, "attested_tuple"), record_parts(), "row_id", record_keys())
+    records, _ = near_copies.collapse(table(spark, d, "attested_tuple"), record_parts(), "row_id")
     return records.select(F.col("__keep").alias("row_id"), "n_rows")

@@ -1,6 +1,6 @@
 """Splits that keep related records together: connected components are bundled by identical size and label profile, a
-min-cost flow with costs on deviation gives each split its share of every label, shares are rounded to whole components,
-and a component's place in the order of its hash decides its split."""
+min-cost flow from bundles to splits, with costs on deviation from the quotas of labels and of splits, places them in
+whole components, and a component's place in the order of its hash decides which of its bundle it is."""
 
 from __future__ import annotations
 
@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.llm.components import components
+from attestry.session import broadcast_if_small, cut
 
-#: Cost of a row beyond a label's quota in a split, and beyond the split's whole quota.
-LABEL_COST, TOTAL_COST = 1, 8
+#: Cost of a row beyond a label's quota in a split, and beyond the split's whole quota, in units of COST_STEPS a row.
+LABEL_COST, TOTAL_COST, COST_STEPS = 1, 8, 64
 #: Hash buckets per bundle in which members are ranked apart.
 RANK_BUCKETS = 256
 
@@ -33,7 +34,8 @@ def with_component(df: DataFrame, row_id: str, node: str, key: str) -> DataFrame
     labels = components(links_by_key(df, node, key)).withColumnRenamed("node", node).withColumnRenamed("label", "__label")
     out = df.where(F.col(node).isNotNull()).join(labels, node, "left").withColumn("__comp", F.concat(F.lit("p:"), F.coalesce("__label", node).cast("string")))
     bare = df.where(F.col(node).isNull())
-    by_key = out.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("__comp").alias("__kc"))
+    wanted = bare.where(F.col(key).isNotNull()).select(key).distinct()
+    by_key = out.join(wanted, key, "left_semi").groupBy(key).agg(F.min("__comp").alias("__kc"))
     keyed = bare.where(F.col(key).isNotNull()).join(by_key, key, "left").withColumn("__comp", F.coalesce("__kc", F.concat(F.lit("k:"), F.col(key)))).drop("__kc")
     alone = bare.where(F.col(key).isNull()).withColumn("__comp", F.concat(F.lit("r:"), F.col(row_id).cast("string")))
     return out.drop("__label").unionByName(keyed).unionByName(alone)
@@ -93,72 +95,117 @@ def quotas(total: int, shares: list[int]) -> list[int]:
     return out
 
 
-def allocate(bundles: list[tuple[int, str, int]], shares: list[int]) -> dict[tuple[int, str], list[int]]:
-    """bundles: (size, label, components). Per bundle, how many of its components each split takes.
+def _pieces(flow: Flow, a: int, b: int, free: float, unit: int, most: int, cost: int) -> list[int]:
+    """Arcs for up to most components of unit rows: those that fit into free rows cost nothing, the one that passes the
+    edge costs its rows beyond it, every further one all of its rows."""
+    whole = min(most, max(0, int(free // unit)))
+    over = unit - max(0.0, free - whole * unit)
+    arcs = [flow.arc(a, b, whole, 0)] if whole else []
+    if most > whole:
+        arcs.append(flow.arc(a, b, 1, round(cost * over * COST_STEPS)))
+    if most > whole + 1:
+        arcs.append(flow.arc(a, b, most - whole - 1, cost * unit * COST_STEPS))
+    return arcs
 
-    The arcs from a label's bundles to its splits are free and unbounded, so the flow is solved with one node per label
-    and its rows are then dealt to the bundles, largest size first: whole components by the share that is left of the
-    label's flow, each remainder to the split that lacks most rows, counted over label and total.
+
+def allocate(bundles: list[tuple[int, str, int]], shares: list[int], profiles: dict[tuple[int, str], dict[str, int]] | None = None, placed: dict[str, list[int]] | None = None) -> dict[tuple[int, str], list[int]]:
+    """bundles: (size, name, components). Per bundle, how many of its components each split takes.
+
+    profiles: rows per label of a bundle's components together, all under the bundle's name if it is not given; placed:
+    rows per label and split that have their place already. Sizes are worked off from the largest down: the components of
+    one size are the units of a flow from their bundles to the splits and on to the sink, so its answer is whole. An arc
+    from a bundle is free up to what its labels still lack in that split, an arc to the sink up to what the split lacks;
+    rows beyond cost LABEL_COST and TOTAL_COST. What a size has placed is taken off before the next.
     """
     k = len(shares)
-    labels = sorted({b[1] for b in bundles})
-    rows = {lb: sum(s * n for s, x, n in bundles if x == lb) for lb in labels}
-    flow = Flow(2 + len(labels) + len(labels) * k + k)
-    cell = lambda i, j: 2 + len(labels) + i * k + j
-    end = lambda j: 2 + len(labels) + len(labels) * k + j
-    arcs, every = {}, sum(rows.values())
-    for i, lb in enumerate(labels):
-        flow.arc(0, 2 + i, rows[lb], 0)
-        for j, q in enumerate(quotas(rows[lb], shares)):
-            arcs[lb, j] = flow.arc(2 + i, cell(i, j), rows[lb], 0)
-            flow.arc(cell(i, j), end(j), q, 0)
-            flow.arc(cell(i, j), end(j), rows[lb], LABEL_COST)
-    for j, q in enumerate(quotas(every, shares)):
-        flow.arc(end(j), 1, q, 0)
-        flow.arc(end(j), 1, every, TOTAL_COST)
-    flow.run(0, 1)
-    left = {key: flow.cap[e ^ 1] for key, e in arcs.items()}
-    total = [sum(left[lb, j] for lb in labels) for j in range(k)]
+    profiles = profiles or {(s, x): {x: s * n} for s, x, n in bundles}
+    rows: dict[str, int] = {lb: sum(v) for lb, v in (placed or {}).items()}
+    for s, x, _ in bundles:
+        for lb, m in profiles[s, x].items():
+            rows[lb] = rows.get(lb, 0) + m
+    lacks: dict[str, list[float]] = {lb: [q - p for q, p in zip(quotas(m, shares), (placed or {}).get(lb, [0] * k), strict=True)] for lb, m in rows.items()}
+    total = [q - sum(v[j] for v in (placed or {}).values()) for j, q in enumerate(quotas(sum(rows.values()), shares))]
     out: dict[tuple[int, str], list[int]] = {}
-    for size, lb, n in sorted(bundles, key=lambda b: (-b[0], b[1])):
-        want = [max(0, left[lb, j]) for j in range(k)]
-        take = [min(n * w // (sum(want) or 1), max(0, left[lb, j]) // size) for j, w in enumerate(want)]
+    sizes: dict[int, list[tuple[str, int]]] = {}
+    for s, x, n in bundles:
+        sizes.setdefault(s, []).append((x, n))
+    for size in sorted(sizes, reverse=True):
+        own = sorted(sizes[size])
+        flow = Flow(2 + len(own) + k)
+        arcs: list[list[list[int]]] = []
+        for i, (x, n) in enumerate(own):
+            flow.arc(0, 2 + i, n, 0)
+            profile = profiles[size, x]
+            weight = sum(profile.values()) or 1
+            # components of this bundle that the lack of its labels has room for, each label by its part of the bundle
+            room = [sum(m / weight * max(0.0, lacks[lb][j]) / max(1e-9, sum(max(0.0, v) for v in lacks[lb])) for lb, m in profile.items()) * n * size for j in range(k)]
+            arcs.append([_pieces(flow, 2 + i, 2 + len(own) + j, room[j], size, n, LABEL_COST) for j in range(k)])
+        count = sum(n for _, n in own)
         for j in range(k):
-            left[lb, j] -= take[j] * size
-            total[j] -= take[j] * size
-        for _ in range(n - sum(take)):
-            j = max(range(k), key=lambda j: (TOTAL_COST * min(0, total[j] - size) + LABEL_COST * min(0, left[lb, j] - size), left[lb, j], total[j], -j))
-            take[j] += 1
-            left[lb, j] -= size
-            total[j] -= size
-        out[size, lb] = take
+            _pieces(flow, 2 + len(own) + j, 1, total[j], size, count, TOTAL_COST)
+        flow.run(0, 1)
+        for (x, n), to in zip(own, arcs, strict=True):
+            take = [sum(flow.cap[e ^ 1] for e in arc) for arc in to]
+            out[size, x] = take
+            for j, t in enumerate(take):
+                total[j] -= t * size
+                for lb, m in profiles[size, x].items():
+                    lacks[lb][j] -= m * t / n
     return out
 
 
+def _ranked(comps: DataFrame, keys: list[str]) -> DataFrame:
+    """comps with __n, how many have the same keys, and __place, 1 for the first by hash. Ranks run within hash buckets, and
+    buckets are counted, so a bundle that holds a third of all components is sorted in many tasks."""
+    counts = comps.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__own"))
+    w = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("__own").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edges = counts.select(*keys, "__b", before.alias("__before"), F.sum("__own").over(w).alias("__n"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy("__h", "__comp"))
+    return comps.withColumn("__r", rank).join(edges, [*keys, "__b"]).withColumn("__place", F.col("__before") + F.col("__r")).drop("__before", "__r")
+
+
+def _profiled(rows: DataFrame, seed: str) -> DataFrame:
+    """Per component its size, label profile, main label, hash and hash bucket."""
+    by = rows.groupBy("__comp", "__lb").agg(F.count(F.lit(1)).alias("n"))
+    comps = by.groupBy("__comp").agg(F.sum("n").alias("size"), F.max_by("__lb", F.struct("n", F.col("__lb"))).alias("main"), F.sort_array(F.collect_list(F.struct("__lb", "n"))).alias("profile"))  # one entry per label
+    h = F.sha2(F.concat(F.lit(seed + "|"), F.col("__comp")), 256)
+    return comps.withColumn("__h", h).withColumn("__b", (F.conv(F.substring("__h", 1, 8), 16, 10).cast("bigint") % RANK_BUCKETS).cast("int"))
+
+
 def assign(df: DataFrame, row_id: str, node: str, key: str, label: str, splits: list[tuple[str, int]], seed: str = "split") -> DataFrame:
-    """(row id, split): shares as splits asks, by rows, with every component whole.
-
-    What reaches the driver are bundles, one per size and label: with L labels and N rows at most L * sqrt(2 N), as that
-    many different sizes use up all rows. A component's label is the one most of its rows have, ties to the larger text,
-    NULL counting as empty. Its rank in the bundle is its place by hash, counted by hash buckets, so no bundle is sorted
-    in one task. A row without a node goes with its key's component, one without either stands alone. Other columns are
-    not read; an empty table gives no rows. A component larger than a split's share goes whole to the split that lacks
-    most.
+    """(row id, node, component, split): shares as splits asks, by rows and by each label's rows, with every component whole.
+
+    A bundle is all components of one size and one vector of rows per label. Of n of them each split takes the whole part
+    of n times its share, which is what the flow's free arcs carry; it is computed in place, bundle by bundle, in the
+    order of hashes. The components left over, fewer than there are splits in each bundle, are bundled by size and main
+    label with the vectors added up, and allocate() solves the flow for them from the largest size down. At most L *
+    sqrt(2 N) such bundles reach the driver, with L labels and N rows, as that many sizes use up all rows; labels are
+    classes, of which there are few. A main label is the one with most rows, ties to the larger text; a NULL label counts
+    as empty. A row without a node goes with its key's component, one without either stands alone. Other columns are not
+    read; an empty table gives no rows. A component larger than a split's share goes where it does least harm, as a rule
+    to the largest split.
     """
-    names = [s for s, _ in sorted(splits)]
-    rows = with_component(df, row_id, node, key).select(row_id, "__comp", F.coalesce(F.col(label), F.lit("")).alias("__lb"))
-    by = rows.groupBy("__comp", "__lb").agg(F.count(F.lit(1)).alias("n"))
-    comps = by.groupBy("__comp").agg(F.sum("n").alias("size"), F.max_by("__lb", F.struct("n", F.col("__lb"))).alias("lb"))
-    bundles = [(r["size"], r["lb"], r["n"]) for r in comps.groupBy("size", "lb").agg(F.count(F.lit(1)).alias("n")).collect()]
-    plan = allocate(bundles, [p for _, p in sorted(splits)])
     spark = df.sparkSession
-    cuts = spark.createDataFrame([(s, lb, [sum(t[: j + 1]) for j in range(len(t))]) for (s, lb), t in plan.items()], "size bigint, lb string, upto array<bigint>")
-    h = F.sha2(F.concat(F.lit(seed + "|"), F.col("__comp")), 256)
-    ranked = comps.withColumn("__h", h).withColumn("__b", (F.conv(F.substring("__h", 1, 8), 16, 10).cast("bigint") % RANK_BUCKETS).cast("int"))
-    counts = ranked.groupBy("size", "lb", "__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select("size", "lb", "__b", F.coalesce(F.sum("__n").over(Window.partitionBy("size", "lb").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("size", "lb", "__b").orderBy("__h", "__comp"))
-    placed = ranked.withColumn("__r", rank).join(before, ["size", "lb", "__b"]).join(F.broadcast(cuts), ["size", "lb"])
-    at = F.size(F.filter("upto", lambda u: u < F.col("__before") + F.col("__r")))
-    owner = placed.select("__comp", F.get(F.array(*[F.lit(n) for n in names]), at).alias("split"))
-    return rows.join(owner, "__comp").select(row_id, "split")
+    names, shares = [s for s, _ in sorted(splits)], [p for _, p in sorted(splits)]
+    rows = cut(with_component(df, row_id, node, key).select(row_id, node, "__comp", F.coalesce(F.col(label), F.lit("")).alias("__lb")))
+    ranked = _ranked(_profiled(rows, seed), ["size", "profile"])
+    upto = [sum((F.floor(F.col("__n") * p / (sum(shares) or 1)) for p in shares[: j + 1]), F.lit(0)) for j in range(len(shares))]
+    own = F.coalesce(*[F.when(F.col("__place") <= u, F.lit(n)) for u, n in zip(upto, names, strict=True)])
+    placed = cut(ranked.select("__comp", "size", "main", "profile", "__h", "__b", own.alias("split")))
+    rest = placed.where("split IS NULL")
+    label_rows = placed.select("split", "size", "main", F.explode("profile").alias("p"))
+    done = label_rows.where("split IS NOT NULL").groupBy("split", "p.__lb").agg(F.sum("p.n").alias("n")).collect()  # splits x labels
+    placed_rows: dict[str, list[int]] = {}
+    for r in done:
+        placed_rows.setdefault(r["__lb"], [0] * len(names))[names.index(r["split"])] = r["n"]
+    profiles: dict[tuple[int, str], dict[str, int]] = {}
+    for r in label_rows.where("split IS NULL").groupBy("size", "main", "p.__lb").agg(F.sum("p.n").alias("n")).toLocalIterator():
+        profiles.setdefault((r["size"], r["main"]), {})[r["__lb"]] = r["n"]
+    bundles = [(s, m, sum(v.values()) // s) for (s, m), v in profiles.items()]
+    plan = allocate(bundles, shares, profiles, placed_rows)
+    cuts = spark.createDataFrame([(s, m, [sum(t[: j + 1]) for j in range(len(t))]) for (s, m), t in plan.items()], "size bigint, main string, upto array<bigint>")
+    at = F.size(F.filter("upto", lambda u: u < F.col("__place")))
+    late = _ranked(rest.select("__comp", "size", "main", "__h", "__b"), ["size", "main"]).join(broadcast_if_small(cuts), ["size", "main"])
+    owner = placed.where("split IS NOT NULL").select("__comp", "split").unionByName(late.select("__comp", F.get(F.array(*[F.lit(n) for n in names]), at).alias("split")))
+    return rows.join(owner, "__comp").select(row_id, node, F.col("__comp").alias("component"), "split")

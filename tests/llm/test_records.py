@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from attestry.llm import near_copies as nc
 from attestry.llm import splits
 from attestry.llm.components import components
-from attestry.llm.queries_records import record_keys, record_parts
+from attestry.llm.queries_records import record_parts
 
 SCHEMA = "row_id bigint, accession string, person_cik string, person_name_raw string, issuer_cik string, issuer_name_raw string, issuer_ticker string, role_class array<string>, title_raw string, title_class string, period date, filed date, loaded_at timestamp, h int, n_rows string"
 D = dt.date(2020, 1, 1)
@@ -21,14 +21,13 @@ def record(i, **v):
     return (i, *[base[c.split()[0]] for c in SCHEMA.split(", ")[1:12]], dt.datetime(2020, 1, 1), 0, "x")
 
 
-def copies(spark, rows, **kw):
-    return sorted((r["__keep"], r["__row"]) for r in nc.collapse(spark.createDataFrame(rows, SCHEMA), record_parts(), "row_id", **kw)[1].collect())
+def copies(spark, rows):
+    return sorted((r["__keep"], r["__row"]) for r in nc.collapse(spark.createDataFrame(rows, SCHEMA), record_parts(), "row_id")[1].collect())
 
 
 def test_what_is_a_copy(spark):
     rows = [record(1), record(2, person_name_raw="jane  Doe."), record(3, person_cik="0007 ", issuer_name_raw="ACME INC"), record(4, role_class=["B", "A"]), record(5, title_raw="C E O"), record(6, person_name_raw="DOE JANE X"), record(7, filed=None), record(8, filed=None), record(9, issuer_ticker=None), record(10, issuer_ticker=""), record(11, accession="12")]
     assert copies(spark, rows) == [(1, 2), (1, 3), (1, 4), (1, 11), (7, 8)]
-    assert copies(spark, rows, hashed=record_keys()) == copies(spark, rows)
 
 
 def test_counts_and_singletons(spark):
@@ -53,6 +52,10 @@ def test_blocks_of_the_hash_space_give_the_same(spark, monkeypatch):
     want = copies(spark, rows)
     monkeypatch.setattr(nc, "FILTER_BYTES", 256)
     assert copies(spark, rows) == want and len(want) == 250
+    records, _ = nc.collapse(spark.createDataFrame(rows, SCHEMA), record_parts(), "row_id")
+    assert records.count() == 150 and records.groupBy().sum("n_rows").first()[0] == 400
+    flagged = nc.possible_repeats(spark.createDataFrame(rows, SCHEMA), record_parts(), "row_id")
+    assert flagged.count() == 400 and "Exchange" not in flagged._jdf.queryExecution().executedPlan().toString()
 
 
 def test_a_filter_never_misses_a_repeat(spark, monkeypatch):
@@ -127,6 +130,42 @@ def test_shares_are_met_and_repeat(spark):
     assert a == b and abs(share["train"] - 2800) <= 6 and abs(share["test"] - 600) <= 6
 
 
+def test_bundles_of_several_labels_meet_every_quota():
+    rng = random.Random(7)
+    bundles, profiles = [], {}
+    for s in (1, 2, 3, 4, 7, 11, 30):
+        for x in "ABC":
+            n = rng.randrange(1, 40)
+            own = dict.fromkeys("ABC", 0)
+            for _ in range(n * s):
+                own[rng.choice("ABC")] += 1
+            bundles.append((s, x, n))
+            profiles[s, x] = own
+    plan = splits.allocate(bundles, [15, 15, 70], profiles)
+    assert all(sum(plan[s, x]) == n and min(plan[s, x]) >= 0 for s, x, n in bundles)
+    got = [sum(s * plan[s, x][j] for s, x, _ in bundles) for j in range(3)]
+    assert all(abs(g - q) <= 2 for g, q in zip(got, splits.quotas(sum(got), [15, 15, 70]), strict=True))
+    for lb in "ABC":
+        own = [sum(profiles[s, x][lb] * plan[s, x][j] / n for s, x, n in bundles) for j in range(3)]
+        assert all(abs(g - q) <= 30 for g, q in zip(own, splits.quotas(round(sum(own)), [15, 15, 70]), strict=True))
+
+
+def test_labels_are_shared_out_within_a_component(spark):
+    rng = random.Random(10)
+    rows, i = [], 0
+    for person in range(1500):
+        for _ in range(rng.choice([1, 1, 2, 3, 5, 9])):
+            rows.append((i, person, None, rng.choice("AAABBC")))
+            i += 1
+    got = assigned(spark, rows)
+    for lb in "ABC":
+        by = Counter(got[r[0]] for r in rows if r[3] == lb)
+        n = sum(by.values())
+        assert all(abs(by[s] - n * p / 100) <= 20 for s, p in SHARES)
+    by = Counter(got.values())
+    assert all(abs(by[s] - len(rows) * p / 100) <= 2 for s, p in SHARES)
+
+
 def test_giant_component_and_empty_table(spark):
     got = assigned(spark, [(i, 1, None, "A") for i in range(50)] + [(100 + i, 1000 + i, None, "A") for i in range(50)])
     assert len({got[i] for i in range(50)}) == 1
