@@ -60,6 +60,27 @@ def test_local_search_empties_containers():
     assert squares(pk.local_search(sizes, loose, cap)) > squares(loose)
 
 
+def test_the_search_frees_containers_and_only_raises_squares():
+    rng = random.Random(4)
+    for cap in (64, 500):
+        sizes = np.array([rng.choice([rng.randrange(1, cap + 1), rng.randrange(1, cap // 4)]) for _ in range(1500)])
+        start = pk.cheap_fill(sizes, cap)
+        got = pk.local_search(sizes, start, cap)
+        squares = lambda bins: sum(int(sizes[b].sum()) ** 2 for b in bins)
+        assert sorted(i for b in got for i in b) == list(range(1500)) and all(sizes[b].sum() <= cap for b in got)
+        assert squares(got) > squares(start)
+        assert len(start) * 0.9 > len(got) and len(got) <= pk.least_bins(sizes, cap) * 1.01 + 1
+    assert len(pk.local_search(np.full(500, 6), pk.cheap_fill(np.full(500, 6), 10), 10)) == 500
+
+
+def test_rounds_over_groups_end(spark):
+    d = docs(spark, [(i, "word " * 30, "en", "s") for i in range(200)])
+    n = pk.token_counts(d).first()["n_tokens"]
+    windows = spark.createDataFrame([(1, n + n // 2), (2, 3 * n)], "window_id bigint, capacity_tokens int")
+    got = {r["window_id"]: (r["start_containers"], r["n_containers"]) for r in pk.waste(pk.fill_containers(d, windows, group_items=16)).collect()}
+    assert got[1] == (200, 200) and got[2][1] == 67 and got[2][0] > 67
+
+
 def test_containers_hold_whole_texts(spark):
     rng = random.Random(5)
     rows = [(i, "word " * rng.randrange(0, 60), "en", "s") for i in range(300)] + [(900, None, None, None), (901, "", None, None), (902, "long " * 500, "en", "s")]
