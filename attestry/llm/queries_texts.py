@@ -49,7 +49,19 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return items.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_docs"))
 
 
-@REG.add("p9_passages")
+_P9_RUNS_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_item),
+iw AS (SELECT item_id, p, array_to_string(w[p:p + 11], ' ') AS t FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 10))) AS p FROM i)),
+dw AS (SELECT doc_id, p, array_to_string(w[p:p + 11], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 10))) AS p FROM d)),
+hit AS (SELECT doc_id, item_id, dw.p AS dp, iw.p AS ip, dw.p - row_number() OVER (PARTITION BY doc_id, item_id, dw.p - iw.p ORDER BY dw.p) AS island FROM dw JOIN iw USING (t)),
+run AS (SELECT doc_id, item_id, count(*) + 11 AS n, min(dp) - 1 AS doc_at, min(ip) - 1 AS item_at FROM hit GROUP BY doc_id, item_id, dp - ip, island)
+SELECT doc_id, item_id, n::INT AS n_words, doc_at::INT AS doc_at, item_at::INT AS item_at FROM run
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, doc_at, item_at) = 1
+"""
+
+
+@REG.add("p9_passages", _P9_RUNS_SQL)
 def p9_passages(spark: SparkSession, d: str) -> DataFrame:
     """The longest passage that each document and item share."""
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
