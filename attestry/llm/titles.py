@@ -1,6 +1,6 @@
 """Mapping typed titles to the entries of a reference list. Distinct values are spelt out (abbreviations, word order,
-notes), looked up exactly, and else in a BK-tree over the reference under edit distance: the triangle inequality prunes,
-every entry within the threshold is returned, and the winners of shards are merged."""
+notes) and looked up in a BK-tree over the reference under edit distance: the triangle inequality prunes, every entry
+within the threshold is returned, and the winners of shards are merged."""
 
 from __future__ import annotations
 
@@ -18,7 +18,10 @@ SHARD_ENTRIES = 20_000
 #: A prefix of an entry stands for it, for values that a field cut off, if it has this share of its letters.
 LEAST_PREFIX = 0.6
 
-#: Abbreviations of title words and what they stand for.
+#: A word is taken for an abbreviation by rule if it has so many letters.
+LEAST_SHORT = 3
+
+#: Abbreviations of title words and what they stand for, beside those that a rule gives.
 SHORT = {
     "ceo": "chief executive officer", "cfo": "chief financial officer", "coo": "chief operating officer", "cto": "chief technology officer",
     "cio": "chief information officer", "ciso": "chief information security officer", "cao": "chief accounting officer", "cmo": "chief marketing officer",
@@ -46,11 +49,36 @@ _BRACKET = re.compile(r"[(\[{]([^)\]}]*)(?:[)\]}]|$)")
 
 
 class Speller:
-    """Words of typed titles, given the words that the reference uses."""
-
-    def __init__(self, entries: list[str]) -> None:
-        self.known = {w for e in entries for w in re.findall(r"[a-z0-9]+", e.lower())} | EMPTY | {w for v in SHORT.values() for w in v.split()}
-        self.whole = self.known | set(SHORT) | LEADING
+    """Words of typed titles, given the words that the reference uses and a list of abbreviations."""
+
+    def __init__(self, entries: list[str], short: dict[str, str] | None = None) -> None:
+        self.short = SHORT if short is None else short
+        own = [re.findall(r"[a-z0-9]+", e.lower()) for e in entries]
+        self.reference = {w for e in own for w in e} - EMPTY
+        self.known = self.reference | EMPTY | {w for v in self.short.values() for w in v.split()}
+        self.whole = self.known | set(self.short) | LEADING
+        runs: dict[str, set[str]] = {}
+        for e in own:
+            said = [w for w in e if w not in EMPTY]
+            for i in range(len(said)):
+                for j in range(i + 2, len(said) + 1):
+                    runs.setdefault("".join(w[0] for w in said[i:j]), set()).add(" ".join(said[i:j]))
+        self.initials = {k: v.pop() for k, v in runs.items() if len(v) == 1}
+        self.ruled: dict[str, str] = {}
+
+    def spelt(self, w: str) -> str:
+        """What an unknown word abbreviates: the one run of the reference's words that it has the initials of, or the one
+        word that has its letters in their order and the same first one; of several the one that begins with it."""
+        if w in self.known or not w.isalpha():
+            return w
+        if w not in self.ruled:
+            if w in self.initials:
+                self.ruled[w] = self.initials[w]
+            else:
+                fit = [x for x in self.reference if len(w) >= LEAST_SHORT and len(x) > len(w) and x[0] == w[0] and _in_order(w, x)]
+                begun = [x for x in fit if x.startswith(w)]
+                self.ruled[w] = fit[0] if len(fit) == 1 else begun[0] if len(begun) == 1 else w
+        return self.ruled[w]
 
     def words(self, title: str) -> list[str]:
         return [w for w in self.all_words(title) if w not in EMPTY]
@@ -65,8 +93,8 @@ class Speller:
         t = _BRACKET.sub(self._bracket, t)
         t = REMARK.sub(" ", re.sub(r"[^a-z0-9]+", " ", t))
         raw = [w for x in t.split() for w in self._parted(x)]
-        chief = any(SHORT.get(w, w).split()[0] == "chief" for w in raw)
-        return [w for x in raw for w in (SHORT[x] if x in SHORT and (chief or x not in WITHOUT_CHIEF) else WITHOUT_CHIEF.get(x, x)).split()]
+        chief = any((self.short.get(w) or self.spelt(w)).split()[0] == "chief" for w in raw)
+        return [w for x in raw for w in (self.short[x] if x in self.short and (chief or x not in WITHOUT_CHIEF) else WITHOUT_CHIEF.get(x) or self.spelt(x)).split()]
 
     def _bracket(self, m: re.Match) -> str:
         """A bracket that holds title words is part of the title; any other is a note."""
@@ -90,6 +118,11 @@ class Speller:
         return [w]
 
 
+def _in_order(short: str, word: str) -> bool:
+    letters = iter(word)
+    return all(c in letters for c in short)
+
+
 def levenshtein(a: str, b: str) -> int:
     """Edit distance (a metric), bit-parallel over the letters of a."""
     if not a:
@@ -152,13 +185,13 @@ class BKTree:
 
 
 class Reference:
-    """A shard of the list: exact forms, and trees over whole entries and over prefixes of them."""
+    """A shard of the list: trees over whole entries, over their words in alphabetical order, and over prefixes."""
 
     def __init__(self, entries: list[tuple[int, str]], speller: Speller) -> None:
-        self.speller, self.exact, self.tree, self.cut_off = speller, {}, BKTree(), BKTree()
+        self.speller, self.tree, self.sorted, self.cut_off = speller, BKTree(), BKTree(), BKTree()
         for title_id, title in sorted(entries):
             own = speller.words(title)
-            self.exact.setdefault(tuple(sorted(own)), title_id)
+            self.sorted.add(" ".join(sorted(own)), title_id)
             for form in dict.fromkeys(["".join(own), "".join(speller.all_words(title)), *self._turned(title)]):
                 if not form:
                     continue
@@ -178,9 +211,9 @@ class Reference:
         words = self.speller.words(title)
         forms = [words] + [words[1:]] * (len(words) > 1 and words[0] in LEADING)
         every = self.speller.all_words(title)
-        for own in forms:
-            if (got := self.exact.get(tuple(sorted(own)))) is not None:
-                return 0, 0, got
+        for own in forms:  # its very words, in any order
+            if hits := self.sorted.within(" ".join(sorted(own)), 0):
+                return 0, 0, min(v for _, _, v in hits)
         best = None
         for own in [*forms, every] if len(every) > len(words) or any(w.startswith("and") for w in words) else forms:
             text = "".join(own)
@@ -197,10 +230,10 @@ class Reference:
 MAPPED = "title_raw string, edits int, lost int, title_id bigint"
 
 
-def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
+def map_values(values: DataFrame, reference: DataFrame, short: dict[str, str] | None = None) -> DataFrame:
     """(title_raw, edits, lost, title_id) for every distinct non-blank value that denotes an entry.
 
-    reference: title_id, canonical_title. Values are looked up in one tree per shard of SHARD_ENTRIES entries and the
+    reference: title_id, canonical_title. short: the list of abbreviations, SHORT if it is not given. Values are looked up in one tree per shard of SHARD_ENTRIES entries and the
     shards' winners merged by fewest edits, fewest letters cut off, smallest entry; entries with a NULL title are left
     out. NULL and blank values denote none, nor do values much longer than any entry. Of entries that fit equally well the
     smallest id is taken. A value that a third of all rows hold is looked up once. Other columns are not read; an empty
@@ -208,7 +241,9 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     """
     spark = values.sparkSession
     entries = [(r["title_id"], r["canonical_title"]) for r in reference.where("canonical_title IS NOT NULL").select("title_id", "canonical_title").toLocalIterator()]
-    distinct = values.where(F.trim("title_raw") != "").select("title_raw").distinct()
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    distinct = values.where(F.trim("title_raw") != "").select("title_raw").distinct().repartition(tasks, "title_raw")  # the tree is dear beside its input
+    speller = Speller([t for _, t in entries], short)
     shards = [entries[i : i + SHARD_ENTRIES] for i in range(0, len(entries), SHARD_ENTRIES)]
     if not shards:
         return spark.createDataFrame([], MAPPED)
@@ -216,7 +251,7 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
         distinct = cut(distinct)
     out = None
     for own in shards:
-        shared = spark.sparkContext.broadcast(Reference(own, Speller([t for _, t in entries])))
+        shared = spark.sparkContext.broadcast(Reference(own, speller))
 
         def run(batches: Iterable[pd.DataFrame], shared: object = shared) -> Iterator[pd.DataFrame]:
             ref: Reference = shared.value

@@ -29,6 +29,15 @@ def test_titles(typed, entry):
     assert (got[2] if got else None) == entry
 
 
+@pytest.mark.parametrize(
+    ("typed", "entry"),
+    [("CEO", 1), ("Chief Exec. Offcr", 1), ("C.E.O. (interim)", 1), ("Pres and CEO", 2), ("EVP and CFO", 3), ("VP Finance", 4), ("cio", 6), ("svp", 7), ("sales svp", 8), ("gc", 13), ("Cheif Executive Officer", 1), ("CXO", None), ("chief cat officer", None), ("Founder", None), ("port site lead", None)],
+)
+def test_abbreviations_by_rule_alone(typed, entry):
+    got = t.Reference(REF, t.Speller([x for _, x in REF], {})).look_up(typed)
+    assert (got[2] if got else None) == entry
+
+
 def slow_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -56,6 +65,7 @@ def test_rows_shards_and_clashing_columns(spark, monkeypatch):
     ref = spark.createDataFrame([(*r, "x") for r in REF] + [(50, None, "x")], "title_id bigint, canonical_title string, title_class string")
     want = {1: 1, 2: None, 3: None, 4: None, 5: 1}
     assert {r["row_id"]: r["title_id"] for r in t.map_rows(rows, ref).collect()} == want
+    assert "REPARTITION_BY_NUM" in t.map_values(rows, ref)._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(t, "SHARD_ENTRIES", 4)
     assert {r["row_id"]: r["title_id"] for r in t.map_rows(rows, ref).collect()} == want
     assert t.map_rows(rows.where("false"), ref).count() == 0
