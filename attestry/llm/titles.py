@@ -242,7 +242,7 @@ def map_values(values: DataFrame, reference: DataFrame, short: dict[str, str] |
     spark = values.sparkSession
     entries = [(r["title_id"], r["canonical_title"]) for r in reference.where("canonical_title IS NOT NULL").select("title_id", "canonical_title").toLocalIterator()]
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    distinct = values.where(F.trim("title_raw") != "").select("title_raw").distinct().repartition(tasks, "title_raw")  # the tree is dear beside its input
+    distinct = values.where(F.trim("title_raw") != "").select("title_raw").distinct().repartition(tasks, F.xxhash64("title_raw"))  # the tree is dear beside its input; the hash keeps AQE from merging tasks
     speller = Speller([t for _, t in entries], short)
     shards = [entries[i : i + SHARD_ENTRIES] for i in range(0, len(entries), SHARD_ENTRIES)]
     if not shards:
