@@ -12,7 +12,10 @@ from pyspark.sql import types as T
 from attestry.functions.names import company_filter, name_in_title, query_name
 
 # Contact keys, substrings that mark one, and the question that requests end with.
-CONTACT_KEYS = frozenset("email emails phone phones address addresses street city state zip zipcode postal_code dob birth_date linkedin_url".split())
+CONTACT_KEYS = frozenset(
+    "email work_email personal_email emails phone mobile_phone phone_number phones address street street1 street2 city postal_code zip "
+    "linkedin_url linkedin twitter x_url github_url facebook social socials profile_url url urls evidence_links date_of_birth dob age".split()
+)
 CONTACT_PARTS = ("email", "phone", "address", "postal", "birth")
 QUESTION = "What organisation are they at most recently, and in what role? Answer for their latest known position."
 CONFIDENCE = " Give your confidence as a number between 0 and 1."
@@ -108,7 +111,7 @@ def strip_contact_json(c: Column) -> Column:
     def strip(s: pd.Series) -> pd.Series:
         def one(t: str | None) -> str | None:
             try:
-                return json.dumps(_stripped(json.loads(t)), sort_keys=True) if t is not None else None
+                return json.dumps(_stripped(json.loads(t)), sort_keys=True, ensure_ascii=False) if t is not None else None
             except ValueError:
                 return None
 

@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "phd", "md", "cpa", "esq", "jd", "mba", "dds", "dvm")
 CORPORATE = ("inc", "incorporated", "corp", "corporation", "co", "company", "llc", "llp", "lp", "ltd", "limited", "plc", "sa", "nv", "ag", "gmbh", "ab", "as", "oyj", "holdings", "holding", "group", "the", "and", "of", "trust", "reit", "partners", "capital", "class")
 PARTICLES = ("van", "von", "de", "del", "della", "der", "den", "di", "da", "das", "dos", "du", "la", "le", "les", "mac", "mc", "st", "ter", "ten", "bin", "ibn", "af", "al", "abu", "op", "ver", "vander", "vanden")
-FILTER_WORDS = ("inc", "incorporated", "corp", "corporation", "co", "company", "llc", "llp", "lp", "ltd", "limited", "plc", "holding", "holdings", "group", "trust", "reit", "the")
-ENTITY_FORMS = r"\b(L\.?L\.?C|L\.?L\.?P|L\.?P|PLC|GMBH|N\.?V|S\.?A|S\.?A\.?R\.?L|PTE|PTY|AB|AG|BV|SARL)\b"
-ENTITY_ENDS = r"\b(INC|INCORPORATED|CORP|CORPORATION|LTD|LIMITED|COMPANY|CO)\b\.?\s*$"
-ENTITY_WORDS = r"\b(PARTNERS|PARTNERSHIP|HOLDINGS|VENTURES?|ADVISORS?|ADVISERS?|MANAGEMENT|CAPITAL|ASSOCIATES|BANCORP|FOUNDATION|PORTFOLIOS?|OFFSHORE)\b"
+FILTER = r"(?i)\b(inc|incorporated|corp|corporation|co|company|llc|llp|lp|ltd|limited|plc|holding|holdings|group|trust|reit|the)\b\.?"
+ENTITY = r"(?i)\b(L\.?L\.?C|L\.?L\.?P|L\.?P|PLC|GMBH|N\.?V|S\.?A|S\.?A\.?R\.?L|PTE|PTY|AB|AG|BV|SARL)\b|\b(INC|INCORPORATED|CORP|CORPORATION|LTD|LIMITED|COMPANY|CO)\b\.?\s*$|\b(PARTNERS|PARTNERSHIP|HOLDINGS|VENTURES?|ADVISORS?|ADVISERS?|MANAGEMENT|CAPITAL|ASSOCIATES|BANCORP|FOUNDATION|PORTFOLIOS?|OFFSHORE)\b"
 SITES = r"\s*[|–-]\s*(LinkedIn|Bloomberg|Crunchbase|ZoomInfo)\s*$"
 
 
@@ -78,13 +76,13 @@ def shown_name(c: Column | str) -> Column:
 
 def is_entity(c: Column | str) -> Column:
     """Whether a filer's name is an organisation's. NULL is no entity."""
-    return F.coalesce(_c(c).rlike(f"(?i){ENTITY_FORMS}|{ENTITY_ENDS}|{ENTITY_WORDS}"), F.lit(False))
+    return F.coalesce(_c(c).rlike(ENTITY), F.lit(False))
 
 
 def company_filter(c: Column | str) -> Column:
     """A company as a structured filter wants it: registrant words out, title case if it was all capitals, the name as
     it is if nothing is left. NULL gives ''."""
-    bare = F.regexp_replace(_c(c), r"(?i)\b(" + "|".join(FILTER_WORDS) + r")\b\.?", " ")
+    bare = F.regexp_replace(_c(c), FILTER, " ")
     kept = F.trim(F.regexp_replace(F.regexp_replace(bare, r"[^\p{L}\p{N}_\s&-]", " "), r"\s+", " "))
     titled = F.when(kept.rlike(r"\p{L}") & (kept == F.upper(kept)), F.initcap(F.lower(kept))).otherwise(kept)
     return F.coalesce(F.when(kept != "", titled).otherwise(_c(c)), F.lit(""))

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestry.session import cut
+
 NULL_MARK = "\x00"
 
 
@@ -46,6 +48,24 @@ def append(stored: DataFrame, snapshots: DataFrame, key: str, period: str, attrs
     return rows.where(F.col("__p").isNull() | (F.col("__p") != F.col("hash_diff"))).select(key, F.col(period).alias("valid_from"), *attrs, "hash_diff")
 
 
+def narrowed(sat: DataFrame, key: str, attrs: list[str]) -> DataFrame:
+    """A satellite of some of a satellite's attributes: versions in which only others changed fall together."""
+    return satellite(sat.drop("hash_diff"), key, "valid_from", attrs)
+
+
+def load(snapshots: DataFrame, key: str, period: str, attrs: list[str], edges: list[object]) -> DataFrame:
+    """A satellite filled batch by batch: the snapshots before each edge (a value of period) and from the last one on are
+    appended to what is stored, in that order; rows once written stay as they are."""
+    at = F.col(period)
+    bounds = [None, *edges, None]
+    stored = None
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        batch = snapshots.where((F.lit(True) if lo is None else at >= F.lit(lo)) & (F.lit(True) if hi is None else at < F.lit(hi)))
+        new = cut(satellite(batch, key, period, attrs) if stored is None else append(stored, batch, key, period, attrs))
+        stored = new if stored is None else stored.unionByName(new)
+    return stored
+
+
 def history_view(sat: DataFrame, key: str, versions_from: int = 1) -> DataFrame:
     """The satellite with valid_to, the start of the next version (NULL: still valid), and n_versions of the key."""
     w = Window.partitionBy(key).orderBy("valid_from")

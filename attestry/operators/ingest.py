@@ -39,10 +39,10 @@ def judged(owners: DataFrame, submissions: DataFrame, floor: tuple[int, int] = F
     used reach the join; contact columns are never among them. An owner row without an accession is unjoined.
     """
     sub = last_arrival(submissions.select("arrived_at", "sub_id", "accession_number", "period_of_report", "filing_date", "issuercik", "issuername", "issuertradingsymbol"), digits("accession_number"), ["arrived_at", "sub_id"])
-    sub = sub.select(F.col("__key"), F.lit(True).alias("__joined"), *[F.col(c).alias(f"s_{c}") for c in ("period_of_report", "filing_date", "issuercik", "issuername", "issuertradingsymbol")])
-    own = owners.select("owner_id", "archive", F.trim("accession_number").alias("accession"), digits("accession_number").alias("__k"), F.trim("rptownercik").alias("person_cik"), F.trim("rptownername").alias("person_name_raw"), "rptowner_relationship", F.trim(F.coalesce("rptowner_title", F.lit(""))).alias("title_raw"))
-    rows = own.join(sub, F.col("__k") == F.col("__key"), "left").withColumn("role_class", roles("rptowner_relationship"))
-    rows = rows.withColumn("period", parse_date("s_period_of_report")).withColumn("filed", parse_date("s_filing_date")).withColumn("title_class", title_class("title_raw"))
+    dates = [parse_date("period_of_report").alias("period"), parse_date("filing_date").alias("filed")]
+    sub = sub.select(F.col("__key"), F.lit(True).alias("__joined"), *dates, *[F.col(c).alias(f"s_{c}") for c in ("issuercik", "issuername", "issuertradingsymbol")])
+    own = owners.select("owner_id", "archive", F.trim("accession_number").alias("accession"), digits("accession_number").alias("__k"), F.trim("rptownercik").alias("person_cik"), F.trim("rptownername").alias("person_name_raw"), "rptowner_relationship", roles("rptowner_relationship").alias("role_class"), F.trim(F.coalesce("rptowner_title", F.lit(""))).alias("title_raw"))
+    rows = own.join(sub, F.col("__k") == F.col("__key"), "left").withColumn("title_class", title_class("title_raw"))
     has = lambda r: F.array_contains("role_class", r)
     quarter = F.struct(F.year("filed").alias("y"), F.quarter("filed").alias("q"))
     early = quarter < F.struct(F.lit(floor[0]).alias("y"), F.lit(floor[1]).alias("q"))

@@ -115,6 +115,11 @@ def candidate_behind(candidates: Column, name: Column, employer: Column) -> Colu
     return F.get(F.filter(candidates, lambda c: (c["person_name"] == name) & (employer.isNull() | (c["employer_name"] == employer))), F.lit(0))
 
 
+def outcome_histogram(records: DataFrame, by: str) -> DataFrame:
+    """Per group the outcomes by tenth of the stated confidence."""
+    return records.groupBy(by, "outcome", F.least(F.floor(F.col("confidence") * 10), F.lit(9)).alias("tenth")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def describe(records: DataFrame, by: str) -> DataFrame:
     """Per group: abstention rate, precision when answering, mean stated confidence."""
     answered = ~F.col("outcome").isin("ABSTAIN", "MISS")

@@ -60,7 +60,7 @@ SCHEMA = "table_name string, row_id string, parent string, kind string, reason s
 SPAN_DAYS = 30
 
 
-def _span(at: str) -> Column:
+def _span_of(at: Column) -> Column:
     return F.floor(F.date_diff(F.to_date(at), F.lit("1970-01-01").cast("date")) / SPAN_DAYS)
 
 
@@ -77,7 +77,8 @@ def direct_orphans(graph: Graph, edge: Edge) -> DataFrame:
 
     Reasons: no_key, never_came, no_time, came_later, withdrawn. Records without an end are folded to one row per key before the
     join, so a key that holds a third of either table moves once; only records with an end are compared as intervals with
-    rows that no other record keeps, by key and span of time, which parts a key that is hot on both sides. For a row
+    rows that no other record keeps, by key and span of time, which parts a key that is hot on both sides; spans outside the
+    time in which rows came are left out, so an end in the far future costs no more than one at the last row. For a row
     whose own time is NULL no record is live. Repeated rows of either side change nothing.
     """
     child, parent = graph.nodes[edge.child], graph.nodes[edge.parent]
@@ -93,8 +94,10 @@ def direct_orphans(graph: Graph, edge: Edge) -> DataFrame:
     ended = records.where(F.col("__until") > F.col("__from")).groupBy("__key", "__from").agg(F.max("__until").alias("__until")).withColumnRenamed("__key", "__k")
     seen = rows.join(folded, "__key", "left")
     open_ = seen.where(~F.coalesce(F.col("__for_good") <= F.col("__at"), F.lit(False)))
-    spans = ended.withColumn("__s", F.explode(F.sequence(_span("__from"), _span("__until"))))
-    gone = open_.withColumn("__span", _span("__at")).join(spans, (F.col("__key") == F.col("__k")) & (F.col("__span") == F.col("__s")) & (F.col("__from") <= F.col("__at")) & (F.col("__until") > F.col("__at")), "left_anti")
+    seen_at = rows.agg(F.min("__at").alias("__lo"), F.max("__at").alias("__hi"))  # one row
+    bounded = ended.crossJoin(F.broadcast(seen_at)).where((F.col("__until") > F.col("__lo")) & (F.col("__from") <= F.col("__hi")))
+    spans = bounded.withColumn("__s", F.explode(F.sequence(_span_of(F.greatest("__from", "__lo")), _span_of(F.least("__until", "__hi")))))
+    gone = open_.withColumn("__span", _span_of(F.col("__at"))).join(spans, (F.col("__key") == F.col("__k")) & (F.col("__span") == F.col("__s")) & (F.col("__from") <= F.col("__at")) & (F.col("__until") > F.col("__at")), "left_anti")
     reason = F.when(F.col("__first").isNull(), "never_came").when(F.col("__at").isNull(), "no_time").when(F.col("__first") > F.col("__at"), "came_later").otherwise("withdrawn")
     return bare.unionByName(_rows(child, gone, edge.parent, "direct", reason))
 
@@ -119,18 +122,17 @@ def inherited_orphans(graph: Graph, edge: Edge, orphans: DataFrame) -> DataFrame
 def orphan_cascade(graph: Graph) -> DataFrame:
     """Every orphan of the graph, direct ones first, then those inherited level by level until nothing is added.
 
-    One row per row and reference that fails, columns as SCHEMA. An acyclic graph needs as many rounds as its longest
-    path has edges and stays one lazy plan; a graph with a cycle is iterated, each round written to the shared folder,
-    until a round adds nothing. Empty tables give no rows; a parent table that is empty orphans every keyed child. Keys are
+    One row per row and reference that fails, columns as SCHEMA. Every round is written to the shared folder and the next
+    reads what was written, so plans grow with the number of edges and not with a power of the depth. An acyclic graph takes
+    its edges once, parents before children; a graph with a cycle is iterated until a round adds nothing. Empty tables give no rows; a parent table that is empty orphans every keyed child. Keys are
     read through the edges' expressions, ids as text; other columns, whatever their names, are not read.
     """
-    found = reduce(DataFrame.unionByName, (direct_orphans(graph, e) for e in graph.edges))
-    depth = graph.depth()
-    if depth is not None:
+    found = cut(reduce(DataFrame.unionByName, (direct_orphans(graph, e) for e in graph.edges)))
+    if graph.depth() is not None:
         for e in _by_level(graph):  # parents before children: one pass is the fixpoint
-            found = found.unionByName(inherited_orphans(graph, e, found)) if any(x.child == e.parent for x in graph.edges) else found
+            if any(x.child == e.parent for x in graph.edges):
+                found = found.unionByName(cut(inherited_orphans(graph, e, found)))
         return found
-    found = cut(found)
     while True:
         new = cut(reduce(DataFrame.unionByName, (inherited_orphans(graph, e, found) for e in graph.edges)).dropDuplicates(["table_name", "row_id"]))
         if new.isEmpty():

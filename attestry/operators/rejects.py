@@ -7,6 +7,7 @@ import csv
 import datetime as dt
 import re
 import sys
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -71,34 +72,84 @@ LAYOUTS = {
 }
 
 
-def assemble(text: str, delimiter: str = "\t") -> Iterator[str]:
-    """The records of a text of many lines: a line end inside a quoted field belongs to the record. A quote opens a field
-    only at the field's start. An unclosed quote takes the rest of the text into one record."""
-    start = pos = 0
-    while pos < len(text):
-        if text[pos] == '"':  # the field's start: run to the closing quote
+#: Characters of following lines in which a quoted field that is open at a line's end may close.
+LOOK_AHEAD = 1 << 20
+
+
+def _open_at_end(line: str, inside: bool, delimiter: str = "\t") -> bool:
+    """Whether a quoted field is open where the line ends. A quote opens a field only at the field's start, and two of them
+    stand for one. inside: whether the line begins in such a field."""
+    pos = 0
+    while True:
+        if not inside:
+            if line[pos : pos + 1] != '"':
+                pos = line.find(delimiter, pos) + 1
+                if not pos:
+                    return False
+                continue
             pos += 1
-            while (end := text.find('"', pos)) >= 0 and text[end + 1 : end + 2] == '"':
-                pos = end + 2
-            pos = len(text) if end < 0 else end + 1
-        stop = re.compile(f"[{re.escape(delimiter)}\n]").search(text, pos)
-        if not stop:
-            break
-        pos = stop.end()
-        if stop.group() == "\n":
-            yield text[start : stop.start()]
-            start = pos
-    if start < len(text):
-        yield text[start:]
+        while (end := line.find('"', pos)) >= 0 and line[end + 1 : end + 2] == '"':
+            pos = end + 2
+        if end < 0:
+            return True
+        inside = False
+        pos = line.find(delimiter, end) + 1
+        if not pos:
+            return False
+
+
+def assemble(lines: Iterable[str], layout: Layout | None = None) -> Iterator[str]:
+    """The records of a member's lines, which come without their ends: a line end inside a quoted field belongs to the
+    record.
+
+    Lines are read as they are needed. If a field is open at a line's end, following lines join the record until one
+    closes it; the whole counts only if it parses, with the layout's number of fields if there is one. Else the first line
+    is a record by itself, which parsing will reject, and assembly goes on with the next: an unclosed quote costs one
+    line. A field may not close later than LOOK_AHEAD characters on.
+    """
+    source, waiting = iter(lines), deque()
+    while True:
+        first = waiting.popleft() if waiting else next(source, None)
+        if first is None:
+            return
+        if '"' not in first or not _open_at_end(first, False):
+            yield first
+            continue
+        joined, size, closed = [first], 0, False
+        used = 0
+        while not closed and size <= LOOK_AHEAD:
+            if used == len(waiting):
+                line = next(source, None)
+                if line is None:
+                    break
+                waiting.append(line)
+            line = waiting[used]
+            used += 1
+            size += len(line) + 1
+            joined.append(line)
+            closed = not _open_at_end(line, True)
+        record = "\n".join(joined)
+        if closed and (fields := _split(record.removesuffix("\r"))) is not None and (layout is None or len(fields) == len(layout.columns)):
+            for _ in range(used):
+                waiting.popleft()
+            yield record
+        else:
+            yield first
+
+
+def _split(line: str) -> list[str] | None:
+    """The fields of a record, None if its quoting is broken; line ends inside are shielded."""
+    try:
+        return next(csv.reader([line.translate(_SHIELD)], delimiter="\t", quotechar='"', doublequote=True, strict=True), [""])
+    except csv.Error:
+        return None
 
 
 def parse_record(line: str | None, layout: Layout | None) -> tuple[list[str] | None, list[str]]:
     """Fields and no reason, or no fields and every reason. A NULL line counts as an empty one; a line of a member file
     without a layout has no column count that fits."""
     line = (line or "").removesuffix("\r")
-    try:
-        fields = next(csv.reader([line.translate(_SHIELD)], delimiter="\t", quotechar='"', doublequote=True, strict=True), [""])
-    except csv.Error:
+    if (fields := _split(line)) is None:
         return None, ["quoting"]
     if line == "":
         fields = [""]
@@ -123,13 +174,14 @@ PARSED = "line_id bigint, archive string, member_file string, fields array<strin
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Each line but headers (line_no 1) with its fields, or the reasons for its rejection (PARSED).
 
-    lines: line_id, archive, member_file, line_no, raw_text; other columns are not read. One pass over the partitions,
-    no shuffle. Very long lines are parsed whole; empty input gives no rows; repeated lines are parsed one by one.
+    lines: line_id, archive, member_file, line_no, raw_text; other columns are not read. A raw_text is assembled as the
+    one line of a member, so a field that is open at its end is broken there. One pass over the partitions, no shuffle. Very long lines are parsed whole; empty input gives no rows; repeated lines are parsed one by one.
     """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [parse_record(t, LAYOUTS.get((m or "").strip().upper())) for t, m in zip(b["raw_text"], b["member_file"], strict=True)]
+            layouts = [LAYOUTS.get((m or "").strip().upper()) for m in b["member_file"]]
+            got = [parse_record(record, lay) for t, lay in zip(b["raw_text"], layouts, strict=True) for record in assemble([t or ""], lay)]
             yield pd.DataFrame({"line_id": b["line_id"], "archive": b["archive"], "member_file": b["member_file"], "fields": [g[0] for g in got], "reasons": [g[1] for g in got]})
 
     rows = lines.where(F.coalesce(F.col("line_no") != 1, F.lit(True))).select("line_id", "archive", "member_file", "raw_text")

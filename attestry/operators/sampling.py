@@ -49,42 +49,63 @@ def dense_index(rows: DataFrame, key: str, by: list[str] | None = None, buckets:
     return joined.withColumn("idx", F.col("__before") + F.col("__r") - 1).drop("__b", "__r", "__before")
 
 
-def resampled_indices(spark: object, n: int, resamples: int, seed: int | str) -> DataFrame:
-    """(resample, idx): for each resample n places in [0, n), drawn by hash."""
-    r = spark.range(resamples).select(F.col("id").alias("resample"))
-    return r.select("resample", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j")).select("resample", (hash_draw(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("resample").cast("string"), F.col("j").cast("string")), 256)) % n).alias("idx"))
+#: Standard deviations from the mean beyond which a binomial draw does not fall at the 32 bits of a hash.
+REACH = 12.0
 
 
-#: Distinct values up to which a resample is drawn as counts per value.
-MOST_DISTINCT = 10_000
+def _log_factorial(k: np.ndarray) -> np.ndarray:
+    """ln k!: summed for small k, by Stirling's series for others."""
+    small = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 256)))])
+    x = np.maximum(k, 1).astype(float) + 1.0
+    series = (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return np.where(k < 256, small[np.minimum(k, 255).astype(int)], series)
+
+
+def binomial_quantile(n: int, p: float, u: np.ndarray) -> np.ndarray:
+    """For each u the smallest k of which at most k of n trials succeed with a probability of at least u."""
+    if p <= 0.0 or p >= 1.0 or n == 0:
+        return np.full(len(u), 0 if p <= 0.0 else n, np.int64)
+    mid, dev = n * p, np.sqrt(n * p * (1 - p))
+    lo, hi = max(0, int(mid - REACH * dev - REACH)), min(n, int(mid + REACH * dev + REACH))
+    k = np.arange(lo, hi + 1)
+    log = _log_factorial(np.array([n])) - _log_factorial(k) - _log_factorial(n - k) + k * np.log(p) + (n - k) * np.log1p(-p)
+    return np.minimum(lo + np.searchsorted(np.cumsum(np.exp(log)), u), hi)
+
+
+def _uniforms(ids: Iterable[int], seed: int | str, level: float) -> np.ndarray:
+    return np.array([int(hashlib.sha256(f"{seed}|{i}|{level}".encode()).hexdigest()[:8], 16) for i in ids]) / float(1 << 32)
 
 
 def resampled_means(values: DataFrame, value: str, n: int, resamples: int, seed: int | str) -> DataFrame:
-    """(resample, m): means of n draws with replacement from n rows. Equal values are folded and a resample draws how often
-    each is taken, from a multinomial distribution, which is the distribution of n single draws; a generator is seeded by
-    a hash of seed and resample. If more than MOST_DISTINCT values differ, each draw is made by itself."""
-    spark = values.sparkSession
-    folded = values.groupBy(value).agg(F.count(F.lit(1)).alias("n")).limit(MOST_DISTINCT + 1).collect()
-    if len(folded) > MOST_DISTINCT:
-        return resampled_indices(spark, n, resamples, seed).join(values, "idx").groupBy("resample").agg(F.avg(value).alias("m"))
-    pairs = sorted((r["n"], r[value]) for r in folded if r[value] is not None)
-    counts = np.array([k for k, _ in pairs] + [n - sum(k for k, _ in pairs)], float)
-    levels = np.array([v for _, v in pairs], float)
+    """(resample, m): means of n draws with replacement from n rows, NULLs left out of the mean.
+
+    Equal values are folded, and a resample draws how often each of them is taken: value by value a binomial count of the
+    draws that are left, from a hash of seed, resample and value. That is the distribution of n single draws, at a cost
+    that the number of different values gives. Values are outcomes or their differences, of which there are few; their
+    folded counts are what reaches the driver.
+    """
+    folded = values.groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")).toLocalIterator()
+    levels = sorted((r["v"], r["n"]) for r in folded if r["v"] is not None)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            means = []
-            for i in b["id"]:
-                rng = np.random.RandomState(np.frombuffer(hashlib.sha256(f"{seed}|{i}".encode()).digest(), "<u4"))
-                taken = rng.multinomial(n, counts / n)[:-1]
-                means.append(float(taken @ levels / taken.sum()) if taken.sum() else None)
-            yield pd.DataFrame({"resample": b["id"], "m": means})
+            ids = b["id"].tolist()
+            left, pool = np.full(len(ids), n, np.int64), n
+            total, count = np.zeros(len(ids)), np.zeros(len(ids))
+            for v, size in levels:
+                u, took = _uniforms(ids, seed, v), np.zeros(len(ids), np.int64)
+                for m in np.unique(left).tolist():
+                    at = left == m
+                    took[at] = binomial_quantile(m, size / pool, u[at])
+                left, pool = left - took, pool - size
+                total, count = total + took * v, count + took
+            yield pd.DataFrame({"resample": ids, "m": np.where(count > 0, total / np.maximum(count, 1), np.nan)})
 
-    return spark.range(resamples).mapInPandas(run, "resample bigint, m double").where("m IS NOT NULL")
+    return values.sparkSession.range(resamples).mapInPandas(run, "resample bigint, m double").where("m IS NOT NULL AND NOT isnan(m)")
 
 
 def bootstrap_interval(values: DataFrame, resamples: int = 10_000, seed: int | str = 11) -> DataFrame:
-    """One row: point, lo, hi, n of the mean of paired differences, resampling tasks. values: idx from 0, diff.
+    """One row: point, lo, hi, n of the mean of paired differences, resampling tasks. values: diff.
 
     Limits are order statistics, not interpolated."""
     n = values.count()
@@ -115,7 +136,7 @@ def contrasts(records: DataFrame, task: str, arm: str, value: str) -> DataFrame:
 
 def unpaired_interval(values: DataFrame, resamples: int = 10_000, least: int = 100, seed: int | str = 11) -> DataFrame:
     """One row: difference of two populations' means and its limits, each population resampled on its own; NULL limits and
-    verdict 'none' if either has fewer than least scored rows. values: side ('a' or 'b'), idx from 0 per side, value."""
+    verdict 'none' if either has fewer than least scored rows. values: side ('a' or 'b'), value."""
     n = {r["side"]: r["n"] for r in values.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     spark = values.sparkSession
     if min(n.get("a", 0), n.get("b", 0)) < least:

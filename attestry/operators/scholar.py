@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestry.functions.stats import wilson
 from attestry.operators.sampling import draw
 
 # Bounds of the author population, catch-all topic labels, the shortest title that is matched.
@@ -96,6 +97,14 @@ def citation_audit(affirmed: DataFrame, works: DataFrame, most: int = 3) -> Data
     return by.select("key", F.when(F.col("b"), "backed").when(F.col("e"), "exists").otherwise("none").alias("verdict"))
 
 
+def audit_strata(verdicts: DataFrame, stratum: str) -> DataFrame:
+    """Per stratum the verdicts of audited citations, and the rate of backed ones with its interval."""
+    n = lambda v: F.count_if(F.col("verdict") == v)
+    by = verdicts.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), n("backed").alias("n_backed"), n("exists").alias("n_exists"), n("none").alias("n_none"))
+    i = by.withColumn("i", wilson(F.col("n_backed"), F.col("n")))
+    return i.select(stratum, "n", "n_backed", "n_exists", "n_none", F.round("i.point", 6).alias("backed_rate"), F.round("i.lo", 6).alias("lo"), F.round("i.hi", 6).alias("hi"))
+
+
 def first_wins(frames: list[DataFrame], key: str) -> DataFrame:
     """Union in which the earliest frame's row of a key stays."""
     out = None

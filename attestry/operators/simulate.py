@@ -107,6 +107,13 @@ def solve_histogram(rates: DataFrame) -> DataFrame:
     return rates.groupBy(F.least(F.floor(F.col("rate") * 10), F.lit(9)).alias("decile")).agg(F.count(F.lit(1)).alias("n_tasks"))
 
 
+def solve_health(rates: DataFrame, lo: float = 0.10, hi: float = 0.80) -> DataFrame:
+    """One row: tasks, the share whose solve rate lies in the band, and the share of those that are always or never solved,
+    whose attempts have no advantage over each other."""
+    share = lambda cond: F.round(F.avg(F.when(cond, 1.0).otherwise(0.0)), 6)
+    return rates.agg(F.count(F.lit(1)).alias("n_tasks"), share(F.col("rate").between(lo, hi)).alias("share_in_band"), share(F.col("rate").isin(0.0, 1.0)).alias("share_without_advantage"))
+
+
 def rejection_sample(trajectories: DataFrame, most: int = 2) -> DataFrame:
     """Passing trajectories, the first few of each task by seq, cheapest first: place is the position."""
     r = F.row_number().over(Window.partitionBy("task_id").orderBy("seq"))
@@ -249,6 +256,15 @@ def play(tasks: DataFrame, name: str, weights: list[list[float]] | None, seed: i
     return tasks.mapInPandas(run, RECORD)
 
 
+def rollouts(tasks: DataFrame, name: str, weights: list[list[float]] | None, runs: int, seed: int | str = 11, scripted: str | None = None) -> DataFrame:
+    """Records of so many attempts at every task, each with draws of its own; run tells them apart."""
+    out = None
+    for k in range(runs):
+        got = play(tasks, name, weights, f"{seed}/{k}", scripted).withColumn("run", F.lit(k))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def train(tasks: DataFrame, seeds: int, epochs: int = 3, group: int = 4, rate: float = 0.05, study_tasks: int = 2000) -> DataFrame:
     """(seed, best_epoch, score, weights): a policy per seed, trained by cloning a demonstration and then by group-relative
     advantage over tasks that are solved now and then, the epoch kept that does best on the hill-climb tasks, the first

@@ -130,7 +130,7 @@ def query_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "task").select("task_id", names.query_name("person_name_raw").alias("query_name"))
 
 
-@REG.add("entities", rf"SELECT row_id, coalesce(regexp_matches(person_name_raw, '(?i){names.ENTITY_FORMS}|{names.ENTITY_ENDS}|{names.ENTITY_WORDS}'), false) AS is_entity FROM attested_tuple")
+@REG.add("entities", rf"SELECT row_id, coalesce(regexp_matches(person_name_raw, '{names.ENTITY}'), false) AS is_entity FROM attested_tuple")
 def entities(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "attested_tuple").select("row_id", names.is_entity("person_name_raw").alias("is_entity"))
 
@@ -140,7 +140,13 @@ def title_classes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "attested_tuple").select("row_id", title_class("title_raw").alias("title_class"))
 
 
-@REG.add("company_filters")
+def _company_filter(x: str) -> str:
+    kept = rf"trim(regexp_replace(regexp_replace(regexp_replace({x}, '{names.FILTER}', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s&-]', ' ', 'g'), '\s+', ' ', 'g'))"
+    titled = f"array_to_string(list_transform(string_split(lower({kept}), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+    return rf"coalesce(CASE WHEN {kept} = '' THEN {x} WHEN regexp_matches({kept}, '\p{{L}}') AND {kept} = upper({kept}) THEN {titled} ELSE {kept} END, '')"
+
+
+@REG.add("company_filters", f"SELECT row_id, {_company_filter('issuer_name_raw')} AS company FROM attested_tuple")
 def company_filters(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "attested_tuple").select("row_id", names.company_filter("issuer_name_raw").alias("company"))
 
@@ -179,7 +185,22 @@ def prompts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "task").select("task_id", employment_prompt(F.col("person_name_raw"), F.col("anchor_issuer_name"), F.col("anchor_date")).alias("prompt"))
 
 
-@REG.add("arm_requests")
+_WHO = f"CASE WHEN n < 2 THEN {_CAP.format('t')} ELSE {_CAP.format('list_concat(t[cut + 1:cut + 1], t[1:cut])')} END"
+_TAIL = "'. What organisation are they at most recently, and in what role? Answer for their latest known position. Give your confidence as a number between 0 and 1.'"
+
+
+@REG.add(
+    "arm_requests",
+    f"""WITH t AS (SELECT *, coalesce({_QT}, []) AS t, {_company_filter('anchor_issuer_name')} AS firm FROM task),
+c AS (SELECT *, len(t) AS n, coalesce(list_position(list_transform(t, lambda w: w NOT IN ({q.words(names.PARTICLES)})), true), 0) AS f FROM t),
+e AS (SELECT *, greatest(1, least(CASE WHEN f > 0 THEN f ELSE n END, n - 1)) AS cut FROM c), w AS (SELECT *, {_WHO} AS who FROM e)
+SELECT task_id, 'name_only' AS arm, who || {_TAIL} AS request FROM w
+UNION ALL SELECT task_id, 'anchor_freetext', who || ', who previously worked at ' || firm || {_TAIL} FROM w
+UNION ALL SELECT task_id, 'full_context', who || ' was an officer or director at ' || anchor_issuer_name || ' as of ' || strftime(anchor_date, '%Y-%m-%d') || ', with the role ' || anchor_title_class || {_TAIL} FROM w
+UNION ALL SELECT task_id, 'index_name_only', to_json({{'query': who}})::VARCHAR FROM w
+UNION ALL SELECT task_id, 'index_company_filter', to_json({{'query': who, 'filters': {{'company': firm}}}})::VARCHAR FROM w
+UNION ALL SELECT task_id, 'index_bare', to_json({{'query': trim(who || ' ' || firm)}})::VARCHAR FROM w""",
+)
 def arm_requests_(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "task")
     each = [F.struct(F.lit(k).alias("arm"), v.alias("request")) for k, v in arm_requests("person_name_raw", "anchor_issuer_name", "anchor_date", "anchor_title_class").items()]
@@ -287,7 +308,7 @@ def task_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @REG.add(
     "restricted_tasks",
-    rf"WITH {_MOVERS} SELECT task_id, date '2026-06-30' - truth_filed AS elapsed_days FROM built WHERE last_employer AND date '2026-06-30' - last_filed <= 3652.5 AND NOT coalesce(regexp_matches(person_name_raw, '(?i){names.ENTITY_FORMS}|{names.ENTITY_ENDS}|{names.ENTITY_WORDS}'), false)",
+    rf"WITH {_MOVERS} SELECT task_id, date '2026-06-30' - truth_filed AS elapsed_days FROM built WHERE last_employer AND date '2026-06-30' - last_filed <= 3652.5 AND NOT coalesce(regexp_matches(person_name_raw, '{names.ENTITY}'), false)",
 )
 def restricted_tasks(spark: SparkSession, d: str) -> DataFrame:
     as_of = F.lit("2026-06-30").cast("date")
@@ -318,7 +339,7 @@ def train_task_splits(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "task").select("task_id", splitting.task_split(F.col("task_id")).alias("split"))
 
 
-@REG.add("leak_by_person", "SELECT 0.0::DOUBLE AS leak_rate")
+@REG.add("leak_by_person", f"WITH {q.PEOPLE}, s AS (SELECT person_cik, {_SPLIT.format(_BP)} AS split FROM people WHERE person_cik IS NOT NULL) SELECT coalesce(round(avg(CASE WHEN person_cik IN (SELECT person_cik FROM s WHERE split = 'train') THEN 1.0 ELSE 0.0 END)::DOUBLE, 6), 0.0) AS leak_rate FROM s WHERE split <> 'train'")
 def leak_by_person(spark: SparkSession, d: str) -> DataFrame:
     """What a split by person leaks between persons: nothing."""
     p = people(spark, d).where("person_cik IS NOT NULL").withColumn("split", splitting.split(F.col("person_cik")))
@@ -345,7 +366,7 @@ def public_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("row_id", splitting.name_hash("public-salt", names.strict_name("person_name_raw")).alias("name_hash"), "collision_degree", "strict_degree", "band")
 
 
-@REG.add("resolution_lists", f"WITH {_INDEX} SELECT name, array_to_string(list_sort(list(DISTINCT cik)), ',') AS ciks FROM presented_ix WHERE name <> '' GROUP BY name HAVING count(*) BETWEEN 2 AND 50")
+@REG.add("resolution_lists", f"WITH {_INDEX}, c AS (SELECT name, cik, (row_number() OVER (PARTITION BY name ORDER BY cik) - 1) // 50 AS chunk FROM (SELECT DISTINCT name, cik FROM presented_ix WHERE name <> '')) SELECT name, array_to_string(list_sort(list(cik)), ',') AS ciks FROM c GROUP BY name, chunk")
 def resolution_lists(spark: SparkSession, d: str) -> DataFrame:
     """Every name with its sorted ids, in list form; a name of more than fifty ids has a row for every fifty of them."""
     ix = collision.presented_index(people(spark, d)).where("name <> ''")

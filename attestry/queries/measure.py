@@ -161,17 +161,21 @@ def false_merge_bands(spark: SparkSession, d: str) -> DataFrame:
 
 @REG.add(
     "false_merge_verdict",
-    f"""WITH {_RESOLVED}, c AS (SELECT CASE band WHEN 'unique' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS i, round(avg(CASE WHEN outcome = 'FALSE_MERGE' THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS rate, count(*) FILTER (WHERE outcome = 'FALSE_MERGE') AS fm FROM judged WHERE arm = 'alpha' GROUP BY band),
-p AS (SELECT *, lag(rate) OVER (ORDER BY i) AS prev FROM c) SELECT coalesce(sum(fm), 0) > 0 AS any_false_merge, coalesce(bool_and(prev IS NULL OR prev <= rate), true) AND count(DISTINCT rate) > 1 AS rises FROM p""",
+    f"""WITH {_RESOLVED}, c AS (SELECT CASE band WHEN 'unique' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS i, round(avg(CASE WHEN outcome = 'FALSE_MERGE' THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS rate, count(*) FILTER (WHERE outcome = 'FALSE_MERGE') AS fm, count(*) AS n, count(*) FILTER (WHERE outcome = 'FALSE_MERGE') AS k FROM judged WHERE arm = 'alpha' GROUP BY band),
+p AS (SELECT *, lag(rate) OVER (ORDER BY i) AS prev, {_W['lo']} - CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE 0.12764 END AS net_lo FROM c),
+v AS (SELECT coalesce(sum(fm), 0) > 0 AS any_false_merge, coalesce(bool_and(prev IS NULL OR prev <= rate), true) AND count(DISTINCT rate) > 1 AS rises, coalesce(bool_and(net_lo <= 0), true) AS every_interval_has_zero FROM p)
+SELECT *, NOT rises OR every_interval_has_zero AS falsified FROM v""",
 )
 def false_merge_verdict(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     i = F.when(F.col("band") == "unique", 0).when(F.col("band") == "low", 1).when(F.col("band") == "medium", 2).otherwise(3)
-    c = judged(spark, d).where("arm = 'alpha'").groupBy(i.alias("i")).agg(F.round(F.avg(F.when(F.col("outcome") == "FALSE_MERGE", 1.0).otherwise(0.0)), 6).alias("rate"), F.count_if(F.col("outcome") == "FALSE_MERGE").alias("fm"))
+    c = judged(spark, d).where("arm = 'alpha'").groupBy(i.alias("i")).agg(F.round(F.avg(F.when(F.col("outcome") == "FALSE_MERGE", 1.0).otherwise(0.0)), 6).alias("rate"), F.count_if(F.col("outcome") == "FALSE_MERGE").alias("fm"), F.count(F.lit(1)).alias("n"))
     prev = F.lag("rate").over(Window.orderBy("i"))  # four bands
-    p = c.withColumn("prev", prev)
-    return p.agg((F.coalesce(F.sum("fm"), F.lit(0)) > 0).alias("any_false_merge"), (F.coalesce(F.bool_and(F.col("prev").isNull() | (F.col("prev") <= F.col("rate"))), F.lit(True)) & (F.count_distinct("rate") > 1)).alias("rises"))
+    lower = F.round(stats.wilson(F.col("fm"), F.col("n"))["lo"], 6) - F.when(F.col("i") == 0, 0.0).otherwise(0.12764)
+    p = c.withColumn("prev", prev).withColumn("net_lo", lower)
+    v = p.agg((F.coalesce(F.sum("fm"), F.lit(0)) > 0).alias("any_false_merge"), (F.coalesce(F.bool_and(F.col("prev").isNull() | (F.col("prev") <= F.col("rate"))), F.lit(True)) & (F.count_distinct("rate") > 1)).alias("rises"), F.coalesce(F.bool_and(F.col("net_lo") <= 0), F.lit(True)).alias("every_interval_has_zero"))
+    return v.withColumn("falsified", ~F.col("rises") | F.col("every_interval_has_zero"))
 
 
 # --- calibration --------------------------------------------------------------------------------------------------
@@ -238,7 +242,7 @@ def reflection_curve(spark: SparkSession, d: str) -> DataFrame:
     return steps.withColumn("p", before).where("p IS NULL OR prob > p + 1e-9").select("arm", "delta", F.round("prob", 6).alias("prob"))
 
 
-@REG.add("curve_facts", f"WITH {_PAVA} SELECT arm, CAST(min(delta) FILTER (WHERE prob >= 0.5) AS VARCHAR) AS median_lag, true AS is_monotone FROM fit GROUP BY arm")
+@REG.add("curve_facts", f"WITH {_PAVA} SELECT arm, CAST(min(delta) FILTER (WHERE prob >= 0.5) AS VARCHAR) AS median_lag, bool_and(p IS NULL OR p <= prob + 1e-12) AS is_monotone FROM stepped GROUP BY arm")
 def curve_facts(spark: SparkSession, d: str) -> DataFrame:
     return metrics.curve_facts(metrics.pava(observations(spark, d), "arm"), "arm").withColumn("median_lag", F.col("median_lag").cast("string"))
 
@@ -252,7 +256,18 @@ def reflected_at(spark: SparkSession, d: str) -> DataFrame:
     return got.select("arm", "day", F.round("prob", 6).alias("prob"))
 
 
-@REG.add("recalibrated")
+@REG.add(
+    "recalibrated",
+    f"""WITH {_REC}, sp AS (SELECT *, CASE WHEN {q.hex_int('task_id')} % 10 < 6 THEN 'train' ELSE 'other' END AS split FROM rec),
+tr AS (SELECT arm, confidence AS x, correct::INT::DOUBLE AS k, row_number() OVER (PARTITION BY arm ORDER BY confidence, task_id) AS i FROM sp WHERE split = 'train' AND confidence IS NOT NULL AND correct IS NOT NULL),
+cum AS (SELECT *, sum(k) OVER (PARTITION BY arm ORDER BY i) AS cs FROM tr),
+m AS (SELECT a.arm, a.i AS s, b.i AS e, (b.cs - a.cs + a.k) / (b.i - a.i + 1) AS m FROM cum a JOIN cum b ON a.arm = b.arm AND b.i >= a.i),
+above AS (SELECT arm, e AS i, max(m) AS a FROM m GROUP BY ALL), below AS (SELECT arm, s AS i, min(m) AS b FROM m GROUP BY ALL),
+suffix AS (SELECT arm, e, min(m) OVER (PARTITION BY arm, s ORDER BY e ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM m), fit AS (SELECT arm, e AS i, max(m) AS y FROM suffix GROUP BY ALL),
+steps AS (SELECT tr.arm, tr.x, fit.y FROM tr JOIN fit USING (arm, i) JOIN above USING (arm, i) LEFT JOIN below ON below.arm = tr.arm AND below.i = tr.i + 1 WHERE b IS NULL OR a <= b),
+low AS (SELECT arm, min(y) AS y0 FROM steps GROUP BY arm)
+SELECT r.task_id, r.arm, round(coalesce(max(s.y), any_value(low.y0), any_value(r.confidence)), 6) AS recalibrated FROM sp r LEFT JOIN steps s ON s.arm = r.arm AND s.x <= r.confidence LEFT JOIN low ON low.arm = r.arm WHERE r.split <> 'train' GROUP BY r.task_id, r.arm""",
+)
 def recalibrated(spark: SparkSession, d: str) -> DataFrame:
     """Confidence after an isotonic fit on the training tasks, for the others."""
     from attestry.operators.splitting import task_split
@@ -284,18 +299,31 @@ def arm_contrasts(spark: SparkSession, d: str) -> DataFrame:
     return differences(spark, d).groupBy("arm_a", "arm_b").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("diff"), 6).alias("diff"))
 
 
+def _binomial(draws: str, name: str) -> str:
+    """SQL: draws (resample, m, p, u, ...) with k, the smallest count whose cumulated probability reaches u."""
+    log = "lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) + k * ln(greatest(p, 1e-300)) + (m - k) * ln(greatest(1 - p, 1e-300))"
+    return f"""{name}_d AS ({draws}), {name}_c AS (SELECT m, p, k, sum(exp({log})) OVER (PARTITION BY m, p ORDER BY k) AS cdf FROM (SELECT m, p, unnest(range(m + 1)) AS k FROM (SELECT DISTINCT m, p FROM {name}_d))),
+{name} AS (SELECT d.resample, d.m, coalesce(min(c.k), d.m) AS k FROM {name}_d d LEFT JOIN {name}_c c ON c.m = d.m AND c.p = d.p AND c.cdf >= d.u GROUP BY d.resample, d.m)"""
+
+
+def _u(seed: str, level: str) -> str:
+    return q.hex_int(f"sha256('{seed}|' || r.i || '|{level}')") + " / 4294967296.0::DOUBLE"
+
+
 @REG.add(
     "bootstrap_contrast",
     f"""WITH {_RESOLVED}, h AS (SELECT task_id, arm, (outcome = 'CORRECT')::INT::DOUBLE AS hit FROM judged),
-v AS (SELECT a.hit - b.hit AS diff, row_number() OVER (ORDER BY {q.hex_int('sha256(task_id)')} % 256, task_id) - 1 AS idx FROM h a JOIN h b USING (task_id) WHERE a.arm = 'alpha' AND b.arm = 'beta'),
-n AS (SELECT count(*) AS n FROM v), draws AS (SELECT r.i AS resample, {q.hex_int("sha256('11|' || r.i || '|' || j.j)")} % n AS idx FROM range(1000) r(i), n, range(n) j(j)),
-m AS (SELECT resample, avg(diff) AS m FROM draws JOIN v USING (idx) GROUP BY resample), o AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS r FROM m)
-SELECT (SELECT round(avg(diff), 6) FROM v) AS point, round(max(m) FILTER (WHERE r = 25), 6) AS lo, round(max(m) FILTER (WHERE r = 975), 6) AS hi, (SELECT n FROM n) AS n FROM o""",
+v AS (SELECT a.hit - b.hit AS diff FROM h a JOIN h b USING (task_id) WHERE a.arm = 'alpha' AND b.arm = 'beta'),
+n AS (SELECT count(*) AS n, count(*) FILTER (WHERE diff = -1) AS lost, count(*) FILTER (WHERE diff = 0) AS same FROM v),
+{_binomial("SELECT r.i AS resample, n AS m, lost::DOUBLE / n AS p, " + _u("11", "-1.0") + " AS u FROM range(10000) r(i), n", "x")},
+{_binomial("SELECT r.i AS resample, n - k AS m, same::DOUBLE / (n - lost) AS p, " + _u("11", "0.0") + " AS u FROM range(10000) r(i) JOIN x ON x.resample = r.i, n", "y")},
+o AS (SELECT (n - 2 * x.k - y.k)::DOUBLE / n AS m, row_number() OVER (ORDER BY (n - 2 * x.k - y.k)) - 1 AS r FROM x JOIN y USING (resample), n)
+SELECT (SELECT round(avg(diff), 6) FROM v) AS point, round(max(m) FILTER (WHERE r = 250), 6) AS lo, round(max(m) FILTER (WHERE r = 9750), 6) AS hi, (SELECT n FROM n) AS n FROM o""",
 )
 def bootstrap_contrast(spark: SparkSession, d: str) -> DataFrame:
     """Interval of the accuracy difference of two arms over all tasks, resampled 10,000 times."""
     v = differences(spark, d).where("arm_a = 'alpha' AND arm_b = 'beta'")
-    return sampling.bootstrap_interval(sampling.dense_index(v, "task_id").select("idx", "diff"))
+    return sampling.bootstrap_interval(v.select("diff"))
 
 
 # --- cache and ledger ---------------------------------------------------------------------------------------------
@@ -314,7 +342,7 @@ def cache_latest(spark: SparkSession, d: str) -> DataFrame:
     return replay.latest(entries(spark, d)).select("key", "seq", "arm", F.round("spend_usd", 6).alias("spend_usd"))
 
 
-@REG.add("cache_hits", f"WITH {_ENTRIES}, r AS (SELECT task_id, sha256('delta|answer|' || task_id || '|2026-06') AS k, sha256('alpha|answer|' || task_id || '|2026-06') AS f FROM task) SELECT r.task_id, (SELECT max(seq) FROM entries e WHERE e.key = r.f) AS seq, true AS cached FROM r")
+@REG.add("cache_hits", f"WITH {_ENTRIES}, r AS (SELECT task_id, sha256('delta|answer|' || task_id || '|2026-06') AS k, sha256('alpha|answer|' || task_id || '|2026-06') AS f FROM task) SELECT r.task_id, max(e.seq) FILTER (WHERE e.key = CASE WHEN r.direct THEN r.k ELSE r.f END) AS seq, count(e.key) > 0 AS cached FROM (SELECT *, k IN (SELECT key FROM entries) AS direct FROM r) r LEFT JOIN entries e ON e.key IN (r.k, r.f) GROUP BY r.task_id")
 def cache_hits(spark: SparkSession, d: str) -> DataFrame:
     """Requests under a new key that fall back to the key of old."""
     key = lambda arm: replay.digest(F.lit(arm), F.lit("answer"), F.col("task_id"), F.lit("2026-06"))
@@ -334,7 +362,13 @@ def live_spend(spark: SparkSession, d: str) -> DataFrame:
     return replay.live_spend(entries(spark, d), manual, ans.billing_provider(named, ("engine", "index", "floor")))
 
 
-@REG.add("ledger_skip")
+@REG.add(
+    "ledger_skip",
+    f"""WITH RECURSIVE {ANSWERS_SQL}, o AS (SELECT arm, task_id, spend_usd, row_number() OVER (PARTITION BY arm ORDER BY task_id) AS i FROM answers),
+f AS (SELECT arm, task_id, spend_usd, i, spend_usd <= 1.0 + 1e-9 AS charged, CASE WHEN spend_usd <= 1.0 + 1e-9 THEN spend_usd ELSE 0.0 END AS spent FROM o WHERE i = 1
+  UNION ALL SELECT o.arm, o.task_id, o.spend_usd, o.i, f.spent + o.spend_usd <= 1.0 + 1e-9, f.spent + CASE WHEN f.spent + o.spend_usd <= 1.0 + 1e-9 THEN o.spend_usd ELSE 0.0 END FROM f JOIN o ON o.arm = f.arm AND o.i = f.i + 1)
+SELECT arm, task_id, charged, spend_usd FROM f""",
+)
 def ledger_skip(spark: SparkSession, d: str) -> DataFrame:
     calls = answers(spark, d).select("arm", "task_id", "spend_usd")
     return replay.charge(calls, "arm", ["task_id"], "spend_usd", 1.0, stop=False)
@@ -388,7 +422,10 @@ def event_props(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("p.k").alias("k"))
 
 
-@REG.add("search_results")
+_HEAD = rf"nullif(regexp_extract({q.strip("person_name_raw || ', CEO'")}, '^(.*?)(?:[\s\p{{Z}}]*[,|¦][\s\p{{Z}}]*|[\s\p{{Z}}]+-[\s\p{{Z}}]+|$)', 1), '')"
+
+
+@REG.add("search_results", f"SELECT task_id, {_HEAD} AS person_name, anchor_issuer_name AS employer_name, 'CEO' AS title_text, 0.5::DOUBLE AS confidence, unnest(CASE WHEN collision_degree % 2 = 0 THEN [0, 1] ELSE [0] END)::INT AS rank FROM task")
 def search_results(spark: SparkSession, d: str) -> DataFrame:
     """Rows of search replies in either envelope, with rank."""
     t = table(spark, d, "task")
@@ -397,9 +434,16 @@ def search_results(spark: SparkSession, d: str) -> DataFrame:
     return t.select("task_id", F.explode(ans.parse_search(body)).alias("r")).select("task_id", "r.*")
 
 
-@REG.add("contact_stripped")
+_STRIPPED = " || ".join(["'{'", "array_to_string(list_filter([CASE WHEN rptowner_title IS NOT NULL THEN '\"detail\": {\"title\": ' || to_json(rptowner_title) || '}' ELSE '\"detail\": {}' END, '\"links\": [{\"label\": \"bio\"}]', CASE WHEN rptownername IS NOT NULL THEN '\"rptownername\": ' || to_json(rptownername) END], lambda x: x IS NOT NULL), ', ')", "'}'"])
+
+
+@REG.add("contact_stripped", f"SELECT owner_id, {_STRIPPED} AS body FROM reporting_owner")
 def contact_stripped(spark: SparkSession, d: str) -> DataFrame:
-    """Owner rows as free JSON without contact keys."""
+    """Owner rows as free JSON without contact keys: every key of the fixed set is laid in, at some depth."""
     o = table(spark, d, "reporting_owner")
-    body = F.to_json(F.struct("rptownername", F.col("rptowner_city").alias("home_address_city"), F.struct(F.lit("x").alias("email"), F.col("rptowner_title").alias("title")).alias("detail")))
+    keys = sorted(ans.CONTACT_KEYS)
+    some = lambda part: [F.col("rptowner_street1").alias(k) for k in keys[part::3]]
+    detail = F.struct(*some(1), F.col("rptowner_title").alias("title"))
+    links = F.array(F.struct(*some(2), F.lit("bio").alias("label")))
+    body = F.to_json(F.struct("rptownername", F.col("rptowner_city").alias("home_address_city"), *some(0), detail.alias("detail"), links.alias("links")))
     return o.select("owner_id", ans.strip_contact_json(body).alias("body"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from attestry.functions.keys import digits, number
 from attestry.functions.dates import quarter_label
 from attestry.operators import history, orphans, rejects
 from attestry.queries import Registry, sqlparts
-from attestry.session import table
+from attestry.queries.fixtures import answers
+from attestry.session import cut, table
 
 REG = Registry()
 
@@ -78,9 +81,39 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(orphans.orphan_cascade(filing_graph(spark, d)))
 
 
+@REG.add(
+    "p1_chain",
+    _P1_SQL
+    + r""",
+held AS (SELECT r.k, count(*) FILTER (WHERE o.row_id IS NULL) AS n_alive
+  FROM refs r LEFT JOIN orphan o ON o.table_name = r.table_name AND o.row_id = r.row_id WHERE r.table_name = 'attested_tuple' AND r.k IS NOT NULL GROUP BY r.k),
+lost AS (SELECT t.task_id, t.truth_filed, CASE WHEN nullif(regexp_replace(t.truth_accession, '[^0-9]', '', 'g'), '') IS NULL THEN 'no_key' WHEN h.k IS NULL THEN 'never_came' ELSE 'orphaned_parent' END AS reason
+  FROM task t LEFT JOIN held h ON nullif(regexp_replace(t.truth_accession, '[^0-9]', '', 'g'), '') = h.k WHERE coalesce(h.n_alive, 0) = 0),
+arms AS (SELECT task_id, truth_filed, unnest(['alpha', 'beta', 'gamma']) AS arm FROM lost),
+all_rows AS (
+  SELECT table_name, 'submission' AS parent, 'direct' AS kind, reason FROM orphan
+  UNION ALL SELECT 'task', 'attested_tuple', CASE WHEN reason = 'orphaned_parent' THEN 'inherited' ELSE 'direct' END, reason FROM lost
+  UNION ALL SELECT 'answer', 'task', 'inherited', 'orphaned_parent' FROM arms
+  UNION ALL SELECT 'verdict', 'answer', 'inherited', 'orphaned_parent' FROM arms)
+SELECT table_name, parent, kind, reason, count(*) AS n_rows FROM all_rows GROUP BY ALL
+""",
+)
+def p1_chain(spark: SparkSession, d: str) -> DataFrame:
+    """The cascade over five levels: submission, attested_tuple, task, the arms' answers to it, and the verdicts on those."""
+    graph = filing_graph(spark, d)
+    key = F.concat_ws("|", "task_id", "arm")
+    arms = answers(spark, d).select("task_id", key.alias("answer_id"), "truth_filed")
+    for name, df, own, parent, ref in (("answer", arms, "answer_id", "task", "task_id"), ("verdict", arms.select("answer_id", F.concat("answer_id", F.lit("|v")).alias("verdict_id"), "truth_filed"), "verdict_id", "answer", "answer_id")):
+        graph.nodes[name] = orphans.Node(name, df, own, quarter_label("truth_filed"))
+        graph.edges.append(orphans.Edge(name, F.col(ref), parent, F.col(ref)))
+    found = orphans.orphan_report(orphans.orphan_cascade(graph))
+    return found.groupBy("table_name", "parent", "kind", "reason").agg(F.sum("n_rows").alias("n_rows"))
+
+
 # --- 3: history of changing attributes ----------------------------------------------------------------------------
 
-#: Satellites of a person, by change rate: the employer changes rarely, the title and roles with every other filing.
+#: Attributes of a person that filings state, and the periods at which the satellites are loaded: before, between, after.
+ATTRIBUTES, LOADS = ["issuer_cik", "title_class", "roles"], [dt.date(2020, 1, 1)]
 EMPLOYER, TITLE = ["issuer_cik"], ["title_class", "roles"]
 
 
@@ -92,10 +125,21 @@ def person_snapshots(spark: SparkSession, d: str) -> DataFrame:
     return history.latest_per_period(rows, "person_cik", "period", ["filed", "acc", "issuer_cik"], ["issuer_cik", "title_class", "roles"])
 
 
-def employer_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "attested_tuple")
-    rows = a.select(number("person_cik").alias("person_cik"), number("issuer_cik").alias("issuer_cik"), "period", "filed", digits("accession").alias("acc"))
-    return history.latest_per_period(rows.where(F.col("issuer_cik").isNotNull()), "person_cik", "period", ["filed", "acc", "issuer_cik"], ["issuer_cik"])
+def satellite_of(spark: SparkSession, d: str, attrs: list[str]) -> DataFrame:
+    """A person's versions of some attributes. The snapshots are written once; the rates at which their attributes change
+    part these into satellites, which are loaded batch by batch; attributes that share one with others are narrowed to
+    those asked for."""
+    snaps = cut(person_snapshots(spark, d))
+    rates = [(r["attribute"], r["change_rate"]) for r in history.change_rates(snaps, "person_cik", "period", ATTRIBUTES).collect()]  # a row per attribute
+    groups = [g for g in history.split_by_rate(rates) if set(g) & set(attrs)]
+    if len(groups) > 1:
+        return history.satellite(snaps, "person_cik", "period", attrs)  # asked across satellites
+    sat = history.load(snaps, "person_cik", "period", groups[0], LOADS)
+    return sat if sorted(groups[0]) == sorted(attrs) else history.narrowed(sat, "person_cik", attrs)
+
+
+def employer_view(spark: SparkSession, d: str, versions_from: int = 1) -> DataFrame:
+    return history.history_view(satellite_of(spark, d, EMPLOYER), "person_cik", versions_from)
 
 
 _P3_SQL = r"""
@@ -110,14 +154,13 @@ hist AS (SELECT *, lead(valid_from) OVER (PARTITION BY person_cik ORDER BY valid
 
 @REG.add("p3_found", _P3_SQL + "SELECT person_cik, issuer_cik, strftime(valid_from, '%Y-%m-%d') AS valid_from FROM hist WHERE n >= 2")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    sat = history.satellite(employer_snapshots(spark, d), "person_cik", "period", EMPLOYER)
-    view = history.history_view(sat, "person_cik", versions_from=2)
+    view = employer_view(spark, d, versions_from=2)
     return view.select("person_cik", "issuer_cik", F.date_format("valid_from", "yyyy-MM-dd").alias("valid_from"))
 
 
 @REG.add("p3_history", _P3_SQL + "SELECT person_cik, issuer_cik, strftime(valid_from, '%Y-%m-%d') AS valid_from, strftime(valid_to, '%Y-%m-%d') AS valid_to FROM hist")
 def p3_history(spark: SparkSession, d: str) -> DataFrame:
-    view = history.history_view(history.satellite(employer_snapshots(spark, d), "person_cik", "period", EMPLOYER), "person_cik")
+    view = employer_view(spark, d)
     return view.select("person_cik", "issuer_cik", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("valid_from", "valid_to")])
 
 
@@ -136,8 +179,8 @@ ver AS (SELECT * FROM lagged WHERE rn = 1 OR t0 IS DISTINCT FROM title_class OR
 SELECT person_cik, title_class, roles, strftime(period, '%Y-%m-%d') AS valid_from, strftime(lead(period) OVER (PARTITION BY person_cik ORDER BY period), '%Y-%m-%d') AS valid_to FROM ver""",
 )
 def p3_titles(spark: SparkSession, d: str) -> DataFrame:
-    """The fast satellite: title class and roles, with ends."""
-    view = history.history_view(history.satellite(person_snapshots(spark, d), "person_cik", "period", TITLE), "person_cik")
+    """Title class and roles, with ends."""
+    view = history.history_view(satellite_of(spark, d, TITLE), "person_cik")
     return view.select("person_cik", *TITLE, *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("valid_from", "valid_to")])
 
 
@@ -163,7 +206,7 @@ FROM task t LEFT JOIN hist h ON try_cast(trim(t.person_cik) AS BIGINT) = h.perso
 )
 def p3_task_truth(spark: SparkSession, d: str) -> DataFrame:
     """The employer that the history gives each task at its date, and whether the task's stored truth still agrees."""
-    view = history.history_view(history.satellite(employer_snapshots(spark, d), "person_cik", "period", EMPLOYER), "person_cik")
+    view = employer_view(spark, d)
     tasks = table(spark, d, "task").select("task_id", number("person_cik").alias("__p"), "target_date", number("truth_issuer_cik").alias("__truth"))
     got = history.as_of(tasks, "__p", "target_date", view, "person_cik", {"issuer_cik": "history_issuer_cik"})
     return got.select("task_id", F.col("history_issuer_cik").cast("string").alias("history_issuer_cik"), F.coalesce(F.col("history_issuer_cik") == F.col("__truth"), F.lit(False)).alias("agrees"))

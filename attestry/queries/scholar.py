@@ -142,11 +142,11 @@ def institutions(spark: SparkSession, d: str) -> DataFrame:
     return scholar.resolve_institution(typed, "c_custkey", "inst", known).select("c_custkey", F.col("institution_id").cast("string").alias("institution_id"), F.get("lineage", F.lit(0)).cast("string").alias("lineage"))
 
 
-@REG.add("same_institutions", "SELECT a.n_nationkey AS a, b.n_nationkey AS b, a.n_nationkey = b.n_nationkey OR a.n_regionkey = b.n_nationkey OR b.n_regionkey = a.n_nationkey AS same FROM nation a, nation b WHERE a.n_nationkey < 5")
+@REG.add("same_institutions", "SELECT a.n_nationkey AS a, b.n_nationkey AS b, a.n_nationkey = b.n_nationkey OR a.n_regionkey = b.n_nationkey OR b.n_regionkey = a.n_nationkey AS same FROM nation a, nation b")
 def same_institutions(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of a dimension of 25 rows; the parent of a nation stands for its lineage."""
     n = table(spark, d, "nation")
-    a = n.where("n_nationkey < 5").select(F.col("n_nationkey").alias("a"), F.array("n_regionkey").alias("la"))
+    a = n.select(F.col("n_nationkey").alias("a"), F.array("n_regionkey").alias("la"))
     b = n.select(F.col("n_nationkey").alias("b"), F.array("n_regionkey").alias("lb"))
     return a.crossJoin(F.broadcast(b)).select("a", "b", scholar.same_institution(F.col("a"), F.col("la"), F.col("b"), F.col("lb")).alias("same"))  # 25 nations
 
@@ -156,16 +156,16 @@ _CLEAN = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
 
 @REG.add(
     "citation_audit",
-    rf"""WITH w AS (SELECT doc_id % 50 AS author, {_CLEAN.format('substr(text, 1, 60)')} AS t FROM documents), a AS (SELECT doc_id AS key, CASE WHEN doc_id % 3 = 0 THEN (doc_id + 1) % 50 ELSE doc_id % 50 END AS author, CASE WHEN doc_id % 3 = 2 THEN 'no such title at all' ELSE upper(substr(text, 1, 60)) END AS c FROM documents),
+    rf"""WITH w AS (SELECT DISTINCT coalesce(issuer_cik, '-') AS author, {_CLEAN.format('text')} AS t FROM documents), a AS (SELECT doc_id AS key, coalesce(issuer_cik, '-') || CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE '' END AS author, CASE WHEN doc_id % 3 = 2 THEN 'no such title at all' ELSE text END AS c FROM documents),
 c AS (SELECT key, author, {_CLEAN.format('c')} AS t FROM a)
-SELECT key, CASE WHEN EXISTS (SELECT 1 FROM w WHERE w.author = c.author AND w.t = c.t AND length(c.t) >= 12) THEN 'backed' WHEN EXISTS (SELECT 1 FROM w WHERE w.t = c.t AND length(c.t) >= 12) THEN 'exists' ELSE 'none' END AS verdict FROM c""",
+SELECT key, CASE WHEN w.t IS NOT NULL THEN 'backed' WHEN c.t IN (SELECT t FROM w WHERE t IS NOT NULL) AND length(c.t) >= 12 THEN 'exists' ELSE 'none' END AS verdict FROM c LEFT JOIN w ON w.author = c.author AND w.t = c.t AND length(c.t) >= 12""",
 )
 def citation_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Whether a cited title is the author's own, somebody's, or nobody's; a text's opening stands for its title."""
-    t = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"))
-    w = t.select((F.col("doc_id") % 50).alias("author"), "title")
-    author = F.when(F.col("doc_id") % 3 == 0, (F.col("doc_id") + 1) % 50).otherwise(F.col("doc_id") % 50)
-    cited = F.when(F.col("doc_id") % 3 == 2, "no such title at all").otherwise(F.upper("title"))
+    """Whether a cited text is the author's own, somebody's, or nobody's; issuers stand for authors, whole texts for titles."""
+    t = table(spark, d, "documents").select("doc_id", F.coalesce("issuer_cik", F.lit("-")).alias("own"), F.col("text").alias("title"))
+    w = t.select(F.col("own").alias("author"), "title")
+    author = F.concat("own", F.when(F.col("doc_id") % 3 == 0, "x").otherwise(""))
+    cited = F.when(F.col("doc_id") % 3 == 2, "no such title at all").otherwise(F.col("title"))
     return scholar.citation_audit(t.select(F.col("doc_id").alias("key"), author.alias("author"), F.array(cited).alias("citations")), w)
 
 

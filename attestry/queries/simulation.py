@@ -127,17 +127,6 @@ def episode_tasks(spark: SparkSession, d: str) -> DataFrame:
     return got.select("task_id", "p_correct", "p_stale", "p_wrong", "mean_confidence", task_split(F.col("task_id")).alias("split"))
 
 
-@REG.add("episodes")
-def episodes(spark: SparkSession, d: str) -> DataFrame:
-    """Whole episodes of the three floor policies."""
-    t = episode_tasks(spark, d)
-    out = None
-    for name in ("never_verify", "always_deep_verify", "abstain_always"):
-        got = simulate.play(t, name, None, scripted=name)
-        out = got if out is None else out.unionByName(got)
-    return out
-
-
 @REG.add("trained_policies")
 def trained_policies(spark: SparkSession, d: str) -> DataFrame:
     """A policy per seed, with the epoch and score of its best checkpoint."""

@@ -9,7 +9,7 @@ from attestry.operators import measure, sampling
 from attestry.operators.collision import band
 from attestry.queries import Registry, sqlparts as q
 from attestry.queries.fixtures import ANSWERS_SQL, TASKS_SQL, answers, tasks
-from attestry.queries.measure import _RESOLVED, judged
+from attestry.queries.measure import _RESOLVED, _binomial, _u, judged
 from attestry.session import table
 
 REG = Registry()
@@ -66,19 +66,22 @@ def tasks_of_band(spark: SparkSession, d: str) -> DataFrame:
 def _sides(spark: SparkSession, d: str) -> DataFrame:
     """Two populations: accounts by balance, and by nation."""
     c = table(spark, d, "customer")
-    one = lambda v, s: c.select(F.col("c_custkey").alias("key"), F.when(F.col(v[0]) > v[1], 1.0).otherwise(0.0).alias("value"), F.lit(s).alias("side"))
-    return sampling.dense_index(one(("c_acctbal", 5000), "a").unionByName(one(("c_nationkey", 12), "b")), "key", ["side"])
+    one = lambda v, s: c.select(F.when(F.col(v[0]) > v[1], 1.0).otherwise(0.0).alias("value"), F.lit(s).alias("side"))
+    return one(("c_acctbal", 5000), "a").unionByName(one(("c_nationkey", 12), "b"))
 
 
-_SIDE = "SELECT '{0}' AS side, c_custkey AS key, CASE WHEN {1} > {2} THEN 1.0::DOUBLE ELSE 0.0 END AS value FROM customer"
-_MEAN = "SELECT r.i AS resample, avg(value) AS m FROM range(200) r(i), range((SELECT count(*) FROM customer)) j(j) JOIN v ON v.side = '{0}' AND v.idx = " + q.hex_int("sha256('11{0}|' || r.i || '|' || j.j)") + " % (SELECT count(*) FROM customer) GROUP BY 1"
+_N = "(SELECT count(*) AS n, count(*) FILTER (WHERE value = 0) AS none FROM s WHERE side = '{0}')"
+
+
+def _side_draws(side: str) -> str:
+    return _binomial(f"SELECT r.i AS resample, n AS m, none::DOUBLE / n AS p, {_u('11' + side, '0.0')} AS u FROM range(10000) r(i), {_N.format(side)}", side)
 
 
 @REG.add(
     "unpaired_contrast",
-    f"WITH s AS ({_SIDE.format('a', 'c_acctbal', 5000)} UNION ALL {_SIDE.format('b', 'c_nationkey', 12)}), v AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY {q.hex_int('sha256(key::VARCHAR)')} % 256, key) - 1 AS idx FROM s), a AS ({_MEAN.format('a')}), b AS ({_MEAN.format('b')}), "
-    "o AS (SELECT a.m - b.m AS m, row_number() OVER (ORDER BY a.m - b.m) - 1 AS r FROM a JOIN b USING (resample)), l AS (SELECT max(m) FILTER (WHERE r = 5) AS lo, max(m) FILTER (WHERE r = 195) AS hi FROM o) "
-    "SELECT (SELECT round(avg(value) FILTER (WHERE side = 'a') - avg(value) FILTER (WHERE side = 'b'), 6) FROM v) AS point, round(lo, 6) AS lo, round(hi, 6) AS hi, CASE WHEN lo > 0 OR hi < 0 THEN 'separates' ELSE 'cannot separate' END AS verdict FROM l",
+    "WITH s AS (SELECT 'a' AS side, CASE WHEN c_acctbal > 5000 THEN 1.0::DOUBLE ELSE 0.0 END AS value FROM customer UNION ALL SELECT 'b', CASE WHEN c_nationkey > 12 THEN 1.0::DOUBLE ELSE 0.0 END FROM customer), "
+    f"{_side_draws('a')}, {_side_draws('b')}, d AS (SELECT (a.m - a.k)::DOUBLE / a.m - (b.m - b.k)::DOUBLE / b.m AS m FROM a JOIN b USING (resample)), o AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS r FROM d), l AS (SELECT max(m) FILTER (WHERE r = 250) AS lo, max(m) FILTER (WHERE r = 9750) AS hi FROM o) "
+    "SELECT (SELECT round(avg(value) FILTER (WHERE side = 'a') - avg(value) FILTER (WHERE side = 'b'), 6) FROM s) AS point, round(lo, 6) AS lo, round(hi, 6) AS hi, CASE WHEN lo > 0 OR hi < 0 THEN 'separates' ELSE 'cannot separate' END AS verdict FROM l",
 )
 def unpaired_contrast(spark: SparkSession, d: str) -> DataFrame:
     return sampling.unpaired_interval(_sides(spark, d))

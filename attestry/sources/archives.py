@@ -36,7 +36,7 @@ LINES = "archive string, member_file string, line_no int, raw_text string"
 
 def archive_lines(spark: SparkSession, path: str) -> DataFrame:
     """The records of the members of zip archives as lines, as reject parsing wants them: archive, member_file, line_no,
-    raw_text. A record with a line end inside quotes stays whole; bytes that are no UTF-8 are replaced.
+    raw_text. A record with a line end inside quotes stays whole; bytes that are no UTF-8 are replaced. Members are streamed.
 
     Archives are read one per task from the file system they lie on; a member is found by its name's end, any case."""
 
@@ -44,17 +44,17 @@ def archive_lines(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for file, content in zip(b["path"], b["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for member in LAYOUTS:
+                    for member, layout in LAYOUTS.items():
                         name = next((n for n in z.namelist() if n.upper().endswith(member)), None)
                         if name is None:
                             raise FileNotFoundError(f"{member} not in {file}")
-                        text = z.read(name).decode("utf-8", errors="replace").replace("\r\n", "\n")
                         rows: list[tuple[str, str, int, str]] = []
-                        for i, line in enumerate(assemble(text), 1):
-                            rows.append((file.rsplit("/", 1)[-1], member.replace("TSV", "tsv"), i, line))
-                            if len(rows) == BATCH_LINES:
-                                yield pd.DataFrame(rows, columns=["archive", "member_file", "line_no", "raw_text"])
-                                rows = []
+                        with io.TextIOWrapper(z.open(name), encoding="utf-8", errors="replace", newline="\n") as f:
+                            for i, record in enumerate(assemble((x.removesuffix("\n").removesuffix("\r") for x in f), layout), 1):
+                                rows.append((file.rsplit("/", 1)[-1], member.replace("TSV", "tsv"), i, record))
+                                if len(rows) == BATCH_LINES:
+                                    yield pd.DataFrame(rows, columns=["archive", "member_file", "line_no", "raw_text"])
+                                    rows = []
                         yield pd.DataFrame(rows, columns=["archive", "member_file", "line_no", "raw_text"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, LINES)

@@ -49,10 +49,22 @@ def test_text_is_kept_whole():
 
 
 def test_assemble_is_quote_aware():
-    assert list(r.assemble('a\tb\n"x\ny"\tz\nlast')) == ["a\tb", '"x\ny"\tz', "last"]
-    assert list(r.assemble('it"s\nfine\n')) == ['it"s', "fine"]
-    assert list(r.assemble('"a""\n"\n\nb')) == ['"a""\n"', "", "b"]
-    assert list(r.assemble("")) == []
+    records = lambda text: list(r.assemble(text.split("\n") if text else []))
+    assert records('a\tb\n"x\ny"\tz\nlast') == ["a\tb", '"x\ny"\tz', "last"]
+    assert records('it"s\nfine') == ['it"s', "fine"]
+    assert records('"a""\n"\n\nb') == ['"a""\n"', "", "b"]
+    assert records("") == []
+
+
+def test_an_unclosed_quote_costs_one_record(monkeypatch):
+    good = [sub(**GOOD, issuername=f"n{i}", remarks='"a\tb"' if i % 3 else "") for i in range(1000)]
+    whole = sub(**GOOD, remarks='"two\nlines"')
+    lines = ["HEADER", sub(**GOOD, remarks='"open'), *good[:500], *whole.split("\n"), *good[500:], sub(**GOOD, remarks='"open')]
+    want = ["HEADER", lines[1], *good[:500], whole, *good[500:], lines[-1]]
+    assert list(r.assemble(iter(lines), S)) == want
+    assert [r.parse_record(x, S)[1] for x in want if x != "HEADER"].count(["quoting"]) == 2
+    monkeypatch.setattr(r, "LOOK_AHEAD", 3)
+    assert list(r.assemble(['"a', "b" * 9, 'c"'])) == ['"a', "b" * 9, 'c"']
 
 
 def test_frames_add_up(spark):
