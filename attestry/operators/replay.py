@@ -48,21 +48,26 @@ def charge(calls: DataFrame, ledger: str, order: list[str], price: str, ceiling:
     """calls with charged: in order, a call is paid if it fits under the ledger's ceiling. One that does not is skipped,
     or, with stop, ends the ledger.
 
-    Whether a call fits depends on which before it did, so a ledger is a fold in order, one task per ledger; a ledger is
-    one study's budget, whose length the ceiling and the least price bound."""
+    A ledger that stops is a running sum, as no call after the first that does not fit is paid. In one that skips, whether a
+    call fits depends on which before it did, so it is a fold in order, one task per ledger; calls that alone are beyond
+    the ceiling never reach it. Prices are not negative; a call without a price is not paid."""
+    if stop:
+        w = Window.partitionBy(ledger).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        priced = F.coalesce(F.col(price), F.lit(float("inf")))
+        return calls.withColumn("charged", F.sum(priced).over(w) <= ceiling + 1e-9)
     schema = calls.withColumn("charged", F.lit(True)).schema
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
-        spent, out, over = 0.0, [], False
+        spent, out = 0.0, []
         for p in pdf[price]:
-            ok = not over and spent + p <= ceiling + 1e-9
-            over = over or (stop and not ok)
+            ok = spent + p <= ceiling + 1e-9
             spent += p if ok else 0.0
             out.append(ok)
         return pdf.assign(charged=out)
 
-    return calls.groupBy(ledger).applyInPandas(run, schema)
+    fits = F.coalesce(F.col(price) <= ceiling + 1e-9, F.lit(False))
+    return calls.where(fits).groupBy(ledger).applyInPandas(run, schema).unionByName(calls.where(~fits).withColumn("charged", F.lit(False)))
 
 
 def capped(calls: DataFrame, provider: str, order: list[str], most: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions.stats import wilson
 from attestry.operators.sampling import draw
+from attestry.session import broadcast_if_small
 
 # Bounds of the author population, catch-all topic labels, the shortest title that is matched.
 WORKS, LEAST_IN_TOPIC, SHORTEST_TITLE = (20, 500), 3, 12
@@ -51,7 +52,7 @@ def false_topics(attested: DataFrame, topics: DataFrame, works: DataFrame, diffi
     authors = own.select("author").distinct()
     out = None
     for rank, tier in enumerate(TIERS[difficulty]):
-        pool = authors.crossJoin(F.broadcast(usable)).join(has("domain"), ["author", "domain"], "left_anti") if tier == "far_domain" else pools[tier]()
+        pool = authors.crossJoin(broadcast_if_small(usable)).join(has("domain"), ["author", "domain"], "left_anti") if tier == "far_domain" else pools[tier]()
         row = pool.select("author", "topic", F.lit(rank).alias("rank"), F.lit(tier).alias("tier"))
         out = row if out is None else out.unionByName(row)
     false = out.join(works.select("author", "topic").distinct(), ["author", "topic"], "left_anti")

@@ -47,6 +47,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the program ends."""
+    path = f"{shared_dir(spark)}/attestry-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     """df written to the shared folder and read back: its lineage ends there, and losing executors loses nothing. by: a
     column of few values; a filter on one of them then reads its files only."""

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from attestry.session import scratch
+
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
@@ -47,7 +49,17 @@ def ledger(stream: DataFrame, key: str = "event_type", ceiling: float = 1000.0)
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """What a stream gives when all its input is taken once; for tests and small feeds, as it ends in a memory table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """What a stream gives when all its input is taken once, as a table in the shared folder beside the stream's state.
+
+    Every batch overwrites a folder of its own, so one that is tried again adds nothing twice; in complete mode the last
+    batch is the table. A stream without input gives no rows."""
+    spark = stream.sparkSession
+    path = scratch(spark, name)
+
+    def write(batch: DataFrame, i: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={0 if mode == 'complete' else i}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{path}/out/batch=-1")
+    return spark.read.schema(stream.schema).parquet(f"{path}/out").select(*stream.columns)
