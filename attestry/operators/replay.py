@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestry.functions.keys import sha_key
 
@@ -19,8 +20,9 @@ def latest(entries: DataFrame) -> DataFrame:
     return entries.groupBy("key").agg(F.max(F.struct("seq", *rest)).alias("e")).select("key", "e.*")
 
 
-def look_up(requests: DataFrame, entries: DataFrame, key: str = "key", fallback: str | None = None) -> DataFrame:
-    """requests with the entry of their key, else of their fallback key; cached tells whether there was one."""
+def look_up(requests: DataFrame, entries: DataFrame, key: str = "key", fallback: str | None = None, need: bool = False) -> DataFrame:
+    """requests with the entry of their key, else of their fallback key; cached tells whether there was one. need: fails if
+    no request has any, which is a wrong key rather than an empty cache."""
     last = latest(entries)
     cols = [c for c in last.columns if c != "key"]
     first = last.select(F.col("key").alias("__k"), F.struct(*cols).alias("__e"))
@@ -28,6 +30,8 @@ def look_up(requests: DataFrame, entries: DataFrame, key: str = "key", fallback:
     if fallback:
         second = last.select(F.col("key").alias("__k"), F.struct(*cols).alias("__f"))
         out = out.join(second, F.col("__e").isNull() & (F.col(fallback) == F.col("__k")), "left").withColumn("__e", F.coalesce("__e", "__f")).drop("__k", "__f")
+    if need and out.where(F.col("__e").isNotNull()).isEmpty():
+        raise ValueError("no request is in the cache")
     return out.withColumn("cached", F.col("__e").isNotNull()).select("*", "__e.*").drop("__e")
 
 
@@ -40,6 +44,24 @@ def append(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").parquet(path)
 
 
+def append_stripped(entries: DataFrame, path: str) -> None:
+    """Adds entries to a store without their contact fields, at any depth; a text column body, which holds JSON of no fixed
+    shape, loses its contact keys too."""
+    from attestry.functions.answers import is_contact, strip_contact_json, without_contact
+
+    kept = [f for f in entries.schema.fields if not is_contact(f.name)]
+    clean = [strip_contact_json(F.col(f.name)) if f.name == "body" and f.dataType == T.StringType() else without_contact(f.dataType, F.col(f.name)) for f in kept]
+    append(entries.select(*[c.alias(f.name) for c, f in zip(clean, kept, strict=True)]), path)
+
+
+def reparsed(entries: DataFrame) -> DataFrame:
+    """The latest entry of each key with the answer that its stored body gives now: person_name, employer_name, title_text
+    and confidence, NULL for prose."""
+    from attestry.functions.answers import parse_answer
+
+    return latest(entries).withColumn("__p", parse_answer(F.col("body"))).select("*", *[F.col(f"__p.{c}").alias(c) for c in ("person_name", "employer_name", "title_text", "confidence")]).drop("__p")
+
+
 def total_spend(entries: DataFrame) -> DataFrame:
     return entries.agg(F.round(F.coalesce(F.sum("spend_usd"), F.lit(0.0)), 4).alias("total_usd"))
 

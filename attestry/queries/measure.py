@@ -10,7 +10,7 @@ from attestry.functions import stats
 from attestry.operators import collision, measure, metrics, replay, sampling
 from attestry.queries import Registry, sqlparts as q
 from attestry.queries.fixtures import ANSWERS_SQL, answers, people
-from attestry.session import table
+from attestry.session import scratch, table
 
 REG = Registry()
 
@@ -388,19 +388,28 @@ def capped_calls(spark: SparkSession, d: str) -> DataFrame:
 
 # --- bodies -------------------------------------------------------------------------------------------------------
 
-def bodies(spark: SparkSession, d: str) -> DataFrame:
-    """Reply bodies of the shapes that parsing tells apart."""
-    a = answers(spark, d)
-    inner = F.to_json(F.struct(F.lit("Ada Byron").alias("person_name"), F.lit("Acme").alias("organisation"), F.lit("CEO").alias("role"), (F.col("v") / 50.0).alias("confidence"), (F.col("v") % 2 == 0).alias("affirms")))
+def bodies(spark: SparkSession, d: str, twice: bool = False) -> DataFrame:
+    """Reply bodies of the shapes that parsing tells apart; twice: half of them stored two times."""
+    a = answers(spark, d).withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2)))).where("seq = 1 OR u % 2 = 0") if twice else answers(spark, d).withColumn("seq", F.lit(1))
+    inner = F.to_json(F.struct("person_name", F.col("employer_name").alias("organisation"), F.col("answer_title").alias("role"), (F.col("v") / 50.0).alias("confidence"), (F.col("v") % 2 == 0).alias("affirms")))
     outer = F.to_json(F.struct(inner.alias("answer"), F.struct((F.col("w") / 100.0).alias("total")).alias("costDollars")))
     prose = F.to_json(F.struct(F.lit("She works at Acme.").alias("answer")))
-    return a.select("task_id", "arm", "u", "v", "w", F.when(F.col("u") % 3 == 0, prose).otherwise(outer).alias("body"))
+    return a.select("task_id", "arm", "u", "v", "w", "seq", F.when(F.col("u") % 3 == 0, prose).otherwise(outer).alias("body"))
 
 
-@REG.add("parsed_answers", f"WITH {ANSWERS_SQL} SELECT task_id, arm, CASE WHEN u % 3 <> 0 THEN 'Ada Byron' END AS person_name, CASE WHEN u % 3 <> 0 THEN 'Acme' END AS employer_name, CASE WHEN u % 3 <> 0 THEN round(least(greatest(v / 50.0::DOUBLE, 0.0), 1.0), 6) END AS confidence FROM answers")
+@REG.add("parsed_answers", f"WITH {ANSWERS_SQL} SELECT task_id, arm, CASE WHEN u % 3 <> 0 THEN nullif(person_name, '') END AS person_name, CASE WHEN u % 3 <> 0 THEN nullif(employer_name, '') END AS employer_name, CASE WHEN u % 3 <> 0 THEN answer_title END AS title_text, CASE WHEN u % 3 <> 0 THEN round(least(greatest(v / 50.0::DOUBLE, 0.0), 1.0), 6) END AS confidence FROM answers")
 def parsed_answers(spark: SparkSession, d: str) -> DataFrame:
     p = bodies(spark, d).withColumn("p", ans.parse_answer(F.col("body")))
-    return p.select("task_id", "arm", "p.person_name", "p.employer_name", F.round("p.confidence", 6).alias("confidence"))
+    return p.select("task_id", "arm", "p.person_name", "p.employer_name", "p.title_text", F.round("p.confidence", 6).alias("confidence"))
+
+
+@REG.add("reparsed_answers", f"WITH {ANSWERS_SQL} SELECT sha256(arm || '|answer|' || task_id || '|2026-06') AS key, CASE WHEN u % 2 = 0 THEN 2 ELSE 1 END AS seq, CASE WHEN u % 3 <> 0 THEN nullif(person_name, '') END AS person_name, CASE WHEN u % 3 <> 0 THEN nullif(employer_name, '') END AS employer_name, CASE WHEN u % 3 <> 0 THEN round(least(greatest(v / 50.0::DOUBLE, 0.0), 1.0), 6) END AS confidence FROM answers")
+def reparsed_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers read once more from the bodies that the cache holds, after they were stored without contact fields."""
+    b = bodies(spark, d, twice=True).select(replay.digest(F.col("arm"), F.lit("answer"), F.col("task_id"), F.lit("2026-06")).alias("key"), "seq", F.lit("x").alias("work_email"), "body")
+    path = scratch(spark, "cache")
+    replay.append_stripped(b, path)
+    return replay.reparsed(spark.read.parquet(path)).select("key", "seq", "person_name", "employer_name", F.round("confidence", 6).alias("confidence"))
 
 
 @REG.add("parsed_verdicts", f"WITH {ANSWERS_SQL} SELECT task_id, arm, CAST(CASE WHEN u % 3 <> 0 THEN v % 2 = 0 END AS VARCHAR) AS affirms, CASE WHEN u % 3 <> 0 THEN round(least(v / 50.0::DOUBLE, 1.0), 6) ELSE 0.0 END AS confidence FROM answers")

@@ -1,5 +1,6 @@
 """Normal forms, titles, dates, keys and intervals."""
 
+import json
 import math
 
 import pytest
@@ -107,6 +108,19 @@ def test_answer_parsing(spark):
     assert tuple(one(spark, answers.spend_reported(F.lit('{"meta": {"credits_charged": 0}}'), "$.meta.credits_charged", 0.01, 0.5))) == (0.0, "reported")
 
 
+def test_every_contact_key_goes(spark):
+    keys = "email work_email personal_email emails phone mobile_phone phone_number phones address street street1 street2 city postal_code zip linkedin_url linkedin twitter x_url github_url facebook social socials profile_url url urls evidence_links date_of_birth dob age".split()
+    more = ["home_address", "Employer_Phone_Number", "EMAIL2", "birthplace", "postal", "URL"]
+    assert all(answers.is_contact(k) for k in keys + more)
+    assert not any(answers.is_contact(k) for k in ("name", "title", "company", "organisation", "page", "label", "start_date"))
+    body = json.dumps({k: "SENTINEL" for k in keys + more} | {"kept": [{k: "SENTINEL" for k in keys} | {"n": 1}]})
+    assert one(spark, answers.strip_contact_json(F.lit(body))) == '{"kept": [{"n": 1}]}'
+    df = spark.range(1).select(*[F.lit("x").alias(k) for k in keys], F.struct(*[F.lit("x").alias(k) for k in keys]).alias("deep"))
+    assert answers.forbidden_fields(df.schema) == [*keys, *[f"deep.{k}" for k in keys]]
+    mapped = spark.range(1).select(F.create_map(*[F.lit(x) for k in [*keys, "kept"] for x in (k, "v")]).alias("m"))
+    assert mapped.select(answers.without_contact(mapped.schema["m"].dataType, F.col("m")).alias("m")).first()["m"] == {"kept": "v"}
+
+
 def test_contact_fields_go(spark):
     df = spark.sql("SELECT named_struct('email', 'x', 'deep', array(named_struct('home_phone', 1, 'kept', 2))) AS s")
     kept = df.select(answers.without_contact(df.schema["s"].dataType, F.col("s")).alias("s"))

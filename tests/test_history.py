@@ -64,3 +64,23 @@ def test_as_of(spark):
     facts = spark.createDataFrame([(i, 1, day(i), "keep") for i in (1, 3, 5, 6, 20)] + [(99, 2, day(5), "keep")], "id bigint, who bigint, at date, issuer string")
     got = {r["id"]: r["then"] for r in h.as_of(facts, "who", "at", view, "person", {"issuer": "then"}).collect()}
     assert got == {1: None, 3: 10, 5: 10, 6: 20, 20: 20, 99: None}
+
+
+def test_batches_give_the_full_build(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(p, rng.randrange(1, 28), rng.randrange(1, 28), rng.choice("abc"), rng.randrange(3)) for p in range(40) for _ in range(rng.randrange(1, 12))]
+    snap = h.latest_per_period(frame(spark, rows), "person", "period", ["filed", "acc", "issuer"], ["issuer"])
+    key = lambda df: sorted((r["person"], r["valid_from"], r["issuer"], r["hash_diff"]) for r in df.collect())
+    full = key(h.satellite(snap, "person", "period", ["issuer"]))
+    for edges in ([], [day(9)], [day(5), day(6), day(20)], [day(1)]):
+        assert key(h.load(snap, "person", "period", ["issuer"], edges)) == full
+    assert key(h.load(snap.where("false"), "person", "period", ["issuer"], [day(9)])) == []
+
+
+def test_a_satellite_is_narrowed(spark):
+    snap = spark.createDataFrame([(1, day(1), 5, "a"), (1, day(2), 5, "b"), (1, day(3), 6, "b"), (1, day(4), 6, None)], "person bigint, period date, issuer bigint, extra string")
+    both = h.satellite(snap, "person", "period", ["issuer", "extra"])
+    assert both.count() == 4
+    assert [(r["valid_from"].day, r["issuer"]) for r in h.narrowed(both, "person", ["issuer"]).orderBy("valid_from").collect()] == [(1, 5), (3, 6)]

@@ -212,3 +212,58 @@ def test_checkpoints_are_scored_on_every_hill_climb_task(spark):
     got = simulate.train(t, seeds=1, epochs=1, group=2, study_tasks=4).first()
     played = simulate.play(t.where("split = 'hillclimb'"), "p", got["weights"], seed=0).agg(F.avg("reward"), F.count(F.lit(1))).first()
     assert played[1] == 40 and abs(played[0] - got["score"]) < 1e-9
+
+
+def test_binomial_quantiles_against_exact_sums():
+    import numpy as np
+
+    for n, p in ((1, 0.5), (7, 0.1), (40, 0.75), (300, 0.02)):
+        exact = [sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1)) for k in range(n + 1)]
+        u = np.linspace(0.0003, 0.9997, 301)
+        assert sampling.binomial_quantile(n, p, u).tolist() == [next((k for k, c in enumerate(exact) if c >= x), n) for x in u]
+    assert sampling.binomial_quantile(5, 0.0, u).max() == 0 and sampling.binomial_quantile(5, 1.0, u).min() == 5
+    big = sampling.binomial_quantile(10**9, 0.3, np.array([0.025, 0.5, 0.975]))
+    dev = math.sqrt(10**9 * 0.21)
+    assert abs(big[1] - 3 * 10**8) < 2 and abs(big[2] - big[0] - 2 * 1.96 * dev) < 0.01 * dev
+
+
+def test_resampled_means_have_the_right_spread(spark):
+    v = spark.createDataFrame([(float(x),) for x in [-1] * 30 + [0] * 50 + [1] * 20] + [(None,)] * 10, "diff double")
+    got = [r["m"] for r in sampling.resampled_means(v, "diff", 110, 4000, 3).collect()]
+    mean, var = sum(got) / 4000, sum(x * x for x in got) / 4000 - (sum(got) / 4000) ** 2
+    assert len(got) == 4000 and abs(mean + 0.1) < 0.01 and abs(var - 0.49 / 100) < 0.0006
+
+
+def test_health_histogram_and_strata(spark):
+    rates = spark.createDataFrame([("a", 0.0), ("b", 0.5), ("c", 1.0), ("d", 0.8)], "task_id string, rate double")
+    assert tuple(simulate.solve_health(rates).first()) == (4, 0.5, 0.5)
+    rec = spark.createDataFrame([("x", "CORRECT", 1.0), ("x", "CORRECT", 0.99), ("x", "MISS", 0.0)], "arm string, outcome string, confidence double")
+    assert {(r["outcome"], r["tenth"]): r["n"] for r in m.outcome_histogram(rec, "arm").collect()} == {("CORRECT", 9): 2, ("MISS", 0): 1}
+    v = spark.createDataFrame([("s", "backed")] * 3 + [("s", "none"), ("t", "exists")], "stratum string, verdict string")
+    assert {r["stratum"]: (r["n"], r["n_backed"], r["backed_rate"]) for r in scholar.audit_strata(v, "stratum").collect()} == {"s": (4, 3, 0.75), "t": (1, 0, 0.0)}
+
+
+def test_attempts_at_a_task_differ(spark):
+    t = spark.createDataFrame([(f"t{i}", 0.5, 0.1, 0.1, 0.8) for i in range(60)], "task_id string, p_correct double, p_stale double, p_wrong double, mean_confidence double")
+    got = simulate.rollouts(t, "never_verify", None, runs=5, scripted="never_verify")
+    by = simulate.solve_rates(got).collect()
+    assert got.count() == 300 and len({r["rate"] for r in by}) > 3 and 0.4 < sum(r["rate"] for r in by) / 60 < 0.6
+
+
+def test_a_store_is_stripped_and_read_again(spark, tmp_path):
+    body = '{"answer": "{\\"person_name\\": \\"A\\", \\"organisation\\": \\"B\\"}", "url": "SENTINEL"}'
+    e = spark.createDataFrame([("k", 1, "prose", "SENTINEL", ("SENTINEL", 3)), ("k", 2, body, "SENTINEL", ("SENTINEL", 4))], "key string, seq int, body string, phone string, meta struct<home_email: string, n: int>")
+    replay.append_stripped(e, str(tmp_path / "s"))
+    got = spark.read.parquet(str(tmp_path / "s"))
+    assert got.columns == ["key", "seq", "body", "meta"] and not any("SENTINEL" in str(r) for r in got.collect())
+    assert [(r["seq"], r["person_name"], r["employer_name"], r["meta"]["n"]) for r in replay.reparsed(got).collect()] == [(2, "A", "B", 4)]
+    q = spark.createDataFrame([("zz",)], "key string")
+    with pytest.raises(ValueError):
+        replay.look_up(q, got.select("key", "seq"), need=True)
+
+
+def test_a_ledger_without_prices(spark):
+    calls = spark.createDataFrame([("a", 1, 0.6), ("a", 2, None), ("a", 3, 0.2)], "arm string, i int, p double")
+    got = lambda stop: {r["i"]: r["charged"] for r in replay.charge(calls, "arm", ["i"], "p", 1.0, stop).collect()}
+    assert got(False) == {1: True, 2: False, 3: True} and got(True) == {1: True, 2: False, 3: False}
+    assert replay.charge(calls.where("false"), "arm", ["i"], "p", 1.0, False).count() == 0

@@ -80,3 +80,24 @@ def test_direct_edge_without_validity(spark):
     g = graph(spark, [(1, "1", 1), (2, "2", 1)], [("1", 5, 6)])
     e = Edge("c", digits("acc"), "p", digits("acc"))
     assert {r["row_id"] for r in direct_orphans(g, e).collect()} == {"2"}
+
+
+def test_an_end_in_the_far_future_costs_no_more(spark):
+    child = spark.createDataFrame([(i, str(i % 300), at(1 + i % 20), "x") for i in range(3000)], CHILD)
+    parent = spark.createDataFrame([(str(i), at(10), dt.datetime(9999, 12, 31), "y") for i in range(300)], PARENT)
+    nodes = {"c": Node("c", child, "id", F.lit("q"), "at"), "p": Node("p", parent, "acc", F.lit("q"))}
+    g = Graph(nodes, [Edge("c", digits("acc"), "p", digits("acc"), ("a", "w"))])
+    got = {(int(r["row_id"]), r["reason"]) for r in orphan_cascade(g).collect()}
+    assert got == {(i, "came_later") for i in range(3000) if 1 + i % 20 < 10}
+
+
+def test_a_deep_chain_has_a_flat_plan(spark):
+    t = lambda rows: spark.createDataFrame(rows, "id string, up string")
+    nodes, edges = {}, []
+    for k in range(6):
+        nodes[f"t{k}"] = Node(f"t{k}", t([(f"{k}-{i}", f"{k - 1}-{i}") for i in range(4 if k else 3)]), "id", F.lit("q"))
+        if k:
+            edges.append(Edge(f"t{k}", F.col("up"), f"t{k - 1}", F.col("id")))
+    found = orphan_cascade(Graph(nodes, edges))
+    assert {(r["table_name"], r["row_id"], r["kind"]) for r in found.collect()} == {("t1", "1-3", "direct"), *{(f"t{k}", f"{k}-3", "inherited") for k in range(2, 6)}}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
