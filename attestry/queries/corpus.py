@@ -413,7 +413,8 @@ def shuffled_arms(spark: SparkSession, d: str) -> DataFrame:
     return calls.withColumn("place", F.row_number().over(Window.orderBy(sampling.draw(11, F.col("task_id"), F.col("arm")), "task_id", "arm")))
 
 
-@REG.add("request_digests", "SELECT task_id, sha256('alpha|answer|' || person_name_raw || '|2026-06') AS digest FROM task WHERE person_name_raw IS NOT NULL")
+@REG.add("request_digests", "SELECT task_id, sha256('alpha|answer|' || person_name_raw || '|2026-06') AS digest FROM task")
 def request_digests(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "task").where("person_name_raw IS NOT NULL")
-    return t.select("task_id", sha_key(F.lit("alpha"), F.lit("answer"), F.col("person_name_raw"), F.lit("2026-06")).alias("digest"))
+    """Keys of requests; a task without a name has no request and no key."""
+    key = sha_key(F.lit("alpha"), F.lit("answer"), F.col("person_name_raw"), F.lit("2026-06"))
+    return table(spark, d, "task").select("task_id", F.when(F.col("person_name_raw").isNotNull(), key).alias("digest"))

@@ -45,10 +45,11 @@ def attested_topics(spark: SparkSession, d: str) -> DataFrame:
     return attested(spark, d)
 
 
-@REG.add("works_in_topic", f"WITH {_TREE} SELECT c_custkey AS author, (SELECT count(*) FROM works w WHERE w.author = c_custkey AND w.topic = 24) AS n_works FROM customer")
+@REG.add("works_in_topic", f"WITH {_TREE} SELECT c_custkey AS author, topic, count(topic) AS n_works FROM customer LEFT JOIN works ON author = c_custkey GROUP BY ALL")
 def works_in_topic(spark: SparkSession, d: str) -> DataFrame:
-    n = works(spark, d).where("topic = 24").groupBy("author").agg(F.count(F.lit(1)).alias("n"))
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("author")).join(n, "author", "left").select("author", F.coalesce("n", F.lit(0)).alias("n_works"))
+    """Works of every author in every topic that they have any in; an author without works has one row without a topic."""
+    n = works(spark, d).groupBy("author", "topic").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("author")).join(n, "author", "left").select("author", "topic", F.coalesce("n", F.lit(0)).alias("n_works"))
 
 
 @REG.add(
