@@ -142,9 +142,10 @@ def token_index(prof: DataFrame) -> DataFrame:
     neighbours, so two spellings meet at the more frequent one and rare ones at the name they stem from.
     """
     vocabulary = cut(prof.select("top", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count_if("top").alias("n")))
-    index = vocabulary.select("token", "n", F.explode(_deletes("token", "n")).alias("d"))
+    tasks = max(prof.sparkSession.sparkContext.defaultParallelism, int(prof.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    index = vocabulary.repartition(tasks, "token").select("token", "n", F.explode(_deletes("token", "n")).alias("d"))  # a token has some hundred deletions
     other = index.select(F.col("token").alias("t2"), F.col("n").alias("n2"), "d")
-    pairs = index.join(other, "d").where((F.col("n2") > F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("t2") > F.col("token")))).select("token", "n", "t2", "n2").distinct()
+    pairs = index.join(other.hint("merge"), "d").where((F.col("n2") > F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("t2") > F.col("token")))).select("token", "n", "t2", "n2").distinct()
     ups = pairs.where(_near("token", "n", "t2", "n2")).groupBy("token").agg(F.sort_array(F.collect_list("t2")).alias("up"))  # one edit's reach
     return vocabulary.join(ups, "token", "left").select("token", "n", F.coalesce("up", F.array().cast("array<string>")).alias("up"))
 
