@@ -47,7 +47,7 @@ LABEL_TRUST, SMOOTHING = 0.85, 20.0
 
 WORD = re.compile(r"[^\W\d_]+")
 QUOTE = re.compile(r"[„“”«»\"‘‚]")
-STOP = re.compile(r"[.!?…]*…[.!?…]*[\"'”“»)]*|[.!?]+[\"'”“»)]*(?=\s|$)|\n+")
+STOP = re.compile(r"[.!?…]+[\"'”“»)]*|\n+")
 #: A short term in quotation marks, which says nothing of its surroundings.
 TERM = re.compile(r"[„“”«»\"‘‚][^„“”«»\"‘‚.!?\n]{1,40}[“”»«\"’‘]")
 
@@ -61,17 +61,20 @@ def folded(word: str) -> str:
 
 
 def units(text: str) -> list[tuple[int, int]]:
-    """Spans of sentences. A stop after an initial or a number of one or two digits ends none."""
-    out, start = [], 0
+    """Spans of sentences. A stop within a word ends none, unless it is an ellipsis, nor does one after an initial or a
+    number of one or two digits."""
+    out, start, size = [], 0, len(text)
     for m in STOP.finditer(text):
-        at = m.start()
+        at, end = m.span()
+        if end < size and text[at] != "\n" and not text[end].isspace() and "…" not in m.group():
+            continue
         if text[at] == "." and at:
             before = text[max(0, at - 3) : at]
             if before[-1:].isalpha() and not before[-2:-1].isalpha() or before[-1:].isdigit() and not before[:1].isdigit() and not before[-2:-1] in (".", ","):
                 continue
-        if not text[start : m.end()].isspace():
-            out.append((start, m.end()))
-            start = m.end()
+        if not text[start:end].isspace():
+            out.append((start, end))
+            start = end
     if start < len(text):
         out.append((start, len(text)))
     return out
@@ -97,8 +100,8 @@ def word_starts(text: str) -> list[int]:
 
 def windows(n: int) -> list[tuple[int, int]]:
     """n words in runs of WINDOW or somewhat more."""
-    k = max(1, n // WINDOW)
-    return [(n * i // k, n * (i + 1) // k) for i in range(k)]
+    k = n // WINDOW
+    return [(0, n)] if k < 2 else [(n * i // k, n * (i + 1) // k) for i in range(k)]
 
 
 class Model:
@@ -126,8 +129,9 @@ class Model:
         return self._telling
 
 
-def _weights(counts: dict[str, np.ndarray]) -> Model:
-    kept = {w: c for w, c in counts.items() if c.sum() >= LEAST_SENTENCES}
+def _weights(words: list[str], counts: np.ndarray) -> Model:
+    """The model that counts of sentences (words x LANGS) give."""
+    kept = {words[i]: counts[i] for i in np.flatnonzero(counts.sum(axis=1) >= LEAST_SENTENCES).tolist()}
     for w in [w for w in kept if not w.isascii()]:  # typed without its marks, a word is as telling
         kept.setdefault(folded(w), np.zeros(len(LANGS)))
         kept[folded(w)] = kept[folded(w)] + kept[w]
@@ -140,21 +144,29 @@ def _weights(counts: dict[str, np.ndarray]) -> Model:
     return Model({w: i + 1 for i, w in enumerate(kept)}, np.vstack([np.zeros(len(LANGS)), log]).astype(np.float32))
 
 
-def fit(sample: list[tuple[str, str]]) -> Model:
-    """From (text, declared language): counts of words per sentence by label, then by the language that the model so far
-    gives the sentence, so that wrong labels and mixed documents wash out."""
-    sentences = [(sorted(set(unit_words(plain(t)[a:b]))), LANGS.index(lang)) for t, lang in sample for a, b in units(plain(t))]
-    label = np.array([k for _, k in sentences], np.int64)
+def sentence_words(text: str) -> list[list[str]]:
+    """Each sentence's different words, sorted."""
+    text = plain(text)
+    return [sorted(set(unit_words(text[a:b]))) for a, b in units(text)]
+
+
+def fit(sample: list[tuple[list[list[str]], str]]) -> Model:
+    """From (sentence_words of a text, declared language): counts of words per sentence by label, then by the language that
+    the model so far gives the sentence, so that wrong labels and mixed documents wash out."""
+    place: dict[str, int] = {}
+    sentences = [(ws, LANGS.index(lang)) for text, lang in sample for ws in text if ws]
+    flat = np.array([place.setdefault(w, len(place)) for ws, _ in sentences for w in ws], np.int64)
+    if not len(flat):
+        return Model({}, np.zeros((1, len(LANGS)), np.float32))
+    sizes, label = np.array([len(ws) for ws, _ in sentences]), np.array([k for _, k in sentences], np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     trust = np.log(LABEL_TRUST * (len(LANGS) - 1) / (1 - LABEL_TRUST)) * np.eye(len(LANGS))[label]
-    given, model = label, Model({}, np.zeros((1, len(LANGS)), np.float32))
+    words, given = [*place], label
     for _ in range(FIT_ROUNDS):
-        counts: dict[str, np.ndarray] = {}
-        for (ws, _), k in zip(sentences, given, strict=True):
-            for w in ws:
-                counts.setdefault(w, np.zeros(len(LANGS)))[k] += 1
-        model = _weights(counts)
-        if len(sentences):
-            given = (model.score([ws for ws, _ in sentences])[0] + trust).argmax(axis=1)
+        counts = np.bincount(flat * len(LANGS) + np.repeat(given, sizes), minlength=len(words) * len(LANGS)).reshape(-1, len(LANGS)).astype(float)
+        model = _weights(words, counts)
+        row = np.array([model.vocabulary.get(w, 0) for w in words])
+        given = (np.add.reduceat(model.weights[row[flat]].astype(float), starts, axis=0) + trust).argmax(axis=1)
     return model
 
 
@@ -292,7 +304,14 @@ def fitted(docs: DataFrame) -> Model:
     if labelled > 4 * FIT_DOCS:
         rows = rows.where(h < -(1 << 63) + int(4 * FIT_DOCS / labelled * (1 << 64)))
     sample = rows.select("text", "declared", h.alias("h")).orderBy("h").limit(FIT_DOCS)
-    return fit([(r["text"], r["declared"]) for r in sample.toLocalIterator()])
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"sentences": [sentence_words(t) for t in b["text"]], "declared": b["declared"]})
+
+    tasks = docs.sparkSession.sparkContext.defaultParallelism
+    parsed = sample.repartition(tasks, "h").mapInPandas(run, "sentences array<array<string>>, declared string")
+    return fit([(r["sentences"], r["declared"]) for r in parsed.toLocalIterator()])
 
 
 def segments(docs: DataFrame) -> DataFrame:
