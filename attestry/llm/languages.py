@@ -35,6 +35,9 @@ NO_LABEL = ("", "und", "unknown")
 FIT_DOCS, FIT_CHARS, FIT_ROUNDS = 4000, 20_000, 3
 #: A word counts if the sample has it in so many sentences; a word moves the odds by at most CLIP nats.
 LEAST_SENTENCES, CLIP = 6, 5.0
+#: While sentences are labelled anew, only words count that a language has in this share of its sentences: what a pasted
+#: passage speaks of is rare in every language, and the small ones must not claim it.
+COMMON = 0.02
 #: Words of the average language that each language is taken to hold besides its own, which keeps one with few, perhaps
 #: wrong, labels from claiming a word.
 PRIOR = 100.0
@@ -129,9 +132,9 @@ class Model:
         return self._telling
 
 
-def _weights(words: list[str], counts: np.ndarray) -> Model:
-    """The model that counts of sentences (words x LANGS) give."""
-    kept = {words[i]: counts[i] for i in np.flatnonzero(counts.sum(axis=1) >= LEAST_SENTENCES).tolist()}
+def _weights(words: list[str], counts: np.ndarray, least: np.ndarray) -> Model:
+    """The model that counts of sentences (words x LANGS) give; least: sentences of some language that a word must have."""
+    kept = {words[i]: counts[i] for i in np.flatnonzero((counts.sum(axis=1) >= LEAST_SENTENCES) & (counts >= least).any(axis=1)).tolist()}
     for w in [w for w in kept if not w.isascii()]:  # typed without its marks, a word is as telling
         kept.setdefault(folded(w), np.zeros(len(LANGS)))
         kept[folded(w)] = kept[folded(w)] + kept[w]
@@ -140,6 +143,7 @@ def _weights(words: list[str], counts: np.ndarray) -> Model:
     table = np.array([*kept.values()])
     rate = (table + PRIOR * table.sum(axis=1, keepdims=True) / table.sum()) / (table.sum(axis=0) + PRIOR)
     log = np.log(rate)
+    log[:, counts.sum(axis=0) == 0] = -np.inf  # a language without a sentence claims nothing
     log = np.maximum(log - log.max(axis=1, keepdims=True), -CLIP)
     return Model({w: i + 1 for i, w in enumerate(kept)}, np.vstack([np.zeros(len(LANGS)), log]).astype(np.float32))
 
@@ -152,7 +156,7 @@ def sentence_words(text: str) -> list[list[str]]:
 
 def fit(sample: list[tuple[list[list[str]], str]]) -> Model:
     """From (sentence_words of a text, declared language): counts of words per sentence by label, then by the language that
-    the model so far gives the sentence, so that wrong labels and mixed documents wash out."""
+    the common words so far give the sentence, so that wrong labels and mixed documents wash out; at last of all words."""
     place: dict[str, int] = {}
     sentences = [(ws, LANGS.index(lang)) for text, lang in sample for ws in text if ws]
     flat = np.array([place.setdefault(w, len(place)) for ws, _ in sentences for w in ws], np.int64)
@@ -162,12 +166,13 @@ def fit(sample: list[tuple[list[list[str]], str]]) -> Model:
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     trust = np.log(LABEL_TRUST * (len(LANGS) - 1) / (1 - LABEL_TRUST)) * np.eye(len(LANGS))[label]
     words, given = [*place], label
-    for _ in range(FIT_ROUNDS):
+    for round_ in range(FIT_ROUNDS + 1):
         counts = np.bincount(flat * len(LANGS) + np.repeat(given, sizes), minlength=len(words) * len(LANGS)).reshape(-1, len(LANGS)).astype(float)
-        model = _weights(words, counts)
+        if round_ == FIT_ROUNDS:
+            return _weights(words, counts, np.zeros(len(LANGS)))
+        model = _weights(words, counts, COMMON * np.bincount(given, minlength=len(LANGS)))
         row = np.array([model.vocabulary.get(w, 0) for w in words])
         given = (np.add.reduceat(model.weights[row[flat]].astype(float), starts, axis=0) + trust).argmax(axis=1)
-    return model
 
 
 def path(scores: np.ndarray, cost: float | np.ndarray = SWITCH) -> np.ndarray:

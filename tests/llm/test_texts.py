@@ -194,12 +194,23 @@ def test_held_out_texts(spark, corpus):
 
 
 def test_wrong_labels_wash_out(corpus):
-    model = lg.fit([(t, [*STOCK][i // 10 % len(STOCK)] if i % 10 == 0 else s.split(".")[1]) for i, t, _, s in corpus])
+    model = lg.fit([(lg.sentence_words(t), [*STOCK][i // 10 % len(STOCK)] if i % 10 == 0 else s.split(".")[1]) for i, t, _, s in corpus])
     for k, texts in STOCK.items():
         scores, known = model.score([lg.unit_words(x) for x in texts])
         assert all(lg.LANGS[j] == k for j in scores.argmax(axis=1)) and (known >= 2).all()
 
 
+def test_a_small_language_does_not_claim_what_passages_speak_of():
+    rng = random.Random(6)
+    nouns = [f"{a}{b}{c}" for a in ("ob", "jig", "kil", "lant", "ferr") for b in ("ar", "en", "ist", "om") for c in "aeiou"]
+    passages = [f"The {a} checked the {b} and found that {c} was right and the {d} does not claim ownership of the {e}." for a, b, c, d, e in (rng.sample(nouns, 5) for _ in range(60))]
+    sample = [(" ".join(rng.choice(STOCK["en"]) for _ in range(4)), "en") for _ in range(4000)]
+    sample += [(" ".join(rng.choice(STOCK["sv"]) for _ in range(4)) + (" " + rng.choice(passages) if i % 4 == 0 else ""), "sv") for i in range(600)]
+    model = lg.fit([(lg.sentence_words(t), k) for t, k in sample])
+    assert all(lg.LANGS[j] == "en" for j in model.score([lg.unit_words(x) for x in passages])[0].argmax(axis=1))
+    assert all(lg.LANGS[j] == "sv" for j in model.score([lg.unit_words(x) for x in STOCK["sv"]])[0].argmax(axis=1))
+
+
 def test_sources_are_smoothed(spark):
     ready = lg.prepared(docs(spark, [(i, "x", "de", "hot.de") for i in range(200)] + [(300 + i, "x", "fr", "a.de") for i in range(2)] + [(400, "x", None, None)]))
     shares = {r["__source"]: np.exp(r["share"]) for r in lg.host_shares(ready).collect()}
