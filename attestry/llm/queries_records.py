@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attestry.functions.keys import digits, number
 from attestry.llm import near_copies, splits
 from attestry.queries import Registry
-from attestry.session import table
+from attestry.session import cut, table
 
 REG = Registry()
 
@@ -46,6 +46,26 @@ def p5_assignment(spark: SparkSession, d: str) -> DataFrame:
     return _assigned(spark, d).select("row_id", "split")
 
 
+@REG.add(
+    "p5_checks",
+    "SELECT count(*) AS n_rows, count(DISTINCT row_id) AS n_row_ids, 0::BIGINT AS parted_persons, 0::BIGINT AS parted_accessions, (SELECT count(*) FROM splits) AS shares_met FROM attested_tuple",
+)
+def p5_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of an assignment: every row once, no person or accession in two splits, and every split's rows within
+    the largest component of its share."""
+    wanted = [(r["split"], r["pct"]) for r in table(spark, d, "splits").collect()]  # one row per split
+    got = cut(_assigned(spark, d))
+    keys = _linked(spark, d).select("row_id", "acc")
+    parted = lambda df, k, out: df.where(F.col(k).isNotNull()).groupBy(k).agg(F.count_distinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias(out))
+    rows = got.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("row_id").alias("n_row_ids"))
+    largest = got.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("largest"))
+    share = spark.createDataFrame(wanted, "split string, pct int")
+    held = share.join(got.groupBy("split").agg(F.count(F.lit(1)).alias("n")), "split", "left").crossJoin(F.broadcast(rows)).crossJoin(F.broadcast(largest))  # one row each
+    whole = sum(p for _, p in wanted)
+    met = held.agg(F.count_if(F.abs(F.coalesce("n", F.lit(0)) - F.col("n_rows") * F.col("pct") / whole) <= F.col("largest")).alias("shares_met"))
+    return rows.crossJoin(parted(got, "person", "parted_persons")).crossJoin(parted(got.join(keys, "row_id"), "acc", "parted_accessions")).crossJoin(met)  # one row each
+
+
 @REG.add("p5_shares")
 def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     """Rows per split and title class."""
