@@ -4,6 +4,7 @@ whole components, and a component's place in the order of its hash decides which
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame, Window
@@ -95,17 +96,11 @@ def quotas(total: int, shares: list[int]) -> list[int]:
     return out
 
 
-def _pieces(flow: Flow, a: int, b: int, free: float, unit: int, most: int, cost: int) -> list[int]:
-    """Arcs for up to most components of unit rows: those that fit into free rows cost nothing, the one that passes the
-    edge costs its rows beyond it, every further one all of its rows."""
-    whole = min(most, max(0, int(free // unit)))
-    over = unit - max(0.0, free - whole * unit)
-    arcs = [flow.arc(a, b, whole, 0)] if whole else []
-    if most > whole:
-        arcs.append(flow.arc(a, b, 1, round(cost * over * COST_STEPS)))
-    if most > whole + 1:
-        arcs.append(flow.arc(a, b, most - whole - 1, cost * unit * COST_STEPS))
-    return arcs
+def _pieces(flow: Flow, a: int, b: int, most: int, cost: Callable[[int], float], edges: list[float]) -> list[int]:
+    """Arcs for up to most components whose cost together is a convex function of their number, linear between edges."""
+    near = {min(most, max(0, int(e) + k)) for e in edges for k in (0, 1)}
+    points = sorted({0, most, *near})
+    return [flow.arc(a, b, t - s, round((cost(t) - cost(s)) / (t - s))) for s, t in zip(points[:-1], points[1:], strict=True)]
 
 
 def allocate(bundles: list[tuple[int, str, int]], shares: list[int], profiles: dict[tuple[int, str], dict[str, int]] | None = None, placed: dict[str, list[int]] | None = None) -> dict[tuple[int, str], list[int]]:
@@ -113,9 +108,10 @@ def allocate(bundles: list[tuple[int, str, int]], shares: list[int], profiles: d
 
     profiles: rows per label of a bundle's components together, all under the bundle's name if it is not given; placed:
     rows per label and split that have their place already. Sizes are worked off from the largest down: the components of
-    one size are the units of a flow from their bundles to the splits and on to the sink, so its answer is whole. An arc
-    from a bundle is free up to what its labels still lack in that split, an arc to the sink up to what the split lacks;
-    rows beyond cost LABEL_COST and TOTAL_COST. What a size has placed is taken off before the next.
+    one size are the units of a flow from their bundles to the splits and on to the sink, so its answer is whole. Components
+    of a bundle that go to a split cost LABEL_COST for every row by which a label then passes what it lacks there, and what
+    reaches the sink costs TOTAL_COST for every row by which the split passes its share; of equal costs the split that
+    lacks more takes more. What a size has placed is taken off before the next.
     """
     k = len(shares)
     profiles = profiles or {(s, x): {x: s * n} for s, x, n in bundles}
@@ -133,16 +129,20 @@ def allocate(bundles: list[tuple[int, str, int]], shares: list[int], profiles: d
         own = sorted(sizes[size])
         flow = Flow(2 + len(own) + k)
         arcs: list[list[list[int]]] = []
+        open_ = sum(max(0.0, v) for v in total) or 1.0
         for i, (x, n) in enumerate(own):
             flow.arc(0, 2 + i, n, 0)
-            profile = profiles[size, x]
-            weight = sum(profile.values()) or 1
-            # components of this bundle that the lack of its labels has room for, each label by its part of the bundle
-            room = [sum(m / weight * max(0.0, lacks[lb][j]) / max(1e-9, sum(max(0.0, v) for v in lacks[lb])) for lb, m in profile.items()) * n * size for j in range(k)]
-            arcs.append([_pieces(flow, 2 + i, 2 + len(own) + j, room[j], size, n, LABEL_COST) for j in range(k)])
+            each = {lb: m / n for lb, m in profiles[size, x].items() if m}
+            to = []
+            for j in range(k):
+                room = max(0.0, total[j]) / open_ * n  # this bundle's even share
+                cost = lambda t, j=j, room=room: COST_STEPS * LABEL_COST * sum(max(0.0, t * m - max(0.0, lacks[lb][j])) for lb, m in each.items()) + max(0.0, t - room) * size  # noqa: B023, E731
+                to.append(_pieces(flow, 2 + i, 2 + len(own) + j, n, cost, [room, *[max(0.0, lacks[lb][j]) / m for lb, m in each.items()]]))
+            arcs.append(to)
         count = sum(n for _, n in own)
         for j in range(k):
-            _pieces(flow, 2 + len(own) + j, 1, total[j], size, count, TOTAL_COST)
+            cost = lambda t, j=j: COST_STEPS * TOTAL_COST * max(0.0, t * size - max(0.0, total[j]))  # noqa: B023, E731
+            _pieces(flow, 2 + len(own) + j, 1, count, cost, [max(0.0, total[j]) / size])
         flow.run(0, 1)
         for (x, n), to in zip(own, arcs, strict=True):
             take = [sum(flow.cap[e ^ 1] for e in arc) for arc in to]
