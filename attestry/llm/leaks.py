@@ -20,8 +20,6 @@ SHINGLE, WINDOW = 5, 12
 #: Items are worked off in blocks of at most so many characters; a block's index is sent to every task, at most some 100
 #: bytes a word, or 160 MB.
 BLOCK_CHARS = 8_000_000
-#: Rarity, which decides on the work and never on the result, is counted in about so many documents, taken by hash.
-RARITY_DOCS = 20_000
 #: Documents whose words are looked up at once; bounds a worker's memory.
 CHUNK = 256
 WORD = re.compile(r"[^\W_]+")
@@ -59,18 +57,15 @@ class ItemIndex:
                 self.items.append((item, ids))
         every = [shingle_keys(ids)[1] for _, ids in self.items]
         self.keys = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
-        self.choose({})
+        self.choose(np.zeros(len(self.keys), np.int64))
 
-    def choose(self, frequency: dict[int, int]) -> None:
+    def choose(self, frequency: np.ndarray) -> None:
         """Keeps of each window the shingle with the least frequency (by place in keys), of equal ones that of the smaller
         hash, so that neighbouring windows agree."""
         n, kept = self.window - SHINGLE + 1, []
-        count = np.zeros(len(self.keys), np.int64)
-        for k, f in frequency.items():
-            count[k] = f
         for k, (_, ids) in enumerate(self.items):
             place = np.searchsorted(self.keys, shingle_keys(ids)[1])
-            order = np.lexsort((place, count[place]))
+            order = np.lexsort((place, frequency[place]))
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             view = np.lib.stride_tricks.sliding_window_view(rank, n)
@@ -98,8 +93,8 @@ class ItemIndex:
         at, keys = shingle_keys(ids)
         place = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
         hit = self.keys[place] == keys if len(self.keys) else np.zeros(0, bool)
-        text = np.searchsorted(begins, at[hit], side="right")
-        return np.unique(np.stack([text, place[hit]], axis=1), axis=0)[:, 1] if hit.any() else np.zeros(0, np.int64)
+        text, n = np.searchsorted(begins, at[hit], side="right"), max(1, len(self.keys))
+        return np.unique(text * n + place[hit]) % n
 
     def runs(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, words, position in the text, position in the item) of the longest run that a text and an item share,
@@ -141,40 +136,46 @@ def _chunks(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield b.iloc[at : at + CHUNK]
 
 
-def rarity(docs: DataFrame, index: ItemIndex, n_docs: int) -> dict[int, int]:
-    """How many of some RARITY_DOCS documents hold each item shingle, by its place in the index. Batches are folded before
-    they are shuffled; at most a number per item shingle reaches the driver."""
+def rarity(docs: DataFrame, index: ItemIndex) -> np.ndarray:
+    """How many of all documents hold each item shingle, by its place in the index. Every task folds its documents to one
+    number per item shingle before these are shuffled; as many reach the driver."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix: ItemIndex = shared.value
+        total = np.zeros(len(ix.keys), np.int64)
         for b in batches:
             for own in _chunks(b):
                 place, n = np.unique(ix.seen(own["text"]), return_counts=True)
-                yield pd.DataFrame({"s": place.astype(np.int64), "n": n.astype(np.int64)})
-
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n_docs // RARITY_DOCS))) == 0)
-    counts = some.select("text").mapInPandas(run, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
-    return {r["s"]: r["n"] for r in counts.toLocalIterator()}
+                total[place] += n
+        met = np.flatnonzero(total)
+        yield pd.DataFrame({"s": met, "n": total[met]})
+
+    counts = docs.select("text").mapInPandas(run, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
+    out = np.zeros(len(index.keys), np.int64)
+    for r in counts.toLocalIterator():
+        out[r["s"]] = r["n"]
+    return out
 
 
 def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, item_id, n_words, doc_at, item_at): each document and item that share a run of at least window words,
     with the longest run and the word positions at which it begins.
 
-    All docs are read once per block of items, whole, and once more for the sample by which shingles are ranked; no stage
-    shuffles them. What reaches the driver are the items of one block and one count per shingle of theirs. Items of fewer
-    words than the window and NULL or empty texts match nothing; an item listed twice under one id is taken once per row.
-    Of runs of one length the earliest is given. Other columns are not read; empty tables give no rows.
+    All docs are read twice per block of items, whole: to count in how many of them each shingle is, by which shingles are
+    ranked, and to find the runs; no stage shuffles them. What reaches the driver are the items of one block and one count
+    per shingle of theirs. Items of fewer words than the window and NULL or empty texts match nothing; an item listed twice
+    under one id is taken once per row. Of runs of one length the earliest is given. Other columns are not read; empty
+    tables give no rows.
     """
     spark = docs.sparkSession
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks, n_docs = max(1, -(-size // BLOCK_CHARS)), docs.count()
+    blocks = max(1, -(-size // BLOCK_CHARS))
     out = spark.createDataFrame([], FOUND)
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).select("item_id", "text").where(F.col("item_id").isNotNull())
         index = ItemIndex([(r["item_id"], r["text"]) for r in own.toLocalIterator()], window)
-        index.choose(rarity(docs, index, n_docs))
+        index.choose(rarity(docs, index))
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterable[pd.DataFrame], shared: object = shared) -> Iterator[pd.DataFrame]:

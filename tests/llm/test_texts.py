@@ -151,6 +151,28 @@ def test_a_word_repeated_and_a_passage_in_a_third_of_all(spark):
     assert {r["doc_id"] for r in lk.leaks(d, items).collect()} == {i for i in range(90) if i % 3}
 
 
+def test_shingles_are_ranked_by_all_documents(spark, monkeypatch):
+    ranked, choose = [], lk.ItemIndex.choose
+
+    def spy(index, frequency):
+        choose(index, frequency)
+        ranked.append((index, frequency))
+
+    monkeypatch.setattr(lk.ItemIndex, "choose", spy)
+    item = [f"q{j}" for j in range(12)]
+    # all of 45,000 documents hold the item's first ten words, every third twice; one holds the last eleven
+    base = f"repeat(concat({' '.join(item[:10])!r}, ' , '), if(id % 3 = 0, 2, 1))"
+    d = spark.range(45_000).selectExpr("id AS doc_id", f"if(id = 7, {' '.join(item[1:])!r}, {base}) AS text")
+    d = d.unionByName(spark.createDataFrame([(None, None), (1, ""), (None, " ".join(item))], "doc_id bigint, text string"))
+    items = spark.createDataFrame([(1, " ".join(item)), (2, None)], "item_id bigint, text string")
+    assert [(r["doc_id"], r["n_words"]) for r in lk.leaks(d, items).collect()] == [(None, 12)]
+    index, frequency = ranked[-1]
+    ids = np.array([index.word_ids[w] for w in item], np.uint32)
+    places = np.searchsorted(index.keys, lk.shingle_keys(ids)[1]).tolist()
+    assert [frequency[k] for k in places] == [45_000, *[45_001] * 5, 2, 2]
+    assert index.entries[:, 1].tolist() in ([6], [7])
+
+
 # --- languages ----------------------------------------------------------------------------------------------------
 
 STOCK = {
